@@ -242,16 +242,17 @@ def packet_table(df: DataFrame, media_col: str, *keep: str) -> DataFrame:
     return df.select(*keep, F.inline(parse(F.col(media_col))))
 
 
-@F.arrow_udf("binary")
-def store(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+def _store(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Each text's UTF-8 bytes with blanks up to a positive multiple of a frame, as a Matroska file; null counts as empty."""
     for texts in batches:
         payloads = (t.as_buffer().to_pybytes() if t.is_valid else b"" for t in texts)
         yield pa.array([mux(p + b" " * (-len(p) % FRAME if p else FRAME)) for p in payloads], pa.binary())
 
 
-@F.arrow_udf("struct<payload:binary,packets:int,clusters:int,cues:int,last_ms:long,feature:string>")
-def read_back(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+BACK = "struct<payload:binary,packets:int,clusters:int,cues:int,last_ms:long,feature:string>"
+
+
+def _read_back(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """The stored payload, collected from the packets' byte ranges, and features of its samples."""
     fields = [pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string()]
     for files in batches:
@@ -270,8 +271,9 @@ def read_back(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 def media_digest(documents: DataFrame) -> DataFrame:
     """doc_id and digests of the stored form and of what is read back from it; one narrow pass, equal texts get equal values."""
-    stored = documents.select("doc_id", F.octet_length(whole("text")).cast("long").alias("n_bytes"), store(F.col("text")).alias("media"))
-    back = stored.withColumn("back", read_back(F.col("media")))
+    # coalesce() between the two keeps Spark from fusing them, which would store each text twice
+    stored = documents.select("doc_id", F.octet_length(whole("text")).cast("long").alias("n_bytes"), F.arrow_udf(_store, "binary")(F.col("text")).alias("media"))
+    back = stored.withColumn("back", F.arrow_udf(_read_back, BACK)(F.coalesce("media", F.lit(b""))))
     return back.select(
         "doc_id", "n_bytes", F.octet_length("back.payload").cast("long").alias("payload_bytes"), F.sha2("back.payload", 256).alias("payload_sha256"),
         F.crc32(F.substring("back.payload", -16, 16)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),

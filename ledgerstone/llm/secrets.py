@@ -16,7 +16,7 @@ from operator import getitem
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh
@@ -364,8 +364,11 @@ def span_digest(df: DataFrame, spans: str, kinds: list[str], more: tuple[str, ..
     """doc_id, the count of each kind, base_sha256 over those kinds, all spans as one string."""
     name = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     held = F.filter(spans, lambda s: s["kind"].isin(kinds))
-    counts = [F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds]
-    return df.select("doc_id", *counts, F.sha2(F.array_join(F.transform(held, name), ","), 256).alias("base_sha256"), F.array_join(F.transform(spans, name), ",").alias("spans"), *more)
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return df.select("doc_id", *map(count, kinds), F.sha2(F.array_join(F.transform(held, name), ","), 256).alias("base_sha256"), F.array_join(F.transform(spans, name), ",").alias("spans"), *more)
 
 
 def secret_digest(documents: DataFrame) -> DataFrame:
