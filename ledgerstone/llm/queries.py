@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import model_path, table
+from .decontaminate import contamination_digest
+from .language import language_digest, page_languages
 from .matroska import media_digest
+from .near_dedup import near_duplicates
 from .pieces import piece_digest
 from .secrets import secret_digest
 
@@ -16,6 +19,10 @@ PIECE_MODEL = "piece_bpe_32k.model"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_matroska": lambda spark, d: media_digest(table(spark, d, "documents")),
+    "op4_decontamination": lambda spark, d: contamination_digest(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op5_sentencepiece": lambda spark, d: piece_digest(table(spark, d, "documents"), model_path(PIECE_MODEL)),
     "op7_secrets": lambda spark, d: secret_digest(table(spark, d, "documents")),
+    "op9_near_duplicates": lambda spark, d: near_duplicates(table(spark, d, "documents")),
+    "op10_language": lambda spark, d: language_digest(table(spark, d, "documents")),
+    "page_languages": lambda spark, d: page_languages(table(spark, d, "pages")),
 }
