@@ -6,21 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import chat_digest
 from .common import model_path, table
 from .decontaminate import contamination_digest
 from .language import language_digest, page_languages
 from .matroska import media_digest
 from .near_dedup import near_duplicates
 from .pieces import piece_digest
+from .pii import pii_digest
 from .secrets import secret_digest
+from .sharding import shard_digest
 
 #: A parameter: the public vocabulary that op5 encodes with.
 PIECE_MODEL = "piece_bpe_32k.model"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": lambda spark, d: shard_digest(table(spark, d, "documents")),
     "op2_matroska": lambda spark, d: media_digest(table(spark, d, "documents")),
+    "op3_chat_trees": lambda spark, d: chat_digest(table(spark, d, "conversations")),
     "op4_decontamination": lambda spark, d: contamination_digest(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op5_sentencepiece": lambda spark, d: piece_digest(table(spark, d, "documents"), model_path(PIECE_MODEL)),
+    "op6_pii": lambda spark, d: pii_digest(table(spark, d, "documents")),
     "op7_secrets": lambda spark, d: secret_digest(table(spark, d, "documents")),
     "op9_near_duplicates": lambda spark, d: near_duplicates(table(spark, d, "documents")),
     "op10_language": lambda spark, d: language_digest(table(spark, d, "documents")),

@@ -16,10 +16,10 @@ from operator import getitem
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, span_digest
 
 WORD = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -267,7 +267,9 @@ class Scanner:
         self.own = [compile_rules([(r.pattern, r.ignore_case)], anchored=True) for r in rules]
 
     def ready(self) -> "Scanner":
-        """Turns the combined array into linked rows, so that a step is one lookup; an accepting row leads to itself."""
+        """Turns the combined array into linked rows, so that a step is one lookup; an accepting row leads to itself. Once in a process."""
+        if hasattr(self, "_begin"):
+            return self
         a = self.combined
         rows: list[list] = [[] for _ in range(len(a.accept))]
         for row, to, hit in zip(rows, a.step.tolist(), a.accept.tolist(), strict=True):
@@ -360,17 +362,6 @@ def redact_secrets(df: DataFrame, text_col: str = "text", spans: str = "secrets"
     return df.withColumn(text_col, F.when(F.size(spans) > 0, redact(F.col(text_col), F.col(spans))).otherwise(F.col(text_col)))
 
 
-def span_digest(df: DataFrame, spans: str, kinds: list[str], more: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the count of each kind, base_sha256 over those kinds, all spans as one string."""
-    name = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
-    held = F.filter(spans, lambda s: s["kind"].isin(kinds))
-
-    def count(kind: str) -> Column:
-        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-
-    return df.select("doc_id", *map(count, kinds), F.sha2(F.array_join(F.transform(held, name), ","), 256).alias("base_sha256"), F.array_join(F.transform(spans, name), ",").alias("spans"), *more)
-
-
 def secret_digest(documents: DataFrame) -> DataFrame:
     out = fresh(documents, "secrets")
     return span_digest(scan_secrets(documents.select("doc_id", "text"), out=out), out, [r.kind for r in BASE_RULES])
