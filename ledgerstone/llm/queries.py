@@ -16,6 +16,7 @@ from .pieces import piece_digest
 from .pii import pii_digest
 from .secrets import secret_digest
 from .sharding import shard_digest
+from .wrappers import page_digest
 
 #: A parameter: the public vocabulary that op5 encodes with.
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sentencepiece": lambda spark, d: piece_digest(table(spark, d, "documents"), model_path(PIECE_MODEL)),
     "op6_pii": lambda spark, d: pii_digest(table(spark, d, "documents")),
     "op7_secrets": lambda spark, d: secret_digest(table(spark, d, "documents")),
+    "op8_wrappers": lambda spark, d: page_digest(table(spark, d, "pages")),
     "op9_near_duplicates": lambda spark, d: near_duplicates(table(spark, d, "documents")),
     "op10_language": lambda spark, d: language_digest(table(spark, d, "documents")),
     "page_languages": lambda spark, d: page_languages(table(spark, d, "pages")),
