@@ -18,6 +18,7 @@ import re
 from array import array
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -77,17 +78,25 @@ class Transducer:
             raise ValueError("models whose pieces span words aren't supported")
         self.prefix, self.shrink = prefix, shrink
 
-    def ready(self, cache: int = 400_000) -> "Transducer":
+    def ready(self, cache: int = 500_000) -> "Transducer":
+        """Builds what isn't broadcast; once in a process, as its tasks share the broadcast object and so the paths found."""
+        if hasattr(self, "_parts"):
+            return self
         self._id = {p: i for i, (p, _, kind) in enumerate(self.pieces) if kind == NORMAL}
         self._score = {p: s for p, s, kind in self.pieces if kind == NORMAL}
         self._byte = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(self.pieces) if kind == BYTE}
         self._unknown = next((i for i, (*_, kind) in enumerate(self.pieces) if kind == UNKNOWN), 0)
         self._out = [b"" if kind in (CONTROL, UNUSED) else bytes([int(p[3:5], 16)]) if kind == BYTE else " ⁇ ".encode() if kind == UNKNOWN else p.replace(META, " ").encode() for p, _, kind in self.pieces]
         self._parts: dict[str, bytes] = {}
-        self._pairs: dict[tuple[str, str], bool] = {}
+        self._older: dict[str, bytes] = {}
+        self._pairs: dict[int, bool] = {}
         self._cache = cache
         self._joins = {p[i : i + 2] for p in self._id for i in range(len(p) - 1)}
-        self._trie = {p[:i]: False for p in self._id for i in range(1, len(p))} | dict.fromkeys(self._id, True)
+        self._arcs = ahocorasick.Automaton()  # the trie with failure links: gives the pieces that end at each place
+        for p, i in self._id.items():
+            self._arcs.add_word(p, (i, len(p)))
+        self._arcs.make_automaton()
+        self._text = [p for p, *_ in self.pieces]
         self._chars = {p for p in self._id if len(p) == 1}
         alone = "".join(re.escape(c) for c in "\n\t\r" if c not in self._id)
         self._cut = re.compile(rf"{META}*[^{META}{alone}]+|{META}+|[{alone}]" if alone else rf"{META}*[^{META}]+|{META}+").findall
@@ -109,20 +118,25 @@ class Transducer:
 
     def _whole(self, part: str) -> bytes:
         """A part's ids. No path crosses two characters that stand side by side in no piece, so it is cut there as well."""
+        if (ids := self._older.get(part)) is not None:
+            self._keep(part, ids)
+            return ids
         cuts = [0, *(i for i in range(1, len(part)) if part[i - 1 : i + 1] not in self._joins), len(part)]
         out = []
         for a, b in zip(cuts, cuts[1:]):
             own = part[a:b]
             if (ids := self._parts.get(own)) is None:
-                self._keep(own, ids := array("i", self._path(own)).tobytes())
+                ids = array("i", self._path(own)).tobytes()
+                if len(cuts) > 2:
+                    self._keep(own, ids)
             out.append(ids)
         self._keep(part, ids := b"".join(out))
         return ids
 
     def _keep(self, part: str, ids: bytes) -> None:
-        """Bounds memory only: what is dropped is found again."""
+        """Two generations bound the memory; what is dropped is found again."""
         if len(self._parts) >= self._cache:
-            self._parts.clear()
+            self._older, self._parts = self._parts, {}
         if len(part) < 200:
             self._parts[part] = ids
 
@@ -169,14 +183,6 @@ class Transducer:
                 sizes[-2:] = [sizes[-2] + sizes[-1]]
         return [self._id[META * k] for k in sizes]
 
-    def _fits(self, last: str, piece: str) -> bool:
-        """Whether the arc that writes piece after last weighs 0 in a byte-pair model."""
-        if (fits := self._pairs.get((last, piece))) is None:
-            if len(self._pairs) >= self._cache:
-                self._pairs.clear()
-            fits = self._pairs[last, piece] = self._merged(last + piece) == ([last, piece] if last else [piece])
-        return fits
-
     def _merged(self, s: str) -> list[str]:
         """What merging the best pair, from the left, again and again makes of a short text."""
         parts, score = list(s), self._score
@@ -190,47 +196,36 @@ class Transducer:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return parts
 
-    def _arcs(self, s: str, i: int) -> list[str]:
-        """The pieces that begin at a place, shortest first: a walk down the trie."""
-        out, trie = [], self._trie
-        for j in range(i + 1, len(s) + 1):
-            kind = trie.get(piece := s[i:j])
-            if kind is None:
-                break
-            if kind:
-                out.append(piece)
-        return out
-
     def _free(self, s: str) -> list[int]:
-        """A path whose arcs all weigh 0, which is a shortest one: depth first, long pieces first, dead states once."""
-        n, i, path, dead, todo = len(s), 0, [""], set(), [self._arcs(s, 0)]
-        while i < n:
-            last, arcs = path[-1], todo[-1]
-            while arcs:
-                piece = arcs.pop()
-                if self._fits(last, piece) and (i + len(piece), piece) not in dead:
-                    path.append(piece)
-                    i += len(piece)
-                    todo.append(self._arcs(s, i))
-                    break
-            else:
-                todo.pop()
-                dead.add((i, path.pop()))
-                i -= len(last)
-        return [self._id[p] for p in path[1:]]
+        """The path whose arcs all weigh 0 in a byte-pair model: forward through the places, where one last piece is left at each."""
+        pairs, text = self._pairs, self._text
+        last: list[int | None] = [-1] + [None] * len(s)
+        for end, (piece, n) in self._arcs.iter(s):
+            if last[end + 1] is None and (before := last[end + 1 - n]) is not None:
+                fits = pairs.get(key := before << 32 | piece)
+                if fits is None:
+                    if len(pairs) >= 4 * self._cache:
+                        pairs.clear()
+                    own = text[piece] if before < 0 else text[before] + text[piece]
+                    fits = pairs[key] = self._merged(own) == ([own] if before < 0 else [text[before], text[piece]])
+                if fits:
+                    last[end + 1] = piece
+        out, at = [], len(s)
+        while at:
+            out.append(last[at])
+            at -= len(text[last[at]])
+        return out[::-1]
 
     def _shortest(self, s: str) -> list[int]:
         """Viterbi over the composition with a unigram model's scores. Ties keep the longer last piece."""
-        n = len(s)
-        best, back = [0.0] + [math.inf] * n, [0] * (n + 1)
-        for i in range(n):
-            for piece in self._arcs(s, i):
-                if (total := best[i] - self._score[piece]) < best[j := i + len(piece)]:
-                    best[j], back[j] = total, i
-        out = []
-        while n:
-            out.append(self._id[s[back[n] : n]])
-            n = back[n]
+        best, last = [0.0] + [math.inf] * len(s), [0] * (len(s) + 1)
+        for end, (piece, n) in self._arcs.iter(s):
+            if (total := best[end + 1 - n] - self.pieces[piece][1]) < best[end + 1]:
+                best[end + 1], last[end + 1] = total, piece
+        out, at = [], len(s)
+        while at:
+            out.append(last[at])
+            at -= len(self._text[last[at]])
         return out[::-1]
 
 
