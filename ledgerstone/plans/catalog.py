@@ -1,4 +1,397 @@
-"""The registered queries of the archive catalog and their DuckDB SQL."""
+"""The registered queries of the archive catalog, and DuckDB SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import formats as fmt
+from ..functions import paths as P
+from ..operators import limits, listing, progress, volumes
+from ..sources import adapters as A
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return add
+
+
+# ---- SQL of the adapters and of the functions that several queries use
+
+
+def sql_components(path: str) -> str:
+    return f"list_filter(string_split(replace({path}, '\\', '/'), '/'), lambda x: x <> '' AND x <> '.')"
+
+
+def sql_fold(text: str) -> str:
+    return f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+PAGES = f"""pages_e AS (SELECT *, {sql_components('path')} AS comps, CASE WHEN path LIKE '%/' THEN 'Directory' ELSE 'File' END AS kind
+  FROM (SELECT 'pages-' || (page_id % 4) AS archive_path, page_id AS idx, regexp_replace(url, '^[a-z]+://', '') AS path, octet_length(encode(html))::BIGINT AS size FROM pages))"""
+ORDERS = f"""orders_e AS (SELECT *, {sql_components('path')} AS comps, size // 2 AS packed FROM (
+  SELECT 'orders-' || (o_orderkey % 8) AS archive_path, o_orderkey AS idx,
+    o_orderpriority || '/' || o_orderstatus || '/' || CASE WHEN o_orderkey % 97 = 0 THEN 'Batch-' || (o_orderkey % 7) ELSE 'order-' || o_orderkey || '.' || (['zip','tar.gz','7z.001','txt','exe'])[o_orderkey % 5 + 1] END AS path,
+    CASE WHEN o_orderkey % 11 <> 0 THEN floor(o_totalprice)::BIGINT END AS size, CASE WHEN o_orderkey % 13 <> 0 THEN epoch(o_orderdate)::BIGINT END AS mtime,
+    CASE WHEN o_orderkey % 97 = 0 THEN 'Directory' ELSE 'File' END AS kind, o_orderkey % 17 = 0 AS encrypted FROM orders))"""
+LINES = """lines_e AS (SELECT 'lines-' || (l_orderkey % 64) AS archive_path, l_returnflag || '/' || l_linestatus || '/' || l_partkey || '/' || l_orderkey || '-' || l_linenumber || '.bin' AS path,
+  l_quantity::BIGINT AS size FROM lineitem)"""
+PARTS = """parts_e AS (SELECT 'parts-' || (p_partkey % 4) AS archive_path, p_partkey AS idx, p_brand || '/' || CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE p_name END AS path, p_size::BIGINT AS size FROM part)"""
+FILES = """files_e AS (SELECT (conv_id % 10)::VARCHAR AS folder, 'chat-' || conv_id || '.zip.' || lpad((turn + 1)::VARCHAR, 3, '0') AS name, length(text)::BIGINT AS size, conv_id, turn
+  FROM conversations WHERE NOT (turn = 5 AND conv_id % 3 = 0))"""
+EVENTS = """events_e AS (SELECT user_id AS operation, event_type AS worker, event_id AS seq, epoch_ms(ts) AS ms, floor(value * 100)::BIGINT AS bytes, 'file-' || (event_id % 50) AS file FROM events)"""
+SELECTION = """chosen AS (SELECT DISTINCT archive_path, list_aggregate(comps[1:2], 'string_agg', '/') AS path FROM orders_e WHERE idx % 50 = 3)"""
+
+
+def _selection(spark: SparkSession, d: str) -> DataFrame:
+    """Folders of two levels that some orders lie in."""
+    return A.orders(spark, d).where("index % 50 = 3").select("archive_path", F.array_join(F.slice("components", 1, 2), "/").alias("path")).distinct()
+
+
+# ---- paths and names
+
+
+@query("path_components", f"WITH {PAGES} SELECT archive_path, idx AS \"index\", len(comps)::BIGINT AS n, array_to_string(comps, '/') AS path FROM pages_e")
+def path_components(spark, d):
+    return A.pages(spark, d).select("archive_path", "index", F.size("components").cast("long").alias("n"), P.normalized(F.col("path")).alias("path"))
+
+
+@query("restrict_dir", f"WITH {ORDERS} SELECT archive_path, path, (row_number() OVER (PARTITION BY archive_path ORDER BY idx) - 1)::BIGINT AS \"index\", size FROM orders_e WHERE comps[1:2] = ['5-LOW', 'F']")
+def restrict_dir(spark, d):
+    return listing.restrict(A.orders(spark, d), "5-LOW/F").select("archive_path", "path", "index", "size")
+
+
+@query("selection_semijoin", f"WITH {ORDERS}, {SELECTION} SELECT e.archive_path, e.idx AS \"index\", e.path FROM orders_e e WHERE EXISTS (SELECT 1 FROM chosen c WHERE c.archive_path = e.archive_path AND (e.path = c.path OR starts_with(e.path, c.path || '/')))")
+def selection_semijoin(spark, d):
+    return listing.selected(A.orders(spark, d), _selection(spark, d)).select("archive_path", "index", "path")
+
+
+@query("selection_hints", f"WITH {ORDERS}, {SELECTION} SELECT e.archive_path, count(*)::BIGINT AS n_entries, sum(coalesce(size, 0))::BIGINT AS n_bytes FROM orders_e e WHERE EXISTS (SELECT 1 FROM chosen c WHERE c.archive_path = e.archive_path AND (e.path = c.path OR starts_with(e.path, c.path || '/'))) GROUP BY 1")
+def selection_hints(spark, d):
+    return listing.hints(A.orders(spark, d), _selection(spark, d))
+
+
+def _view_sql(source: str, table: str, parts: list[str]) -> str:
+    n = len(parts)
+    base = "".join(f"{p}/" for p in parts)
+    return f"""WITH {source}, r AS (SELECT archive_path, idx, comps[{n + 1}] AS name, len(comps) > {n + 1} AS below, kind FROM {table} WHERE len(comps) > {n} AND comps[1:{n}] = {parts!r}::VARCHAR[]),
+  fo AS (SELECT *, {sql_fold('name')} AS k FROM r WHERE below OR kind = 'Directory'), f1 AS (SELECT archive_path, k, arg_min(name, idx) AS name, min(idx) AS first_index, arg_min(below, idx) AS inferred FROM fo GROUP BY 1, 2),
+  own AS (SELECT f1.archive_path, f1.k, min(fo.idx) AS own FROM f1 JOIN fo ON fo.archive_path = f1.archive_path AND fo.name = f1.name AND NOT fo.below GROUP BY 1, 2),
+  v AS (SELECT f1.archive_path, CASE WHEN NOT inferred THEN first_index ELSE own END AS source_index, name, TRUE AS is_folder, first_index FROM f1 LEFT JOIN own USING (archive_path, k)
+    UNION ALL SELECT archive_path, idx, name, FALSE, idx FROM r WHERE NOT (below OR kind = 'Directory')),
+  view AS (SELECT *, '{base}' || name AS relative_path FROM v)"""
+
+
+_ROOT = _view_sql(PAGES, "pages_e", [])
+_SUB = _view_sql(ORDERS, "orders_e", ["5-LOW", "F"])
+
+
+@query("display_root", f"{_ROOT} SELECT archive_path, source_index, name, relative_path, is_folder, row_number() OVER (PARTITION BY archive_path ORDER BY is_folder DESC, {sql_fold('name')}, name, first_index)::BIGINT AS rn FROM view")
+def display_root(spark, d):
+    e = A.pages(spark, d)
+    return listing.sorted_view(listing.folder_view(e), e).select("archive_path", "source_index", "name", "relative_path", "is_folder", "rn")
+
+
+@query("display_subdir", f"{_SUB} SELECT archive_path, source_index, name, relative_path, is_folder, row_number() OVER (PARTITION BY archive_path ORDER BY is_folder DESC, {sql_fold('name')}, name, first_index)::BIGINT AS rn FROM view")
+def display_subdir(spark, d):
+    e = A.orders(spark, d)
+    return listing.sorted_view(listing.folder_view(e, "5-LOW/F"), e).select("archive_path", "source_index", "name", "relative_path", "is_folder", "rn")
+
+
+def _sort_query(name: str, column: str, ascending: bool, key: str) -> None:
+    way = "ASC NULLS FIRST" if ascending else "DESC NULLS LAST"
+    order = f"{key} {way}, v.name {way}, " if key else ""
+
+    @query(name, f"{_SUB} SELECT v.archive_path, v.name, row_number() OVER (PARTITION BY v.archive_path ORDER BY is_folder DESC, {order}first_index)::BIGINT AS rn FROM view v LEFT JOIN orders_e e ON e.archive_path = v.archive_path AND e.idx = v.source_index")
+    def run(spark, d):
+        e = A.orders(spark, d)
+        return listing.sorted_view(listing.folder_view(e, "5-LOW/F"), e, column, ascending).select("archive_path", "name", "rn")
+
+
+_sort_query("sort_name_desc", listing.NAME, False, sql_fold("v.name"))
+_sort_query("sort_size_nulls", listing.SIZE, True, "e.size")
+_sort_query("sort_packed_desc", listing.PACKED, False, "e.packed")
+_sort_query("sort_mtime", listing.MODIFIED, False, "e.mtime")
+_sort_query("sort_path", listing.PATH, True, sql_fold("coalesce(e.path, v.relative_path)"))
+_sort_query("archive_order", listing.ARCHIVE_ORDER, True, "")
+
+_RN = f"{_SUB}, s AS (SELECT *, row_number() OVER (PARTITION BY archive_path ORDER BY is_folder DESC, {sql_fold('name')}, name, first_index) AS rn FROM view)"
+
+
+def _sorted(spark, d):
+    e = A.orders(spark, d)
+    return listing.sorted_view(listing.folder_view(e, "5-LOW/F"), e)
+
+
+@query("range_select", f"{_RN} SELECT archive_path, relative_path AS path FROM s WHERE rn BETWEEN 3 AND 9")
+def range_select(spark, d):
+    return listing.range_selection(_sorted(spark, d), 9, 3)
+
+
+@query("toggle_selection", f"{_RN} SELECT archive_path, relative_path AS path FROM s WHERE (rn BETWEEN 3 AND 9) <> (rn BETWEEN 7 AND 12)")
+def toggle_selection(spark, d):
+    s = _sorted(spark, d)
+    return listing.toggled(listing.range_selection(s, 3, 9), listing.range_selection(s, 7, 12))
+
+
+@query("selection_state", f"{_RN} SELECT archive_path, count(*) FILTER (rn BETWEEN 3 AND 9)::BIGINT AS n_selected, CASE WHEN count(*) FILTER (rn BETWEEN 3 AND 9) = 0 THEN 0 WHEN count(*) FILTER (rn BETWEEN 3 AND 9) = count(*) THEN 2 ELSE 1 END::INT AS state FROM s GROUP BY 1")
+def selection_state(spark, d):
+    s = _sorted(spark, d)
+    return listing.selection_state(s, listing.range_selection(s, 3, 9))
+
+
+_SIZE_TEXT = "CASE WHEN {x} IS NULL THEN '' WHEN {x} < 1024 THEN {x} || ' B' WHEN {x} < 102400 THEN format('{{:.1f}} KB', {x} / 1024.0) WHEN {x} < 1048576 THEN format('{{:.0f}} KB', {x} / 1024.0) WHEN {x} < 104857600 THEN format('{{:.1f}} MB', {x} / 1048576.0) ELSE format('{{:.0f}} MB', {x} / 1048576.0) END"
+
+
+@query("presentation_rows", f"{_RN} SELECT s.archive_path, s.rn::BIGINT AS rn, s.is_folder, regexp_matches(s.name, '(?i)\\.(exe|ps1|bat|cmd)$') AS is_executable, {_SIZE_TEXT.format(x='e.size')} AS size_text, coalesce(strftime(make_timestamp(e.mtime * 1000000), '%Y-%m-%d %H:%M'), '') AS modified_text, coalesce(e.path, s.relative_path) AS path_text FROM s LEFT JOIN orders_e e ON e.archive_path = s.archive_path AND e.idx = s.source_index")
+def presentation_rows(spark, d):
+    return listing.presented(_sorted(spark, d), utc=True).select("archive_path", "rn", "is_folder", "is_executable", "size_text", "modified_text", "path_text")
+
+
+def _name_query(name: str, sql: str, make: Callable) -> None:
+    @query(name, f"WITH {ORDERS}, n AS (SELECT archive_path, idx, comps[-1] AS name, path FROM orders_e) SELECT archive_path, idx AS \"index\", {sql} FROM n")
+    def run(spark, d):
+        rows = A.orders(spark, d).withColumn("name", F.element_at("components", -1))
+        return rows.select("archive_path", "index", *make(F.col("name")))
+
+
+_ALL = "|".join(P.ARCHIVE_SUFFIXES)
+_name_query("is_archive_name", f"regexp_matches(name, '(?i)\\.({_ALL})$') OR regexp_matches(name, '(?i)\\.(zip|7z)\\.[0-9]{{3,}}$') AS is_archive, regexp_matches(name, '(?i)^.+\\.({_ALL})$') OR regexp_matches(name, '(?i)\\.(zip|7z)\\.[0-9]{{3,}}$') AS is_drop", lambda n: [P.is_archive(n).alias("is_archive"), P.is_archive_drop(n).alias("is_drop")])
+_name_query("is_executable_name", "regexp_matches(name, '(?i)\\.(exe|ps1|bat|cmd)$') AS is_executable", lambda n: [P.is_executable(n).alias("is_executable")])
+_name_query("directory_name", "CASE WHEN regexp_matches(name, '(?i)\\.(zip|7z)\\.[0-9]{3,}$') THEN regexp_replace(regexp_replace(name, '\\.[0-9]+$', ''), '\\.[^.]*$', '') WHEN name LIKE '%.tar.gz' THEN regexp_replace(name, '\\.tar\\.gz$', '') WHEN regexp_matches(name, '^.+\\.[^.]*$') THEN regexp_replace(name, '\\.[^.]*$', '') ELSE name END AS folder", lambda n: [P.directory_name(n).alias("folder")])
+_name_query("payload_name", "CASE WHEN name LIKE '%.gz' THEN regexp_replace(name, '\\.gz$', '') END AS payload, name LIKE '%.tar.gz' AS is_wrapped_tar", lambda n: [P.payload_name(n).alias("payload"), P.is_wrapped_tar(n).alias("is_wrapped_tar")])
+_name_query("shorten_name", "CASE WHEN length(name || '-' || path) <= 30 THEN name || '-' || path ELSE left(name || '-' || path, 25) || '…' || '.zip' END AS label", lambda n: [P.menu_name(F.concat(n, F.lit("-"), F.col("path")), F.lit(".zip")).alias("label")])
+_name_query("quoted_argument", "'\"' || replace(path, '\"', '\\\"') || '\"' AS quoted", lambda n: [P.quoted_argument(F.col("path")).alias("quoted")])
+_name_query("format_size", f"{_SIZE_TEXT.format(x='(idx * idx)')} AS text, CASE WHEN idx * idx < 1024 THEN (idx * idx) || ' B' WHEN idx * idx < 1048576 THEN format('{{:.1f}} KB', idx * idx / 1024.0) ELSE format('{{:.1f}} MB', idx * idx / 1048576.0) END AS compact", lambda n: [fmt.format_size(F.col("index") * F.col("index")).alias("text"), fmt.compact_bytes(F.col("index") * F.col("index")).alias("compact")])
+_name_query("format_duration", "printf('%02d:%02d:%02d', idx * 37 // 3600, idx * 37 % 3600 // 60, idx * 37 % 60) AS text", lambda n: [fmt.format_duration(F.col("index") * 37).alias("text")])
+
+_REASON = """CASE WHEN path = '' THEN 'empty' WHEN regexp_matches(path, '^[/\\\\]') THEN 'absolute' WHEN regexp_matches(path, '^[A-Za-z]:') THEN 'drive' WHEN list_contains(comps, '..') THEN 'parent' WHEN len(comps) = 0 THEN 'empty'
+  WHEN len(list_filter(comps, lambda c: regexp_matches(c, '[ .]$') OR regexp_matches(c, '[\\x00-\\x1f<>:"|?*]') OR regexp_matches(upper(regexp_extract(regexp_replace(c, '[ .]+$', ''), '^([^.]*)', 1)), '^(CON|PRN|AUX|NUL|(COM|LPT)[1-9¹²³])$'))) > 0 THEN 'component' END"""
+
+
+@query("unsafe_reason", f"WITH {PAGES} SELECT archive_path, idx AS \"index\", {_REASON} AS reason FROM pages_e")
+def unsafe_reason(spark, d):
+    return A.pages(spark, d).select("archive_path", "index", P.unsafe_reason(F.col("path")).alias("reason"))
+
+
+@query("safe_path", f"WITH {PAGES} SELECT archive_path, count(*) FILTER ({_REASON} IS NULL)::BIGINT AS n_safe, count(*)::BIGINT AS n FROM pages_e GROUP BY 1")
+def safe_path(spark, d):
+    return A.pages(spark, d).groupBy("archive_path").agg(F.count_if(P.unsafe_reason(F.col("path")).isNull()).alias("n_safe"), F.count("*").alias("n"))
+
+
+# ---- volumes
+
+
+@query("volume_name_parse", f"WITH {FILES} SELECT folder, name, regexp_replace(name, '\\.[0-9]+$', '') AS volume_base, regexp_extract(name, '([0-9]+)$', 1)::BIGINT AS volume_index FROM files_e")
+def volume_name_parse(spark, d):
+    return volumes.with_base(A.volume_files(spark, d)).select("folder", "name", "volume_base", "volume_index")
+
+
+_RUN = f"{FILES}, run AS (SELECT *, turn + 1 AS n, 'chat-' || conv_id || '.zip' AS base FROM files_e), ok AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n) AS pos FROM run) WHERE n = pos)"
+
+
+@query("volume_contiguous", f"WITH {_RUN} SELECT folder, base, n::BIGINT AS \"index\", size FROM ok")
+def volume_contiguous(spark, d):
+    return volumes.contiguous(A.volume_files(spark, d)).select("folder", "base", "index", "size")
+
+
+@query("volume_offsets", f"WITH {_RUN} SELECT folder, base, n::BIGINT AS \"index\", coalesce(sum(size) OVER w, 0)::BIGINT AS \"begin\", (coalesce(sum(size) OVER w, 0) + size)::BIGINT AS \"end\" FROM ok WINDOW w AS (PARTITION BY base ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+def volume_offsets(spark, d):
+    return volumes.offsets(volumes.contiguous(A.volume_files(spark, d))).select("folder", "base", "index", "begin", "end")
+
+
+@query("volume_length", f"WITH {_RUN} SELECT folder, base, sum(size)::BIGINT AS length, count(*)::BIGINT AS n_parts FROM ok GROUP BY 1, 2")
+def volume_length(spark, d):
+    return volumes.joined_length(volumes.contiguous(A.volume_files(spark, d)))
+
+
+@query("byte_to_volume", f"WITH {_RUN}, o AS (SELECT *, sum(size) OVER (PARTITION BY base ORDER BY n) AS e FROM ok), q AS (SELECT DISTINCT folder, base, x AS position FROM ok, (VALUES (0), (100), (777), (1500)) t(x)) SELECT q.folder, q.base, q.position::BIGINT AS position, o.n::BIGINT AS \"index\", (q.position - (o.e - o.size))::BIGINT AS \"offset\" FROM q JOIN o ON o.base = q.base AND q.position >= o.e - o.size AND q.position < o.e")
+def byte_to_volume(spark, d):
+    parts = volumes.contiguous(A.volume_files(spark, d))
+    asked = parts.select("folder", "base").distinct().withColumn("position", F.explode(F.array(*(F.lit(x).cast("long") for x in (0, 100, 777, 1500)))))
+    return volumes.locate(asked, parts).select("folder", "base", "position", "index", "offset")
+
+
+@query("split_at", "SELECT l_orderkey, l_linenumber::BIGINT AS line, ((l_partkey * 1000 + l_linenumber) // 4096 + 1)::BIGINT AS part, ((l_partkey * 1000 + l_linenumber) % 4096)::BIGINT AS \"offset\" FROM lineitem")
+def split_at(spark, d):
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", F.col("l_linenumber").cast("long").alias("line"), (F.col("l_partkey") * 1000 + F.col("l_linenumber")).alias("position"))
+    return volumes.split_at(rows, 4096).select("l_orderkey", "line", F.col("part").cast("long").alias("part"), "offset")
+
+
+@query("unique_name", f"WITH {PARTS}, x AS (SELECT DISTINCT archive_path AS folder, lower(split_part(path, '/', 1)) || '.zip' AS name FROM parts_e), ex AS (SELECT folder, CASE WHEN k = 1 THEN name ELSE replace(name, '.zip', '_' || k || '.zip') END AS name, k FROM x, (VALUES (1), (2), (3), (5)) t(k) WHERE length(name) % 2 = 0 OR k = 3) SELECT folder, name, CASE WHEN length(name) % 2 = 0 THEN replace(name, '.zip', '_4.zip') ELSE name END AS free_name FROM x")
+def unique_name(spark, d):
+    x = A.parts(spark, d).select(F.col("archive_path").alias("folder"), F.concat(F.lower(F.get("components", F.lit(0))), F.lit(".zip")).alias("name")).distinct()
+    there = x.withColumn("k", F.explode(F.array(*map(F.lit, (1, 2, 3, 5))))).where("char_length(name) % 2 = 0 or k = 3")
+    there = there.select("folder", F.when(F.col("k") == 1, F.col("name")).otherwise(P.suffixed(F.col("name"), F.col("k"))).alias("name"))
+    return volumes.free_names(x, there)
+
+
+@query("common_parent", f"WITH {ORDERS}, g AS (SELECT idx // 2 AS selection, comps[1:2] AS p FROM orders_e), a AS (SELECT selection, min(p) AS a, max(p) AS b FROM g GROUP BY 1) SELECT selection, CASE WHEN a = b THEN a[1] || '/' || a[2] WHEN a[1] = b[1] THEN a[1] ELSE '' END AS common FROM a")
+def common_parent(spark, d):
+    rows = A.orders(spark, d).select(F.floor(F.col("index") / 2).alias("selection"), F.slice("components", 1, 2).alias("components"))
+    return volumes.common_parent(rows)
+
+
+@query("loose_match", f"WITH {PARTS}, n AS (SELECT DISTINCT archive_path AS folder, path AS name FROM parts_e), w AS (SELECT DISTINCT folder, '?' || substr(name, 2) AS name FROM n), m AS (SELECT w.folder, w.name, count(*) AS k, min(n.name) AS real FROM w JOIN n ON n.folder = w.folder AND length(n.name) = length(w.name) AND lower(substr(n.name, 2)) = lower(substr(w.name, 2)) GROUP BY 1, 2) SELECT folder, name, CASE WHEN k = 1 THEN real END AS \"found\" FROM m")
+def loose_match(spark, d):
+    names = A.parts(spark, d).select(F.col("archive_path").alias("folder"), F.col("path").alias("name")).distinct()
+    return volumes.loose_matches(names.select("folder", F.concat(F.lit("?"), F.substr("name", F.lit(2))).alias("name")).distinct(), names)
+
+
+# ---- totals, limits, conflicts
+
+
+@query("total_size", f"WITH {LINES} SELECT archive_path, count(*)::BIGINT AS n_entries, sum(size)::BIGINT AS total_size, max(size)::BIGINT AS largest FROM lines_e GROUP BY 1")
+def total_size(spark, d):
+    return limits.totals(A.lineitem(spark, d)).select("archive_path", "n_entries", F.col("total_size").cast("long").alias("total_size"), "largest")
+
+
+@query("path_bytes", f"WITH {LINES} SELECT archive_path, (2 * sum(length(path)))::BIGINT AS path_bytes FROM lines_e GROUP BY 1")
+def path_bytes(spark, d):
+    return limits.totals(A.lineitem(spark, d)).select("archive_path", "path_bytes")
+
+
+_SO_FAR = f"{ORDERS}, w AS (SELECT *, count(*) OVER o AS n, sum(coalesce(size, 0)) OVER o AS b FROM orders_e WINDOW o AS (PARTITION BY archive_path ORDER BY idx ROWS UNBOUNDED PRECEDING)), lim AS (SELECT *, CASE WHEN n > 500 THEN 'entries' WHEN size > 480000 THEN 'file' WHEN b > 90000000 THEN 'bytes' END AS broken FROM w)"
+_LIMITS = {"max_entries": 500, "max_bytes": 90_000_000, "max_file": 480_000}
+
+
+@query("running_limits", f"WITH {_SO_FAR} SELECT archive_path, idx AS \"index\", n::BIGINT AS entries_so_far, b::BIGINT AS bytes_so_far, broken AS limit_broken FROM lim")
+def running_limits(spark, d):
+    return limits.running(A.orders(spark, d), **_LIMITS).select("archive_path", "index", "entries_so_far", "bytes_so_far", "limit_broken")
+
+
+@query("first_limit_violation", f"WITH {_SO_FAR} SELECT archive_path, min(idx) AS \"index\", arg_min(broken, idx) AS limit_broken FROM lim WHERE broken IS NOT NULL GROUP BY 1")
+def first_limit_violation(spark, d):
+    return limits.first_violations(A.orders(spark, d), **_LIMITS)
+
+
+@query("dup_names", f"WITH {PARTS} SELECT archive_path, lower(path) AS name, count(*)::BIGINT AS n FROM parts_e GROUP BY 1, 2 HAVING count(*) > 1")
+def dup_names(spark, d):
+    return limits.duplicate_names(A.parts(spark, d))
+
+
+@query("path_conflict_adjacent", f"WITH {PAGES}, l AS (SELECT archive_path, {sql_fold(chr(97) + 'rray_to_string(comps, ' + repr('/') + ')')} AS low, kind = 'Directory' AS dir, idx FROM pages_e), n AS (SELECT *, lead(low) OVER (PARTITION BY archive_path ORDER BY low, dir DESC, idx) AS nxt FROM l) SELECT archive_path, coalesce(bool_or(low = nxt OR (NOT dir AND starts_with(nxt, low || '/'))), FALSE) AS conflict FROM n GROUP BY 1")
+def path_conflict_adjacent(spark, d):
+    return limits.adjacent_conflicts(A.pages(spark, d))
+
+
+@query("path_conflict_exact", f"WITH {PAGES}, l AS (SELECT archive_path, {sql_fold(chr(97) + 'rray_to_string(comps, ' + repr('/') + ')')} AS low, kind = 'Directory' AS dir FROM pages_e), p AS (SELECT archive_path, low, bool_or(NOT dir) AS file, count(*) AS same FROM l GROUP BY 1, 2), c AS (SELECT p.archive_path, p.low, p.same - 1 + CASE WHEN p.file THEN (SELECT count(*) FROM l WHERE l.archive_path = p.archive_path AND starts_with(l.low, p.low || '/')) ELSE 0 END AS n FROM p) SELECT archive_path, low AS path, n::BIGINT AS n FROM c WHERE n > 0")
+def path_conflict_exact(spark, d):
+    return limits.conflicts(A.pages(spark, d))
+
+
+@query("encryption_or", f"WITH {ORDERS} SELECT archive_path, count(*) FILTER (encrypted OR archive_path = 'orders-3')::BIGINT AS n_encrypted FROM orders_e GROUP BY 1")
+def encryption_or(spark, d):
+    e = A.orders(spark, d)
+    flags = e.select("archive_path").distinct().withColumn("archive_encrypted", F.col("archive_path") == "orders-3")
+    return limits.encrypted(e, flags).groupBy("archive_path").agg(F.count_if("encrypted").alias("n_encrypted"))
+
+
+@query("positional_names", f"WITH {ORDERS}, c AS (SELECT archive_path, count(*) AS n FROM orders_e GROUP BY 1) SELECT archive_path, idx AS \"index\", CASE WHEN archive_path <> 'orders-2' THEN 'new/' || idx ELSE path END AS path FROM orders_e")
+def positional_names(spark, d):
+    e = A.orders(spark, d)
+    names = e.where("archive_path <> 'orders-2' or index % 3 = 0").select("archive_path", "index", F.concat(F.lit("new/"), F.col("index").cast("string")).alias("name"))
+    return limits.zipped_names(e, names).select("archive_path", "index", "path")
+
+
+@query("conflict_action", f"WITH {ORDERS} SELECT archive_path, idx AS \"index\", CASE WHEN kind = 'Directory' THEN CASE WHEN idx % 2 = 0 THEN 'keep folder' ELSE 'create folder' END WHEN idx % 3 = 0 THEN 'overwrite' ELSE 'write' END AS action FROM orders_e WHERE kind <> 'Directory' OR idx % 7 <> 0 OR TRUE")
+def conflict_action(spark, d):
+    # folders of one archive may share a name; give each its own, so that what is there is known by index
+    e = A.orders(spark, d).withColumn("path", F.concat("path", F.lit("-"), F.col("index").cast("string"))).withColumn("components", P.components(F.col("path")))
+    there = e.where("(kind = 'Directory' and index % 2 = 0) or (kind = 'File' and index % 3 = 0)").select("archive_path", "path", (F.col("kind") == "Directory").alias("is_dir"))
+    return limits.extraction_plan(e, there, "OverwriteAll").select("archive_path", "index", "action")
+
+
+@query("summary_merge", f"WITH {EVENTS} SELECT operation::VARCHAR AS archive_path, count(*)::BIGINT AS entries, sum(bytes)::BIGINT AS bytes, count(*) FILTER (bytes > 2000)::BIGINT AS skipped, min(worker) FILTER (worker IN (SELECT worker FROM events_e e2 WHERE e2.operation = events_e.operation AND bytes > 2000)) AS warning FROM events_e GROUP BY operation")
+def summary_merge(spark, d):
+    e = A.progress_events(spark, d)
+    parts = e.groupBy(F.col("operation").cast("string").alias("archive_path"), "worker").agg(F.count("*").alias("entries"), F.sum("bytes").alias("bytes"), F.count_if(F.col("bytes") > 2000).alias("skipped"))
+    return limits.merged_summaries(parts.withColumn("warning", F.when(F.col("skipped") > 0, F.col("worker"))))
+
+
+@query("root_distinct", f"WITH {ORDERS} SELECT archive_path, count(DISTINCT {sql_fold('comps[1]')})::BIGINT AS n_roots FROM orders_e GROUP BY 1")
+def root_distinct(spark, d):
+    return listing.root_names(A.orders(spark, d))
+
+
+@query("compared_files", "SELECT CASE WHEN p_partkey % 10 = 9 THEN 'y-' || p_partkey ELSE 'x-' || p_partkey END AS name, CASE WHEN p_partkey % 10 = 9 THEN 'extra' WHEN p_partkey % 10 = 8 THEN 'missing' WHEN p_partkey % 10 = 7 THEN 'changed' ELSE 'same' END AS state FROM part")
+def compared_files(spark, d):
+    p = spark.read.parquet(f"{d}/part.parquet").withColumn("k", F.col("p_partkey") % 10)
+    key = F.col("p_partkey").cast("string")
+    digest = lambda more: F.sha2(F.concat("p_name", F.lit(more)), 256)
+    declared = p.where("k <> 9").select(F.concat(F.lit("x-"), key).alias("name"), digest("").alias("digest"))
+    actual = p.where("k <> 8").select(F.concat(F.when(F.col("k") == 9, "y-").otherwise("x-"), key).alias("name"), F.when(F.col("k") == 7, digest("!")).otherwise(digest("")).alias("digest"))
+    return limits.compared_files(declared, actual)
+
+
+# ---- times, messages, progress
+
+
+@query("filetime_roundtrip", f"WITH {ORDERS} SELECT archive_path, idx AS \"index\", mtime * 10000000 + 116444736000000000 AS filetime, mtime AS seconds FROM orders_e")
+def filetime_roundtrip(spark, d):
+    rows = A.orders(spark, d).withColumn("filetime", fmt.to_filetime(F.col("modified_unix_seconds")))
+    return rows.select("archive_path", "index", "filetime", fmt.from_filetime(F.col("filetime")).alias("seconds"))
+
+
+@query("format_timestamp", f"WITH {ORDERS} SELECT archive_path, idx AS \"index\", coalesce(strftime(make_timestamp((mtime - 2000000000) * 1000000), '%Y-%m-%d %H:%M'), '') AS text FROM orders_e")
+def format_timestamp(spark, d):
+    return A.orders(spark, d).select("archive_path", "index", fmt.format_timestamp(F.col("modified_unix_seconds") - 2_000_000_000, utc=True).alias("text"))
+
+
+_MESSAGES = ("Incorrect passphrase", "Encrypted file is unsupported", "error 13: denied", "ACCESS IS DENIED", "Bad LZH data", "truncated archive", "no marker")
+
+
+@query("error_class", "WITH m AS (SELECT p_partkey, (['Incorrect passphrase', 'Encrypted file is unsupported', 'error 13: denied', 'ACCESS IS DENIED', 'Bad LZH data', 'truncated archive', 'no marker'])[p_partkey % 7 + 1] AS message, CASE WHEN p_partkey % 2 = 0 THEN 'reading archive header' ELSE 'opening archive' END AS op FROM part) SELECT p_partkey, p_partkey % 7 = 0 AS password, p_partkey % 7 IN (2, 3) AS elevation, p_partkey % 7 IN (4, 5) AND op = 'reading archive header' AS recoverable FROM m")
+def error_class(spark, d):
+    p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey")
+    message = F.element_at(F.array(*map(F.lit, _MESSAGES)), (F.col("p_partkey") % 7).cast("int") + 1)
+    operation = F.when(F.col("p_partkey") % 2 == 0, "reading archive header").otherwise("opening archive")
+    return p.select("p_partkey", fmt.is_password_error(message).alias("password"), fmt.needs_elevation(message).alias("elevation"), fmt.is_recoverable(operation, message).alias("recoverable"))
+
+
+@query("progress_fraction", f"WITH {EVENTS} SELECT seq, round(CASE WHEN worker = 'purchase' THEN 1.0 ELSE least(bytes / 5000.0, 1.0) END::FLOAT::DOUBLE, 5) AS fraction FROM events_e")
+def progress_fraction(spark, d):
+    e = A.progress_events(spark, d)
+    phase = F.when(F.col("worker") == "purchase", "Finished").otherwise("Extracting")
+    return e.select("seq", F.round(fmt.fraction(phase, F.col("bytes"), F.lit(5000), F.lit(9), F.lit(10)).cast("double"), 5).alias("fraction"))
+
+
+@query("progress_monotone", f"WITH {EVENTS} SELECT operation, seq, max(bytes) OVER (PARTITION BY operation ORDER BY seq ROWS UNBOUNDED PRECEDING)::BIGINT AS bytes_so_far FROM events_e")
+def progress_monotone(spark, d):
+    return progress.monotone(A.progress_events(spark, d)).select("operation", "seq", "bytes_so_far")
+
+
+@query("progress_parallel_merge", f"WITH {EVENTS}, w AS (SELECT operation, worker, max(bytes) AS bytes, max(seq) AS seq, arg_max(file, seq) AS file FROM events_e GROUP BY 1, 2) SELECT operation, sum(bytes)::BIGINT AS bytes, count(*)::BIGINT AS workers, arg_max(file, seq) AS file FROM w GROUP BY 1")
+def progress_parallel_merge(spark, d):
+    return progress.parallel_merge(A.progress_events(spark, d))
+
+
+_OPS = f"{FILES}, f AS (SELECT conv_id AS operation, turn AS idx, CASE WHEN turn % 3 = 2 THEN 0 ELSE size END AS size, turn <> 1 AS is_file FROM files_e), q AS (SELECT DISTINCT operation, x AS done FROM f, (VALUES (1), (200), (900), (100000)) t(x))"
+
+
+def _operation(spark, d):
+    c = spark.read.parquet(f"{d}/conversations.parquet").where("not (turn = 5 and conv_id % 3 = 0)")
+    files = c.select(F.col("conv_id").alias("operation"), F.col("turn").alias("index"), F.when(F.col("turn") % 3 == 2, 0).otherwise(F.char_length("text")).cast("long").alias("size"), (F.col("turn") != 1).alias("is_file"))
+    done = files.select("operation").distinct().withColumn("done", F.explode(F.array(*(F.lit(x).cast("long") for x in (1, 200, 900, 100_000)))))
+    return done, files
+
+
+@query("compression_split", f"WITH {_OPS}, e AS (SELECT *, sum(size) OVER (PARTITION BY operation ORDER BY idx) AS e FROM f WHERE size > 0), x AS (SELECT operation, max(e) AS total FROM e GROUP BY 1), m AS (SELECT q.operation, q.done, min(e.idx) AS file_index FROM q JOIN x USING (operation) JOIN e ON e.operation = q.operation AND e.e >= least(q.done, x.total) GROUP BY 1, 2) SELECT m.operation, m.done::BIGINT AS done, m.file_index, least(e.size, m.done - (e.e - e.size))::BIGINT AS file_bytes FROM m JOIN e ON e.operation = m.operation AND e.idx = m.file_index")
+def compression_split(spark, d):
+    return progress.locate_bytes(*_operation(spark, d))
+
+
+@query("completed_files", f"WITH {_OPS}, e AS (SELECT *, sum(size) OVER (PARTITION BY operation ORDER BY idx) AS e FROM f WHERE is_file) SELECT q.operation, q.done::BIGINT AS done, count(e.idx) FILTER (q.done >= e.e)::BIGINT AS n_completed FROM q LEFT JOIN e USING (operation) GROUP BY 1, 2")
+def completed_files(spark, d):
+    return progress.completed_files(*_operation(spark, d))
