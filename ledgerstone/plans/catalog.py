@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import encoding
 from ..functions import formats as fmt
 from ..functions import paths as P
 from ..operators import limits, listing, progress, volumes
 from ..sources import adapters as A
+from ..sources import archives, sink
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -395,3 +400,69 @@ def compression_split(spark, d):
 @query("completed_files", f"WITH {_OPS}, e AS (SELECT *, sum(size) OVER (PARTITION BY operation ORDER BY idx) AS e FROM f WHERE is_file) SELECT q.operation, q.done::BIGINT AS done, count(e.idx) FILTER (q.done >= e.e)::BIGINT AS n_completed FROM q LEFT JOIN e USING (operation) GROUP BY 1, 2")
 def completed_files(spark, d):
     return progress.completed_files(*_operation(spark, d))
+
+
+# ---- archives written from the documents and read again; code pages; throttled streams
+
+
+def _written(spark: SparkSession, d: str, kind: str, ext: str) -> DataFrame:
+    """The documents of each source as one archive in the shared folder, as files()."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerstone-")
+    folder = os.path.join(folder.removeprefix("file://"), f"archives-{uuid.uuid4().hex}")
+    os.makedirs(folder)
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    rows = docs.select(F.concat("source", F.lit(f".{ext}")).alias("archive"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.lit("File").alias("kind"), F.encode("text", "UTF-8").alias("content"), F.lit(1_700_000_000).cast("long").alias("modified_unix_seconds"))
+    sink.write_archives(rows, folder, kind, 1).write.format("noop").mode("overwrite").save()
+    return archives.files(spark, f"file://{folder}")
+
+
+_DOCS = "SELECT source || '.{ext}' AS archive, doc_id || '.txt' AS path, octet_length(encode(text))::BIGINT AS size, 1700000000::BIGINT AS modified_unix_seconds FROM documents"
+
+
+def _scan(kind: str, ext: str) -> None:
+    @query(f"archive_scan_{ext.replace('.', '_')}", _DOCS.format(ext=ext))
+    def scan(spark, d):
+        rows = archives.entries(_written(spark, d, kind, ext))
+        return rows.select(P.file_name(F.col("archive_path")).alias("archive"), "path", "size", "modified_unix_seconds")
+
+
+_scan("Zip", "zip")
+_scan("Tar", "tar")
+
+
+@query("archive_test", "SELECT source || '.tar.xz' AS archive, count(*)::BIGINT AS entries, sum(octet_length(encode(text)))::BIGINT AS bytes, NULL::VARCHAR AS error_class FROM documents GROUP BY 1")
+def archive_test(spark, d):
+    return archives.tested(_written(spark, d, "TarXz", "tar.xz")).select(P.file_name(F.col("archive_path")).alias("archive"), "entries", "bytes", "error_class")
+
+
+@query("archive_summary", "SELECT source || '.zip' AS archive, 'ZIP' AS format_name, count(*)::BIGINT AS entry_count, sum(octet_length(encode(text)))::BIGINT AS total_uncompressed_size FROM documents GROUP BY 1")
+def archive_summary(spark, d):
+    return archives.archives(_written(spark, d, "Zip", "zip")).select(P.file_name(F.col("archive_path")).alias("archive"), "format_name", "entry_count", "total_uncompressed_size")
+
+
+@query("decode_name", "SELECT p_partkey, p_name AS text, 'Utf8' AS encoding FROM part")
+def decode_name(spark, d):
+    raw = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.encode("p_name", "UTF-8").alias("raw"))
+    return raw.select("p_partkey", encoding.decode_name(F.col("raw")).alias("text"), encoding.detect_encoding(F.col("raw")).alias("encoding"))
+
+
+@query("percent_decode", "SELECT page_id, replace(url, '%', '') AS text FROM pages")
+def percent_decode(spark, d):
+    pages = spark.read.parquet(f"{d}/pages.parquet").withColumn("url", F.replace("url", F.lit("%"), F.lit("")))
+    return pages.select("page_id", encoding.percent_decoded(F.replace("url", F.lit("e"), F.lit("%65"))).alias("text"))
+
+
+@query("container_of", "SELECT p_partkey, (['Zip', 'SevenZip', 'Rar4', 'Rar5', 'Lzh', NULL])[p_partkey % 6 + 1] AS container, CASE WHEN p_partkey % 6 = 5 THEN 'gzip' END AS filter FROM part")
+def container_of(spark, d):
+    heads = ("504B030414000000", "377ABCAF271C0004", "526172211A070000", "526172211A070100", "21002D6C68352D00", "1F8B080000000000")
+    head = F.unhex(F.element_at(F.array(*map(F.lit, heads)), (F.col("p_partkey") % 6).cast("int") + 1))
+    rows = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", head.alias("head"))
+    return rows.select("p_partkey", P.container_of(F.lit("file.bin"), F.col("head")).alias("container"), P.filter_of(F.col("head")).alias("filter"))
+
+
+@query("throttle")
+def throttle(spark, d):
+    """Greedy state that SQL windows can't express; tests hold it against the rule itself."""
+    from ..streaming.progress import throttled
+
+    return throttled(A.progress_events(spark, d).withColumn("force", F.lit(False)), 3_600_000)
