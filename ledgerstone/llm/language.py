@@ -26,24 +26,19 @@ UNKNOWN = "und"
 SAMPLE_ROWS, TEMPER, TOWARDS_PARENT, PSEUDO = 8_000, 1 / 3, 20.0, 1.0
 
 
-def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The hashed byte trigrams of the texts in lower case, white space and digits as one blank, and the texts' numbers."""
-    codes, owner = [], []
-    for k, text in enumerate(texts):
-        raw = np.frombuffer(f" {text.lower()} ".encode("utf8", "replace"), np.uint8) if text else np.empty(0, np.uint8)
-        raw = _FOLD[raw]
-        raw = raw[(raw != 32) | np.concatenate([[True], raw[:-1] != 32])] if len(raw) else raw
-        if len(raw) < 3 or (raw == 32).all():
-            continue
-        x = raw.astype(np.uint32)
-        own = (x[:-2] << 16 | x[1:-1] << 8 | x[2:]) * np.uint32(2654435761) >> np.uint32(18)
-        codes.append(own.astype(np.int32))
-        owner.append(np.full(len(own), k, np.int32))
-    if not codes:
-        return np.empty(0, np.int32), np.empty(0, np.int32)
-    return np.concatenate(codes), np.concatenate(owner)
-
-
+def trigrams(text: str | None) -> Iterator[np.ndarray]:
+    """The hashed byte trigrams of a text in lower case, runs of all but letters as one blank, in blocks that bound the memory."""
+    raw = np.frombuffer(f" {text.lower()} ".encode("utf8", "replace"), np.uint8) if text else np.empty(0, np.uint8)
+    raw = _FOLD[raw]
+    if not len(raw) or (raw == 32).all():
+        return
+    raw = raw[(raw != 32) | np.concatenate([[True], raw[:-1] != 32])]
+    for i in range(0, len(raw) - 2, _BLOCK):
+        x = raw[i : i + _BLOCK + 2].astype(np.uint32)
+        yield ((x[:-2] << 16 | x[1:-1] << 8 | x[2:]) * np.uint32(2654435761) >> np.uint32(18)).astype(np.int32)
+
+
+_BLOCK = 1 << 16
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[[b for b in range(128) if not chr(b).isalpha()]] = 32
 
@@ -57,12 +52,12 @@ class TextModel:
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Tempered log likelihoods (text, language) and the numbers of trigrams."""
-        codes, owner = trigrams(texts)
-        out = np.zeros((len(texts), len(self.languages)))
-        if len(codes):
-            begins = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-            out[owner[begins]] = np.add.reduceat(self.log_p[codes], begins, axis=0, dtype=np.float64)
-        return out * TEMPER, np.bincount(owner, minlength=len(texts))
+        out, sizes = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
+        for k, text in enumerate(texts):
+            for codes in trigrams(text):
+                out[k] += self.log_p[codes].sum(axis=0, dtype=np.float64)
+                sizes[k] += len(codes)
+        return out * TEMPER, sizes
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "lang", rows: int = SAMPLE_ROWS) -> TextModel:
@@ -79,10 +74,10 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", rows: int
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            labels, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for name in set(labels):
-                codes, _ = trigrams([t for t, own in zip(texts, labels, strict=True) if own == name])
-                total[name] = total.get(name, 0) + np.bincount(codes, minlength=BUCKETS)
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = total.setdefault(name, np.zeros(BUCKETS, np.int64))
+                for codes in trigrams(text):
+                    own += np.bincount(codes, minlength=BUCKETS)
         for name, n in total.items():
             at = np.flatnonzero(n)
             yield pa.record_batch([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["label", "bucket", "n"])
