@@ -40,16 +40,17 @@ def branches(nodes: DataFrame, best: int = 1) -> DataFrame:
     jump = base.join(there.withColumn("known", F.lit(True)), ["tree", "parent"], "left")
     jump = written(jump.select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("up"), "score", F.lit(0).alias("depth")))
     most = base.groupBy("tree").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    jumps = []
-    for _ in range(int(most).bit_length()):
-        moving = jump.where(F.col("up").isNotNull())
+    jumps, settled, moving = [], jump.where(F.col("up").isNull()), jump.where(F.col("up").isNotNull())
+    for _ in range(int(most).bit_length()):  # nodes that have reached their root aren't joined again
         if moving.isEmpty():
             break
         jumps.append(moving.select("tree", "node", "up"))
-        above = jump.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("score").alias("more"), F.col("depth").alias("further"))
+        above = settled.unionByName(moving).select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("score").alias("more"), F.col("depth").alias("further"))
         far = F.lit(1 << (len(jumps) - 1))
-        jump = written(jump.join(above, ["tree", "up"], "left").select("tree", "node", F.col("next").alias("up"), (F.col("score") + F.coalesce("more", F.lit(0))).alias("score"), F.when(F.col("up").isNull(), F.col("depth")).otherwise(far + F.col("further")).cast("int").alias("depth")))
-    ends = jump.where(F.col("up").isNull()).join(base.select("tree", F.col("parent").alias("node")).where("node is not null").distinct(), ["tree", "node"], "left_anti")
+        step = moving.join(above, ["tree", "up"]).select("tree", "node", F.col("next").alias("up"), (F.col("score") + F.col("more")).alias("score"), (far + F.col("further")).cast("int").alias("depth"))
+        step = written(step)
+        settled, moving = settled.unionByName(step.where(F.col("up").isNull())), step.where(F.col("up").isNotNull())
+    ends = settled.join(base.select("tree", F.col("parent").alias("node")).where("node is not null").distinct(), ["tree", "node"], "left_anti")
     if best == 1:
         leaves = ends.groupBy("tree").agg(F.min_by(F.struct("node", "score", "depth"), F.struct(F.negative("score"), "node")).alias("l"))
         leaves = leaves.select("tree", F.col("l.node").alias("leaf"), F.lit(1).alias("branch_rank"), F.col("l.score").alias("branch_score"), F.col("l.depth").alias("at"))
