@@ -68,7 +68,7 @@ _CHUNK = 256
 
 def _votes(kind: str, value: Column, before: Column, after: Column) -> Column:
     """1 for, -1 against, 0 abstains; in the order of LABELERS."""
-    form = F.lit(1) if kind in BASE else F.lit(0) if kind == "name" else F.when(value.rlike(r"^\(?[2-9]"), 1).otherwise(-1)
+    form = F.lit(1) if kind in BASE else F.when(value.rlike(r"^\(?[01]"), -1).otherwise(0)  # a loose form alone says nothing
     known = {"email": r"(?i)@[^@]*(mail|\.com|\.org|\.net|\.edu)", "name": "^.", "phone": r"^\+(1|33|34|44|49) ?", "local_phone": "^[(]?[2-9][0-8]"}.get(kind)
     gazetteer = F.when(value.rlike(NOBODY), -1).when(value.rlike(known) if known else F.lit(False), 1).otherwise(0)
     context = F.when(before.rlike(rf"(?i)\b({CUES[kind]})"), 1).when(before.rlike(rf"(?i)\b({AGAINST})"), -1).otherwise(0)
