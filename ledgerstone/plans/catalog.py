@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import encoding
 from ..functions import formats as fmt
 from ..functions import paths as P
-from ..operators import limits, listing, progress, volumes
+from ..operators import actions, limits, listing, progress, volumes
 from ..sources import adapters as A
 from ..sources import archives, sink
 
@@ -466,3 +466,65 @@ def throttle(spark, d):
     from ..streaming.progress import throttled
 
     return throttled(A.progress_events(spark, d).withColumn("force", F.lit(False)), 3_600_000)
+
+
+# ---- actions
+
+
+@query("direct_children", f"WITH {ORDERS}, r AS (SELECT archive_path, array_to_string(comps[1:3], '/') AS path, idx, CASE WHEN len(comps) = 3 THEN size END AS size, CASE WHEN len(comps) = 3 THEN kind ELSE 'Directory' END AS kind, coalesce(size, 0) AS a FROM orders_e WHERE comps[1:2] = ['1-URGENT', 'O'] AND len(comps) > 2), f AS (SELECT archive_path, path, coalesce(min(idx) FILTER (NOT (size IS NULL AND kind = 'Directory')), max(idx)) AS k, sum(a)::BIGINT AS of_size FROM r GROUP BY 1, 2) SELECT f.archive_path, f.path, f.k AS \"index\", r.size, r.kind, of_size FROM f JOIN r ON r.archive_path = f.archive_path AND r.path = f.path AND r.idx = f.k")
+def direct_children(spark, d):
+    return actions.direct_children(A.orders(spark, d), "1-URGENT/O")
+
+
+@query("drop_route", f"WITH {ORDERS}, g AS (SELECT idx // 2 * 2 + CASE WHEN idx % 10 < 5 THEN idx % 2 ELSE 0 END AS drop_id, comps[-1] AS name, kind FROM orders_e) SELECT drop_id, CASE WHEN count(*) = 1 AND NOT bool_or(kind = 'Directory') AND bool_or(regexp_matches(name, '\\.(zip|gz|7z\\.001)$')) THEN 'list' ELSE 'create' END AS route FROM g GROUP BY 1")
+def drop_route(spark, d):
+    drop = F.floor(F.col("index") / 2) * 2 + F.when(F.col("index") % 10 < 5, F.col("index") % 2).otherwise(0)
+    return actions.drop_routes(A.orders(spark, d).select(drop.alias("drop_id"), F.element_at("components", -1).alias("name"), (F.col("kind") == "Directory").alias("is_dir")))
+
+
+@query("extraction_destination", f"WITH {ORDERS}, n AS (SELECT *, comps[-1] AS name, comps[1] || '/' || comps[2] AS folder FROM orders_e) SELECT archive_path, idx AS \"index\", CASE WHEN idx % 3 = 0 THEN NULL WHEN idx % 3 = 1 THEN folder ELSE folder || '/' || CASE WHEN name LIKE '%.7z.001' THEN replace(name, '.7z.001', '') WHEN name LIKE '%.tar.gz' THEN replace(name, '.tar.gz', '') ELSE regexp_replace(name, '\\.[^.]*$', '') END END AS folder FROM n")
+def extraction_destination(spark, d):
+    return A.orders(spark, d).select("archive_path", "index", actions.destination(F.col("path"), F.col("index") % 3).alias("folder"))
+
+
+@query("create_target", f"WITH {ORDERS}, g AS (SELECT idx // 2 AS selection, min(path) AS a, max(path) AS b, count(*) AS n, bool_or(kind = 'Directory') AS dir, min(comps[1]) AS p1, max(comps[1]) AS p2, min(comps[1:2]) AS q1, max(comps[1:2]) AS q2 FROM orders_e WHERE idx % 6 <> 1 GROUP BY 1), c AS (SELECT *, CASE WHEN q1 = q2 THEN q1[1] || '/' || q1[2] WHEN p1 = p2 THEN p1 ELSE '' END AS common, string_split(a, '/')[-1] AS name FROM g) SELECT selection, CASE WHEN common = '' THEN '' ELSE common || '/' END || CASE WHEN n > 1 THEN CASE WHEN common = '' THEN 'archive' ELSE string_split(common, '/')[-1] END WHEN dir THEN name ELSE regexp_replace(name, '\\.[^.]*$', '') END || '.zip' AS target FROM c")
+def create_target(spark, d):
+    rows = A.orders(spark, d).where("index % 6 <> 1").select(F.floor(F.col("index") / 2).alias("selection"), "path", (F.col("kind") == "Directory").alias("is_dir"))
+    return actions.create_targets(rows)
+
+
+@query("menu_actions", f"WITH {ORDERS}, g AS (SELECT idx // 2 AS selection, count(*) AS n, bool_and(kind <> 'Directory' AND regexp_matches(path, '\\.(zip|gz|7z\\.001)$')) AS ar, bool_and(kind = 'Directory') AS fo FROM orders_e GROUP BY 1) SELECT selection, CASE WHEN ar AND n = 1 THEN 'extract' WHEN ar THEN 'extract,zip,7z' WHEN fo AND n > 1 THEN 'zip,7z,zip each,7z each' ELSE 'zip,7z' END AS actions FROM g")
+def menu_actions(spark, d):
+    rows = A.orders(spark, d).select(F.floor(F.col("index") / 2).alias("selection"), F.element_at("components", -1).alias("name"), (F.col("kind") == "Directory").alias("is_dir"))
+    return actions.menu_actions(rows).withColumn("actions", F.array_join("actions", ","))
+
+
+@query("batch_results", "WITH e AS (SELECT user_id AS batch, event_id AS seq, event_type AS name, CASE WHEN event_id % 5 = 0 THEN 'error 13' WHEN event_id % 7 = 0 THEN 'data error' END AS error FROM events) SELECT batch, count(*) FILTER (error IS NULL)::BIGINT AS processed, count(error)::BIGINT AS failed, count(*) FILTER (error = 'error 13')::BIGINT AS elevation, coalesce(string_agg(name || ': ' || error, chr(10) ORDER BY seq) FILTER (error IS NOT NULL), '') AS messages FROM e GROUP BY 1")
+def batch_results(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    error = F.when(F.col("event_id") % 5 == 0, "error 13").when(F.col("event_id") % 7 == 0, "data error")
+    return actions.batch_results(e.select(F.col("user_id").alias("batch"), F.col("event_id").alias("seq"), F.col("event_type").alias("name"), error.alias("error")))
+
+
+@query("progress_text", f"WITH {EVENTS} SELECT seq, CASE WHEN seq % 3 = 0 THEN '—%' ELSE format('{{:.0f}}%', least(bytes / 4096.0, 1.0)::FLOAT::DOUBLE * 100) END AS percent, CASE WHEN seq % 3 = 0 THEN 'Files ' || seq ELSE 'Files ' || least(seq, 500) || ' / 500' END || '  •  ' || CASE WHEN bytes < 1024 THEN bytes || ' B' ELSE format('{{:.1f}} KB', bytes / 1024.0) END || ' processed' AS detail, printf('Elapsed %02d:%02d:%02d', seq // 3600, seq % 3600 // 60, seq % 60) AS elapsed_text FROM events_e")
+def progress_text(spark, d):
+    e = A.progress_events(spark, d)
+    known = F.col("seq") % 3 != 0
+    rows = e.select("seq", "bytes", F.col("seq").alias("entries"), F.when(known, F.lit(4096)).alias("total_bytes"), F.when(known, F.lit(500)).alias("total_entries"), F.lit("Extracting").alias("phase"), F.lit(1).alias("file_bytes"), F.lit(None).cast("long").alias("file_total"), F.col("seq").cast("double").alias("elapsed"))
+    return actions.progress_texts(rows).select("seq", "percent", "detail", "elapsed_text")
+
+
+@query("callback_progress", f"WITH {EVENTS}, c AS (SELECT operation, seq, 1000 + least(CASE WHEN bytes >= 1000 THEN bytes - 1000 ELSE bytes END, 1500) AS a, least(CASE WHEN bytes >= 1000 THEN bytes - 1000 ELSE bytes END, 1500) AS f FROM events_e) SELECT operation, seq, max(a) OVER (PARTITION BY operation ORDER BY seq ROWS UNBOUNDED PRECEDING)::BIGINT AS all_bytes, f::BIGINT AS file_bytes FROM c")
+def callback_progress(spark, d):
+    e = A.progress_events(spark, d).select("operation", "seq", F.col("bytes").alias("reported"), F.lit(1000).cast("long").alias("base"), F.lit(1500).cast("long").alias("total"))
+    return actions.callback_progress(e).select("operation", "seq", "all_bytes", "file_bytes")
+
+
+@query("median_start", "SELECT event_type, median(value) AS median FROM events GROUP BY 1")
+def median_start(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").groupBy("event_type").agg(F.median("value").alias("median"))
+
+
+@query("capabilities")
+def capabilities(spark, d):
+    return actions.capabilities(spark)
