@@ -107,9 +107,9 @@ def suffix_of(host: Column) -> Column:
 def _likelihood(counts: DataFrame, col: str, n_languages: int, out: str) -> DataFrame:
     """col, and log P(value | language) as an array; languages by number."""
     values = counts.groupBy(col).agg(*(F.sum(F.when(F.col("found") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(n_languages)))
-    total = values.agg(F.count("*").alias("kinds"), *(F.sum(f"n{k}").alias(f"t{k}") for k in range(n_languages)))
-    logs = F.array(*(F.log((F.col(f"n{k}") + PSEUDO) / (F.col(f"t{k}") + PSEUDO * (F.col("kinds") + 1))) for k in range(n_languages)))
-    return values.join(F.broadcast(total)).select(col, logs.alias(out))  # total is one row
+    first = values.agg(F.count("*").alias("kinds"), *(F.sum(f"n{k}").alias(f"t{k}") for k in range(n_languages))).first()
+    totals = [(first[f"t{k}"] or 0) + PSEUDO * (first["kinds"] + 1) for k in range(n_languages)]
+    return values.select(col, F.array(*(F.log((F.col(f"n{k}") + PSEUDO) / F.lit(totals[k])) for k in range(n_languages))).alias(out))
 
 
 def _priors(counts: DataFrame, n_languages: int) -> tuple[DataFrame, list[float]]:
