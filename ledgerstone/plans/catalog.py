@@ -53,15 +53,16 @@ ORDERS = f"""orders_e AS (SELECT *, {sql_components('path')} AS comps, size // 2
 LINES = """lines_e AS (SELECT 'lines-' || (l_orderkey % 64) AS archive_path, l_returnflag || '/' || l_linestatus || '/' || l_partkey || '/' || l_orderkey || '-' || l_linenumber || '.bin' AS path,
   l_quantity::BIGINT AS size FROM lineitem)"""
 PARTS = """parts_e AS (SELECT 'parts-' || (p_partkey % 4) AS archive_path, p_partkey AS idx, p_brand || '/' || CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE p_name END AS path, p_size::BIGINT AS size FROM part)"""
-FILES = """files_e AS (SELECT (conv_id % 10)::VARCHAR AS folder, 'chat-' || conv_id || '.zip.' || lpad((turn + 1)::VARCHAR, 3, '0') AS name, length(text)::BIGINT AS size, conv_id, turn
-  FROM conversations WHERE NOT (turn = 5 AND conv_id % 3 = 0))"""
+FILES = """files_e AS (SELECT (conv_id % 10)::VARCHAR AS folder, 'chat-' || conv_id || '.zip.' || lpad(n::VARCHAR, 3, '0') AS name, length(text)::BIGINT AS size, conv_id, turn, n
+  FROM (SELECT *, turn + 1 + CASE WHEN turn >= 5 AND conv_id % 3 = 0 THEN 1 ELSE 0 END AS n FROM conversations))"""
 EVENTS = """events_e AS (SELECT user_id AS operation, event_type AS worker, event_id AS seq, epoch_ms(ts) AS ms, floor(value * 100)::BIGINT AS bytes, 'file-' || (event_id % 50) AS file FROM events)"""
-SELECTION = """chosen AS (SELECT DISTINCT archive_path, list_aggregate(comps[1:2], 'string_agg', '/') AS path FROM orders_e WHERE idx % 50 = 3)"""
+SELECTION = """chosen AS (SELECT DISTINCT archive_path, list_aggregate(comps[1:2], 'string_agg', '/') AS path FROM orders_e WHERE comps[1] = '5-LOW' OR comps[1:2] = ['1-URGENT', 'F'])"""
 
 
 def _selection(spark: SparkSession, d: str) -> DataFrame:
-    """Folders of two levels that some orders lie in."""
-    return A.orders(spark, d).where("index % 50 = 3").select("archive_path", F.array_join(F.slice("components", 1, 2), "/").alias("path")).distinct()
+    """What a user picked in each archive: three folders of one level and one of the next."""
+    folders = A.orders(spark, d).select("archive_path", F.array_join(F.slice("components", 1, 2), "/").alias("path")).distinct()
+    return folders.where("path like '5-LOW/%' or path = '1-URGENT/F'")
 
 
 # ---- paths and names
@@ -203,7 +204,7 @@ def volume_name_parse(spark, d):
     return volumes.with_base(A.volume_files(spark, d)).select("folder", "name", "volume_base", "volume_index")
 
 
-_RUN = f"{FILES}, run AS (SELECT *, turn + 1 AS n, 'chat-' || conv_id || '.zip' AS base FROM files_e), ok AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n) AS pos FROM run) WHERE n = pos)"
+_RUN = f"{FILES}, run AS (SELECT *, 'chat-' || conv_id || '.zip' AS base FROM files_e), ok AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n) AS pos FROM run) WHERE n = pos)"
 
 
 @query("volume_contiguous", f"WITH {_RUN} SELECT folder, base, n::BIGINT AS \"index\", size FROM ok")
@@ -310,7 +311,7 @@ def positional_names(spark, d):
     return limits.zipped_names(e, names).select("archive_path", "index", "path")
 
 
-@query("conflict_action", f"WITH {ORDERS} SELECT archive_path, idx AS \"index\", CASE WHEN kind = 'Directory' THEN CASE WHEN idx % 2 = 0 THEN 'keep folder' ELSE 'create folder' END WHEN idx % 3 = 0 THEN 'overwrite' ELSE 'write' END AS action FROM orders_e WHERE kind <> 'Directory' OR idx % 7 <> 0 OR TRUE")
+@query("conflict_action", f"WITH {ORDERS} SELECT archive_path, idx AS \"index\", CASE WHEN kind = 'Directory' THEN CASE WHEN idx % 2 = 0 THEN 'keep folder' ELSE 'create folder' END WHEN idx % 3 = 0 THEN 'overwrite' ELSE 'write' END AS action FROM orders_e")
 def conflict_action(spark, d):
     # folders of one archive may share a name; give each its own, so that what is there is known by index
     e = A.orders(spark, d).withColumn("path", F.concat("path", F.lit("-"), F.col("index").cast("string"))).withColumn("components", P.components(F.col("path")))
@@ -386,7 +387,7 @@ _OPS = f"{FILES}, f AS (SELECT conv_id AS operation, turn AS idx, CASE WHEN turn
 
 
 def _operation(spark, d):
-    c = spark.read.parquet(f"{d}/conversations.parquet").where("not (turn = 5 and conv_id % 3 = 0)")
+    c = spark.read.parquet(f"{d}/conversations.parquet")
     files = c.select(F.col("conv_id").alias("operation"), F.col("turn").alias("index"), F.when(F.col("turn") % 3 == 2, 0).otherwise(F.char_length("text")).cast("long").alias("size"), (F.col("turn") != 1).alias("is_file"))
     done = files.select("operation").distinct().withColumn("done", F.explode(F.array(*(F.lit(x).cast("long") for x in (1, 200, 900, 100_000)))))
     return done, files
@@ -487,9 +488,9 @@ def extraction_destination(spark, d):
     return A.orders(spark, d).select("archive_path", "index", actions.destination(F.col("path"), F.col("index") % 3).alias("folder"))
 
 
-@query("create_target", f"WITH {ORDERS}, g AS (SELECT idx // 2 AS selection, min(path) AS a, max(path) AS b, count(*) AS n, bool_or(kind = 'Directory') AS dir, min(comps[1]) AS p1, max(comps[1]) AS p2, min(comps[1:2]) AS q1, max(comps[1:2]) AS q2 FROM orders_e WHERE idx % 6 <> 1 GROUP BY 1), c AS (SELECT *, CASE WHEN q1 = q2 THEN q1[1] || '/' || q1[2] WHEN p1 = p2 THEN p1 ELSE '' END AS common, string_split(a, '/')[-1] AS name FROM g) SELECT selection, CASE WHEN common = '' THEN '' ELSE common || '/' END || CASE WHEN n > 1 THEN CASE WHEN common = '' THEN 'archive' ELSE string_split(common, '/')[-1] END WHEN dir THEN name ELSE regexp_replace(name, '\\.[^.]*$', '') END || '.zip' AS target FROM c")
+@query("create_target", f"WITH {ORDERS}, g AS (SELECT CASE WHEN idx % 6 = 1 THEN -idx ELSE idx // 2 END AS selection, min(path) AS a, max(path) AS b, count(*) AS n, bool_or(kind = 'Directory') AS dir, min(comps[1]) AS p1, max(comps[1]) AS p2, min(comps[1:2]) AS q1, max(comps[1:2]) AS q2 FROM orders_e GROUP BY 1), c AS (SELECT *, CASE WHEN q1 = q2 THEN q1[1] || '/' || q1[2] WHEN p1 = p2 THEN p1 ELSE '' END AS common, string_split(a, '/')[-1] AS name FROM g) SELECT selection, CASE WHEN common = '' THEN '' ELSE common || '/' END || CASE WHEN n > 1 THEN CASE WHEN common = '' THEN 'archive' ELSE string_split(common, '/')[-1] END WHEN dir THEN name ELSE regexp_replace(name, '\\.[^.]*$', '') END || '.zip' AS target FROM c")
 def create_target(spark, d):
-    rows = A.orders(spark, d).where("index % 6 <> 1").select(F.floor(F.col("index") / 2).alias("selection"), "path", (F.col("kind") == "Directory").alias("is_dir"))
+    rows = A.orders(spark, d).select(F.when(F.col("index") % 6 == 1, -F.col("index")).otherwise(F.floor(F.col("index") / 2)).alias("selection"), "path", (F.col("kind") == "Directory").alias("is_dir"))
     return actions.create_targets(rows)
 
 

@@ -65,9 +65,9 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def volume_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as split archives: folder, name, size; turn t is part t + 1, and turn 5 of every third one is missing."""
-    df = _table(spark, sf_dir, "conversations").where("not (turn = 5 and conv_id % 3 = 0)")
-    n = F.col("turn") + 1
+    """Conversations as split archives: folder, name, size; turn t is part t + 1; every third one has a gap before turn 5."""
+    df = _table(spark, sf_dir, "conversations")
+    n = F.col("turn") + 1 + F.when((F.col("turn") >= 5) & (F.col("conv_id") % 3 == 0), 1).otherwise(0)
     return df.select((F.col("conv_id") % 10).cast("string").alias("folder"), F.concat(F.lit("chat-"), F.col("conv_id").cast("string"), F.lit(".zip."), F.lpad(n.cast("string"), 3, "0")).alias("name"), F.char_length("text").cast("long").alias("size"))
 
 
