@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a side whose row width is bounded that may be broadcast; above it the join shuffles.
@@ -28,9 +28,24 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """written(), and the number of rows, which is counted while writing."""
+    seen = Observation()
+    out = written(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, seen.get.get("n") or 0
+
+
+def hinted(df: DataFrame, n: int, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """small() for a table whose rows are counted already."""
+    return F.broadcast(df) if n <= rows else df.hint("merge")
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many (narrow) rows; without one, the join shuffles. df should be cheap to count."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """df to be broadcast if it has at most so many (narrow) rows, else to be shuffled and merged. df should be cheap to count.
+
+    Spark's own choice goes by the size of files, which says little about rows in memory.
+    """
+    return hinted(df, df.limit(rows + 1).count(), rows)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

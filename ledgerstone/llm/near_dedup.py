@@ -5,10 +5,12 @@
    broadcast). The inverse frequency is scaled to [1, 1 + IDF_SPREAD]: unbounded, it would weigh the few words that differ
    within a large group of near copies many times higher than all that they share, and tear the group apart.
 2. Texts with the same words are one vertex. Each vertex gets SAMPLES consistent weighted samples; two vertices agree in a
-   sample with a probability that is their weighted Jaccard similarity. BANDS bands of ROWS samples are the bucket keys.
-3. In rounds, some members of each bucket are its leaders and are compared with the members of other classes, first by
-   their samples, then exactly. A bucket is done when all members that haven't led are of one class: every pair of different
-   classes has then been compared. Pairs are never made beyond that, and no bucket is gathered in one task.
+   sample with a probability that is their weighted Jaccard similarity. BANDS bands of SAMPLES / BANDS samples are the bucket keys.
+3. The least member of each bucket leads it and is compared with all others, first by their samples, then exactly; the links
+   found make classes. In a bucket that still holds several classes, all members outside its largest class are queries and are
+   compared with all members of other classes, in blocks of bounded size within tasks: first by samples, and those that agree
+   with any, exactly. So every pair of a bucket that isn't in one class by then has been compared, but no pair is a row except
+   those with a leader.
 4. Verified links are joined into connected components by alternating large-star and small-star steps.
 """
 
@@ -20,13 +22,14 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import fresh, small, written
+from .common import counted, fresh, hinted, small, written
 
 SHINGLE, SIMILARITY = 5, 0.8
-SAMPLES, BANDS = 64, 16
+SAMPLES, BANDS = 126, 21
+BLOCK, BLOCK_WORDS = 512, 1 << 21
 DF_BUCKETS, IDF_SPREAD = 1 << 18, 0.15
 _TABLE, _STEP, _LEVELS = 1 << 12, 0.02, 1024
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -149,15 +152,16 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def signatures(docs: DataFrame, idf, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document: key, vertex (16 bytes), samples (SAMPLES bytes), bands (BANDS long keys; none for texts without words)."""
+    """One row a document: key, vertex (16 bytes), words (their number), samples (SAMPLES bytes), bands (BANDS long keys; none for texts without words)."""
 
     def sign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            vertices, samples, bands = [], [], []
+            vertices, sizes, samples, bands = [], [], [], []
             for t in texts.to_pylist():
                 words = word_hashes(t)
                 h, n = shingles(words)
                 vertices.append(identity(words))
+                sizes.append(len(words))
                 if not len(h):
                     samples.append(b"")
                     bands.append([])
@@ -168,9 +172,9 @@ def signatures(docs: DataFrame, idf, key: str = "doc_id", text: str = "text") ->
                 for column in own.reshape(BANDS, -1).T:
                     keys = _mixed(keys * _B + column)
                 bands.append((keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64))
-            yield pa.StructArray.from_arrays([pa.array(vertices, pa.binary()), pa.array(samples, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["vertex", "samples", "bands"])
+            yield pa.StructArray.from_arrays([pa.array(vertices, pa.binary()), pa.array(sizes, pa.int64()), pa.array(samples, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["vertex", "words", "samples", "bands"])
 
-    return docs.select(key, F.arrow_udf(sign, "struct<vertex:binary,samples:binary,bands:array<long>>")(F.col(text)).alias("s")).select(key, "s.*")
+    return docs.select(key, F.arrow_udf(sign, "struct<vertex:binary,words:long,samples:binary,bands:array<long>>")(F.col(text)).alias("s")).select(key, "s.*")
 
 
 def _agree(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -186,53 +190,113 @@ def _agree(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
     return pairs.join(sides[0], "a").join(sides[1], "b").where(F.arrow_udf(near, "boolean")("s_a", "s_b")).select("a", "b")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, idf, vertices: DataFrame) -> DataFrame:
+def _texts(needs: DataFrame, docs: DataFrame, vertices: DataFrame) -> DataFrame:
+    """needs (with vertex) and the vertices' texts; rows that only share a keeper's id come along and must be left out by identity()."""
+    needs, n = counted(needs.join(vertices.select("vertex", "keeper"), "vertex"))
+    held = docs.select(F.col("doc_id").alias("_doc"), "text")
+    held = held.join(small(needs.select(F.col("keeper").alias("_keeper")).distinct()), F.col("_doc").eqNullSafe(F.col("_keeper")), "left_semi")
+    return held.join(hinted(needs, n, 200_000), F.col("_doc").eqNullSafe(F.col("keeper"))).drop("_doc", "keeper")
+
+
+def _verified(pairs: DataFrame, n_pairs: int, docs: DataFrame, idf, vertices: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts are similar enough. A leader a meets its partners in streams sorted by (a, salt): no group
     is held in memory, and a leader of many partners is dealt to many tasks."""
-    fans = pairs.groupBy("a").agg((F.floor(F.count("*") / 500) + 1).cast("int").alias("salts"))
+    fans = pairs.groupBy("a").agg((F.floor(F.count("*") / BLOCK) + 1).cast("int").alias("salts"))
+    fans = hinted(written(fans), n_pairs)
     salted = pairs.join(fans, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
     needs = salted.select(F.col("b").alias("vertex"), "a", "salt", F.lit(1).alias("part"))
     needs = needs.unionByName(fans.select(F.col("a").alias("vertex"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("part")))
-    needs = written(needs.join(vertices.select("vertex", "keeper"), "vertex"))
-    texts = docs.join(small(needs.select("keeper").distinct()), docs["doc_id"].eqNullSafe(F.col("keeper")), "left_semi")
-    rows = needs.join(texts, texts["doc_id"].eqNullSafe(needs["keeper"])).select("a", "salt", "part", "vertex", "text")
-    dealt = rows.repartition(F.col("a"), F.col("salt")).sortWithinPartitions("a", "salt", "part")
+    rows = _texts(needs, docs, vertices).select("a", "salt", "part", "vertex", F.col("vertex").alias("root"), "text")
+    return _compared(rows.repartition(F.col("a"), F.col("salt")).sortWithinPartitions("a", "salt", "part"), idf)
+
+
+def _verified_blocks(met: DataFrame, n_met: int, docs: DataFrame, idf, vertices: DataFrame) -> DataFrame:
+    """Links (a, b) between a group's queries and partners of other classes; met is what _across() gives. A group's queries are
+    dealt into blocks of bounded rows and words; its partners stream past each block, in parts of bounded rows."""
+    queries = met.where("part = 0").join(vertices.select("vertex", "words"), "vertex")
+    sizes = queries.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("words") / BLOCK_WORDS, F.lit(1.0))).cast("int").alias("parts"))
+    spread = met.where("part = 1").groupBy("group").agg((F.floor(F.count("*") / (4 * BLOCK)) + 1).cast("int").alias("salts"))
+    sizes = hinted(written(sizes.join(spread, "group")), n_met)
+    h = F.xxhash64("vertex")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    each = met.join(sizes, "group")
+    own = each.where("part = 0").select("group", F.pmod(h, "parts").cast("int").alias("q"), every(F.col("salts")).alias("salt"), "part", "vertex", "root")
+    partners = each.where("part = 1").select("group", every(F.col("parts")).alias("q"), F.pmod(h, "salts").cast("int").alias("salt"), "part", "vertex", "root")
+    needs = own.unionByName(partners).withColumn("a", F.concat("group", F.col("q").cast("string").cast("binary")))
+    rows = _texts(needs.select("a", "salt", "part", "vertex", "root"), docs, vertices).select("a", "salt", "part", "vertex", "root", "text")
+    return _compared(rows.repartition(F.col("a"), F.col("salt")).sortWithinPartitions("a", "salt", "part"), idf)
+
+
+def _compared(dealt: DataFrame, idf) -> DataFrame:
+    """Links (a, b) of streams sorted by (a, salt, part): the rows of part 0 are held and compared with each row of part 1 of
+    another class. One link to each class is enough."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, leader = None, None
+        at, names, vectors, index, known = None, [], [], None, set()
         for batch in batches:
             left, right = [], []
-            for a, salt, part, vertex, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for a, salt, part, vertex, root, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = word_hashes(text)
                 if identity(words) != vertex:  # another row with the same id
                     continue
                 h, n = shingles(words)
                 own = (h, weights(h, n, idf.value))
+                if at != (a, salt):
+                    at, names, vectors, index, known = (a, salt), [], [], None, set()
                 if part == 0:
-                    at, leader = (a, salt), own
-                elif at == (a, salt) and similarity(leader, own) >= SIMILARITY:
-                    left.append(a)
-                    right.append(vertex)
+                    names.append((vertex, root))
+                    vectors.append(own)
+                    continue
+                if index is None and names:
+                    index = SetIndex(vectors)
+                for k in index.similar(own) if index else ():
+                    name, of = names[k]
+                    if of != root and (name, root) not in known:
+                        known.add((name, root))
+                        left.append(name)
+                        right.append(vertex)
             yield pa.record_batch([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
 
     return dealt.mapInArrow(compare, "a binary, b binary").distinct()
 
 
+class SetIndex:
+    """Weighted sets by shingle, so that another set is compared with all of them at once, exactly."""
+
+    def __init__(self, sets: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        hashes = np.concatenate([h for h, _ in sets])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[order]
+        self.weights = np.concatenate([w for _, w in sets])[order]
+        self.owner = np.repeat(np.arange(len(sets)), [len(h) for h, _ in sets])[order]
+        self.totals = np.array([w.sum() for _, w in sets])
+
+    def similar(self, own: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """The numbers of the sets that are similar enough to own."""
+        begin, end = np.searchsorted(self.hashes, own[0], "left"), np.searchsorted(self.hashes, own[0], "right")
+        n = end - begin
+        at = np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        shared = np.bincount(self.owner[at], np.minimum(self.weights[at], np.repeat(own[1], n)), minlength=len(self.totals))
+        total = self.totals + own[1].sum() - shared
+        return np.flatnonzero(shared >= SIMILARITY * total - 1e-9 * (total > 0)) if total.any() else np.empty(0, np.int64)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges a, b: vertex, root (the least vertex of its component), for every vertex that isn't its own root."""
-    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges, n = counted(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(hinted(least, n), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        star = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = written(star.where("u <> v").distinct())
-        seen = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
-        if seen == mark:
+        star = large.join(hinted(least, n), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
+        seen = Observation()
+        edges = written(star.where("u <> v").distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_000_007).alias("h")))
+        now = (seen.get.get("n") or 0, seen.get.get("h") or 0)
+        if now == mark or not now[0]:
             return edges.select(F.col("u").alias("vertex"), F.col("v").alias("root"))
-        mark = seen
+        mark, n = now, now[0]
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -240,51 +304,126 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     docs: doc_id, text. One row for each row of docs. A null text counts as empty; texts with the same words are one class,
     so are texts without words; repeated rows and repeated ids are in the classes of their texts. A null doc_id is never a
-    class_id unless all of the class are null. An empty table gives an empty one.
+    class_id unless all of the class are null. An empty table gives an empty one. Links are those that joined classes: pairs
+    within a class that other links have joined already aren't compared.
     """
+    return _classes(docs).select("doc_id", "class_id", "n_links")
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """near_duplicates() with the vertex of each row and the root of its class."""
     docs = docs.select("doc_id", "text")
     idf = docs.sparkSession.sparkContext.broadcast(document_frequencies(docs))
     signed = written(signatures(docs, idf))
-    vertices = written(signed.groupBy("vertex").agg(F.min("doc_id").alias("keeper"), F.first("samples").alias("samples"), F.first("bands").alias("bands")))
+    vertices = written(signed.groupBy("vertex").agg(F.min("doc_id").alias("keeper"), F.first("words").alias("words"), F.first("samples").alias("samples"), F.first("bands").alias("bands")))
     members = vertices.select("vertex", F.explode("bands").alias("bucket"))
-    crowded = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = written(members.join(crowded, "bucket").withColumn("led", F.lit(False)))
-    links, tried, roots = None, None, None
-    spread = 1
-    while True:
-        now = members.withColumn("root", F.col("vertex")) if roots is None else members.join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
-        waiting = now.where(~F.col("led")).groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
-        now = written(now.join(waiting, "bucket", "left_semi"))
-        if now.isEmpty():
-            break
-        leaders = now.where(~F.col("led")).groupBy("bucket", F.pmod(F.xxhash64("vertex"), F.lit(spread))).agg(F.min_by(F.struct("vertex", "root"), "vertex").alias("l"))
-        leaders = written(leaders.select("bucket", F.col("l.vertex").alias("leader"), F.col("l.root").alias("leader_root")))
-        pairs = now.join(leaders, "bucket").where("root <> leader_root").select(F.least("leader", "vertex").alias("x"), F.greatest("leader", "vertex").alias("y"), "leader").groupBy("x", "y").agg(F.min("leader").alias("a"))
-        pairs = pairs.select("a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b"), "x", "y")
-        if tried is not None:
-            pairs = pairs.join(tried, ["x", "y"], "left_anti")
-        pairs = written(pairs)
-        tried = pairs.select("x", "y") if tried is None else tried.unionByName(pairs.select("x", "y"))
-        found = written(_verified(written(_agree(pairs.select("a", "b"), vertices)), docs, idf, vertices))
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
-        members = written(now.join(leaders.select("bucket", F.col("leader").alias("vertex"), F.lit(True).alias("leads")), ["bucket", "vertex"], "left").select("vertex", "bucket", (F.col("led") | F.coalesce("leads", F.lit(False))).alias("led")))
-        spread *= 4
-    if links is None:
-        return signed.join(vertices.select("vertex", "keeper"), "vertex").select("doc_id", F.col("keeper").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    buckets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("vertex").alias("leader")).where("n > 1").select("bucket", "leader")
+    members, n_members = counted(members.join(buckets, "bucket").select("bucket", "vertex", "leader"))
+    pairs = members.where("vertex <> leader").select(F.col("leader").alias("a"), F.col("vertex").alias("b")).distinct()
+    members = members.select("bucket", "vertex")
+    pairs, n_pairs = counted(pairs)
+    links, n_links = counted(_verified(*counted(_agree(hinted(pairs, n_pairs, 200_000), vertices)), docs, idf, vertices))
+    roots, n_roots = counted(components(links))
+    more, n_more = counted(_across(members, n_members, roots, n_roots, vertices))
+    if n_more:
+        found, n_found = counted(_verified_blocks(more, n_more, docs, idf, vertices))
+        links = links.unionByName(found)
+        if n_found:
+            roots, n_roots = _merged_roots(found, roots, n_roots)
     degree = links.select(F.explode(F.array("a", "b")).alias("vertex")).groupBy("vertex").agg(F.count("*").alias("n_links"))
-    placed = vertices.select("vertex", "keeper").join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
+    placed = vertices.select("vertex", "keeper").join(hinted(roots, n_roots), "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
     classes = placed.groupBy("root").agg(F.min("keeper").alias("class_id"))
-    placed = placed.join(classes, "root").join(degree, "vertex", "left").select("vertex", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return signed.join(placed, "vertex").select("doc_id", "class_id", "n_links")
+    placed = placed.join(classes, "root").join(degree, "vertex", "left").select("vertex", "root", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return signed.join(placed, "vertex").select("doc_id", "vertex", "root", "class_id", "n_links")
+
+
+def _across(members: DataFrame, n_members: int, roots: DataFrame, n_roots: int, vertices: DataFrame) -> DataFrame:
+    """group, vertex, root, part: the vertices of a bucket whose samples agree well enough with those of a vertex of another class
+    there; as queries (part 0) or partners (1). group is the largest class of the bucket.
+
+    A bucket's members outside its largest class are its queries. Queries and members are dealt into blocks of about BLOCK; each
+    pair of blocks meets in one task, which holds the queries' samples and lets the members stream by.
+    """
+    placed = members.join(hinted(roots, n_roots), "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
+    sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
+    mixed = mixed.select("bucket", F.col("top.root").alias("largest"), F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("query_parts"))
+    mixed, n_mixed = counted(mixed)
+    held = placed.join(hinted(mixed, n_mixed), "bucket")
+    held = held.join(vertices.select("vertex", "samples"), "vertex").withColumn("h", F.xxhash64("vertex"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    member = held.select("bucket", every(F.col("query_parts")).alias("q"), F.pmod("h", "parts").cast("int").alias("m"), F.lit(1).alias("side"), "vertex", "root", "samples", "largest")
+    query = held.where("root <> largest").select("bucket", F.pmod("h", "query_parts").cast("int").alias("q"), every(F.col("parts")).alias("m"), F.lit(0).alias("side"), "vertex", "root", "samples", "largest")
+    dealt = member.unionByName(query).repartition(F.col("bucket"), F.col("q"), F.col("m")).sortWithinPartitions("bucket", "q", "m", "side")
+    least = SAMPLES * SIMILARITY - 4 * (SAMPLES * SIMILARITY * (1 - SIMILARITY)) ** 0.5
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, queries, kept, hit = None, [], [], np.zeros(0, bool)
+        for batch in batches:
+            keys = np.column_stack([batch.column(i).to_numpy() for i in range(3)])
+            side, vertex, root, largest = batch.column(3).to_numpy(), *(batch.column(i).to_pylist() for i in (4, 5, 7))
+            own = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(-1, SAMPLES)
+            cuts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1) | (side[1:] != side[:-1]), [True]])) if len(side) else []
+            out = []
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if at != (key := tuple(keys[i])):
+                    out += [(*q, 0) for q, met in zip(queries, hit, strict=False) if met]
+                    at, queries, kept, hit = key, [], [], np.zeros(0, bool)
+                if side[i] == 0:
+                    queries += zip(largest[i:j], vertex[i:j], root[i:j], strict=True)
+                    kept.append(own[i:j])
+                    continue
+                samples = np.concatenate(kept) if kept else np.empty((0, SAMPLES), np.uint8)
+                roots = np.array([q[2] for q in queries], object)
+                hit = hit if len(hit) == len(queries) else np.zeros(len(queries), bool)
+                for k in range(i, j):
+                    near = ((samples == own[k]).sum(axis=1) >= least) & (roots != root[k])
+                    if near.any():
+                        hit |= near
+                        out.append((largest[k], vertex[k], root[k], 1))
+            yield _quartets(out)
+        yield _quartets([(*q, 0) for q, met in zip(queries, hit, strict=False) if met])
+
+    return dealt.mapInArrow(match, "group binary, vertex binary, root binary, part int").distinct()
+
+
+def _quartets(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * 4
+    return pa.record_batch([pa.array(c, pa.int32() if k == 3 else pa.binary()) for k, c in enumerate(columns)], ["group", "vertex", "root", "part"])
+
+
+def _merged_roots(found: DataFrame, roots: DataFrame | None, n_roots: int) -> tuple[DataFrame, int]:
+    """The roots after more links: the links' roots are joined into components, and the old roots follow theirs."""
+    if roots is None:
+        return counted(components(found))
+    edges = found
+    for k in ("a", "b"):
+        own = hinted(roots.select(F.col("vertex").alias(k), F.col("root").alias(f"root_{k}")), n_roots)
+        edges = edges.join(own, k, "left").withColumn(f"root_{k}", F.coalesce(f"root_{k}", k))
+    merged, n = counted(components(edges.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))))
+    further = hinted(merged.select(F.col("vertex").alias("root"), F.col("root").alias("top")), n)
+    return counted(roots.join(further, "root", "left").select("vertex", F.coalesce("top", "root").alias("root")).unionByName(merged))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each class: that with the least doc_id, and one of those if rows repeat it; null ids stay only if a class has no other."""
-    found = written(near_duplicates(docs))
-    goes = found.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_goes")).distinct()
-    often = docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_often"))
-    goes, often = small(written(goes), 4_000_000), small(written(often))
-    kept = docs.join(goes, docs["doc_id"].eqNullSafe(F.col("_goes")), "left_anti")
-    again = kept.join(often, kept["doc_id"].eqNullSafe(F.col("_often")), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(often, kept["doc_id"].eqNullSafe(F.col("_often")), "left_anti").unionByName(again)
+    """docs with one row of each class: that with the least doc_id (rows without one go if the class has others).
+
+    Rows that repeat an id are told apart by their texts; of several rows of one id and class, any one stays.
+    """
+    found = written(_classes(docs))
+    twice, gone = fresh(docs, "_twice"), fresh(docs, "_gone")
+    often = hinted(*counted(found.groupBy(F.col("doc_id").alias(twice)).count().where("count > 1").select(twice)))
+    goes = found.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).join(often, F.col("doc_id").eqNullSafe(F.col(twice)), "left_anti")
+    goes = hinted(*counted(goes.select(F.col("doc_id").alias(gone))), 4_000_000)
+    once = docs.join(often, docs["doc_id"].eqNullSafe(F.col(twice)), "left_anti")
+    once = once.join(goes, once["doc_id"].eqNullSafe(F.col(gone)), "left_anti")
+
+    def vertex(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([identity(word_hashes(t)) for t in texts.to_pylist()], pa.binary())
+
+    own, root, key = fresh(docs, "_vertex"), fresh(docs, "_root"), fresh(docs, "_id")
+    many = docs.join(often, docs["doc_id"].eqNullSafe(F.col(twice)), "left_semi").withColumn(own, F.arrow_udf(vertex, "binary")(F.col("text")))
+    stays = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(key), F.col("vertex").alias(f"{own}_"), F.col("root").alias(root)).distinct()
+    many = many.join(stays, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(own) == F.col(f"{own}_"))).dropDuplicates(["doc_id", root])
+    return once.unionByName(many.select(*docs.columns))

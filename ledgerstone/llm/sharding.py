@@ -16,7 +16,7 @@ from math import ceil, log2
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, whole, written
+from .common import counted, fresh, hinted, whole, written
 
 BITS = 60
 #: A parameter: bytes of text in a shard at most. FINER: bits beyond the expected depth in the first pass.
@@ -55,16 +55,16 @@ def shard(df: DataFrame, keys: list[str], size: Column, limit: int = BYTE_LIMIT)
     total = narrow.agg(F.sum("b")).first()[0] or 0
     at = min(BITS, max(0, ceil(log2(max(1, total / limit)))) + FINER)
     fine = written(narrow.groupBy(prefix(F.col("h"), at).alias("bucket")).agg(F.sum("b").alias("bytes")))
-    first = written(_shortest(fine, at, 0, limit))
+    first, n_first = counted(_shortest(fine, at, 0, limit))
     large = fine.join(first, "bucket", "left_anti")
     out = rows.withColumn(names["fine"], prefix(F.col(names["hash"]), at))
-    out = out.join(first.toDF(names["bucket"], names["depth"]), F.col(names["fine"]) == F.col(names["bucket"]), "left").drop(names["bucket"])
+    out = out.join(hinted(first.toDF(names["bucket"], names["depth"]), n_first), F.col(names["fine"]) == F.col(names["bucket"]), "left").drop(names["bucket"])
     if at < BITS and not large.isEmpty():
         held = narrow.withColumn("bucket", prefix(F.col("h"), at)).join(large.select("bucket"), "bucket", "left_semi")
         each = written(held.groupBy(F.col("h").alias("bucket")).agg(F.sum("b").alias("bytes"), F.max("b").alias("most")))
         second = _shortest(each, BITS, at + 1, limit)
-        deep = written(each.join(second, "bucket", "left").select(F.col("bucket").alias(names["bucket"]), F.coalesce("depth", F.lit(BITS)).alias(names["deep"]), F.when(F.col("depth").isNull(), F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest("most", F.lit(1))))).alias(names["pages"])))
-        out = out.join(deep, F.col(names["hash"]) == F.col(names["bucket"]), "left").drop(names["bucket"])
+        deep, n_deep = counted(each.join(second, "bucket", "left").select(F.col("bucket").alias(names["bucket"]), F.coalesce("depth", F.lit(BITS)).alias(names["deep"]), F.when(F.col("depth").isNull(), F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest("most", F.lit(1))))).alias(names["pages"])))
+        out = out.join(hinted(deep, n_deep), F.col(names["hash"]) == F.col(names["bucket"]), "left").drop(names["bucket"])
         out = out.withColumn(names["depth"], F.coalesce(names["depth"], names["deep"])).drop(names["deep"])
         full = F.col(names["pages"]).isNotNull()
         if deep.where(full).isEmpty():
@@ -97,12 +97,12 @@ def directory(sharded: DataFrame) -> DataFrame:
     Rows of one hash that outgrow a shard drive the depth to BITS; such a directory can't be listed: ValueError. The shards
     themselves are then the directory, as prefixes.
     """
-    shards = sharded.groupBy("shard", "shard_depth").agg(F.count("*").alias("n_rows"))
-    top = written(shards.agg(F.coalesce(F.max("shard_depth"), F.lit(0)).alias("global_depth")))
-    if top.first()[0] > 30:
+    shards = written(sharded.groupBy("shard", "shard_depth").agg(F.count("*").alias("n_rows")))
+    top = shards.agg(F.coalesce(F.max("shard_depth"), F.lit(0))).first()[0]
+    if top > 30:
         raise ValueError("the directory is too deep to be listed")
-    each = shards.join(F.broadcast(top))  # top is one row
-    last = F.shiftleft(F.lit(1).cast("long"), F.col("global_depth") - F.col("shard_depth")) - 1
+    each = shards.withColumn("global_depth", F.lit(top))
+    last = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("global_depth") - F.col("shard_depth")) - 1
     ends = F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("end")
     bits = F.lpad(F.conv(F.col("end").cast("string"), 10, 2), BITS, "0")
     return each.select("shard", "n_rows", "global_depth", "shard_depth", ends).select(F.concat("shard", F.substr(bits, F.lit(BITS + 1) - (F.col("global_depth") - F.col("shard_depth")), F.col("global_depth") - F.col("shard_depth"))).alias("slot"), "shard", "n_rows")
