@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a side whose row width is bounded that may be broadcast; above it the join shuffles.
 BROADCAST_ROWS = 500_000
+#: A key is hot if it has more than HOT_ROWS rows and more than one HOT_SHARE-th of all; so there are fewer than HOT_SHARE hot keys.
+HOT_ROWS, HOT_SHARE = 500, 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,6 +50,17 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return hinted(df, df.limit(rows + 1).count(), rows)
 
 
+def spread_join(many: DataFrame, one: DataFrame, key: str, size: str, n: int) -> DataFrame:
+    """many (n rows) joined with one (narrow, unique by key, written), whose column `size` counts the rows of many with its key.
+
+    Rows of hot keys meet a broadcast of those keys, which are fewer than HOT_SHARE; all others shuffle. So no task gets a hot key.
+    """
+    hot = F.col(size) > max(HOT_ROWS, n // HOT_SHARE)
+    few = one.where(hot).drop(size)
+    rest = many.join(F.broadcast(few.select(key)), key, "left_anti").join(one.where(~hot).drop(size), key)
+    return many.join(F.broadcast(few), key).unionByName(rest)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import counted, fresh, hinted, small, written
+from .common import counted, fresh, hinted, small, spread_join, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 SAMPLES, BANDS = 126, 21
@@ -314,11 +314,11 @@ def _classes(docs: DataFrame) -> DataFrame:
     """near_duplicates() with the vertex of each row and the root of its class."""
     docs = docs.select("doc_id", "text")
     idf = docs.sparkSession.sparkContext.broadcast(document_frequencies(docs))
-    signed = written(signatures(docs, idf))
-    vertices = written(signed.groupBy("vertex").agg(F.min("doc_id").alias("keeper"), F.first("words").alias("words"), F.first("samples").alias("samples"), F.first("bands").alias("bands")))
+    signed, n_signed = counted(signatures(docs, idf))
+    vertices, n_vertices = counted(signed.groupBy("vertex").agg(F.count("*").alias("copies"), F.min("doc_id").alias("keeper"), F.first("words").alias("words"), F.first("samples").alias("samples"), F.first("bands").alias("bands")))
     members = vertices.select("vertex", F.explode("bands").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("vertex").alias("leader")).where("n > 1").select("bucket", "leader")
-    members, n_members = counted(members.join(buckets, "bucket").select("bucket", "vertex", "leader"))
+    buckets = written(members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("vertex").alias("leader")).where("n > 1"))
+    members, n_members = counted(spread_join(members, buckets, "bucket", "n", n_vertices).select("bucket", "vertex", "leader"))
     pairs = members.where("vertex <> leader").select(F.col("leader").alias("a"), F.col("vertex").alias("b")).distinct()
     members = members.select("bucket", "vertex")
     pairs, n_pairs = counted(pairs)
@@ -331,10 +331,11 @@ def _classes(docs: DataFrame) -> DataFrame:
         if n_found:
             roots, n_roots = _merged_roots(found, roots, n_roots)
     degree = links.select(F.explode(F.array("a", "b")).alias("vertex")).groupBy("vertex").agg(F.count("*").alias("n_links"))
-    placed = vertices.select("vertex", "keeper").join(hinted(roots, n_roots), "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
-    classes = placed.groupBy("root").agg(F.min("keeper").alias("class_id"))
-    placed = placed.join(classes, "root").join(degree, "vertex", "left").select("vertex", "root", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return signed.join(placed, "vertex").select("doc_id", "vertex", "root", "class_id", "n_links")
+    placed = written(vertices.select("vertex", "copies", "keeper").join(hinted(roots, n_roots), "vertex", "left").withColumn("root", F.coalesce("root", "vertex")))
+    classes = written(placed.groupBy("root").agg(F.count("*").alias("members"), F.min("keeper").alias("class_id")))
+    placed = spread_join(placed, classes, "root", "members", n_vertices).join(degree, "vertex", "left")
+    placed = written(placed.select("vertex", "copies", "root", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    return spread_join(signed.select("doc_id", "vertex"), placed, "vertex", "copies", n_signed).select("doc_id", "vertex", "root", "class_id", "n_links")
 
 
 def _across(members: DataFrame, n_members: int, roots: DataFrame, n_roots: int, vertices: DataFrame) -> DataFrame:
@@ -414,7 +415,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     twice, gone = fresh(docs, "_twice"), fresh(docs, "_gone")
     often = hinted(*counted(found.groupBy(F.col("doc_id").alias(twice)).count().where("count > 1").select(twice)))
     goes = found.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).join(often, F.col("doc_id").eqNullSafe(F.col(twice)), "left_anti")
-    goes = hinted(*counted(goes.select(F.col("doc_id").alias(gone))), 4_000_000)
+    goes = hinted(*counted(goes.select(F.col("doc_id").alias(gone))))
     once = docs.join(often, docs["doc_id"].eqNullSafe(F.col(twice)), "left_anti")
     once = once.join(goes, once["doc_id"].eqNullSafe(F.col(gone)), "left_anti")
 

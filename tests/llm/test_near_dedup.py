@@ -100,3 +100,9 @@ def test_components(spark):
     for a, b in edges:
         root[max(find(a), find(b))] = min(find(a), find(b))
     assert {r["vertex"]: r["root"] for r in nd.components(df).collect()} == {x: find(x) for x in list(root) if find(x) != x}
+
+
+def test_hot_keys(spark):
+    rows = [(i, "The same words are in all of these rows") for i in range(700)] + [(1000 + i, f"text number {i} alone") for i in range(5)] + [(2000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(df) == sorted(((k, 0 if k < 700 else k) for k, _ in rows), key=str)
