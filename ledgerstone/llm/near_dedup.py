@@ -53,19 +53,31 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
+_READ, _AT_ONCE = 1 << 16, 1 << 13  # bytes of a text and shingles that are hashed at once
 _LETTER = np.zeros(256, bool)
 _LETTER[[b for b in range(256) if b >= 128 or chr(b).isalnum()]] = True
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    """64-bit hashes of a text's words in their order: runs of letters, digits and characters beyond ASCII, in lower case."""
+    """64-bit hashes of a text's words in their order: runs of letters, digits and characters beyond ASCII, in lower case.
+
+    Long texts are read in blocks that end between words, which bounds the memory.
+    """
     raw = np.frombuffer(text.lower().encode("utf8", "replace"), np.uint8) if text else np.empty(0, np.uint8)
     inside = np.concatenate([[False], _LETTER[raw], [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
-    up, down = _powers(len(raw) + 1)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], dtype=np.uint64)])
-    return _mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    out, k = np.empty(len(starts), np.uint64), 0
+    while k < len(starts):
+        begin = starts[k]
+        to = max(k + 1, int(np.searchsorted(ends, begin + _READ, "right")))
+        own = raw[begin : ends[to - 1]]
+        up, down = _powers(len(own) + 1)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum((own.astype(np.uint64) + np.uint64(1)) * up[: len(own)], dtype=np.uint64)])
+        s, e = starts[k:to] - begin, ends[k:to] - begin
+        out[k:to] = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)
+        k = to
+    return _mixed(out)
 
 
 def shingles(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,11 +117,17 @@ def signature(hashes: np.ndarray, w: np.ndarray) -> np.ndarray:
     log_a, t, odd = _draws()
     level = np.minimum(np.rint(np.log(w) / _STEP), _LEVELS - 1).astype(np.int64) * _TABLE
     out = np.empty(SAMPLES, np.uint64)
-    for lo in range(0, SAMPLES, 16):  # bounds memory for very long texts
-        at = ((hashes[:, None] * odd[None, lo : lo + 16]) >> np.uint64(52)).astype(np.int64) + level[:, None]
-        pick = log_a[at].argmin(axis=0)  # ties: the smallest hash, as they are sorted
-        own = at[pick, np.arange(at.shape[1])]
-        out[lo : lo + 16] = _mixed(hashes[pick] * _B + t[own].astype(np.int64).astype(np.uint64) + np.arange(lo, lo + at.shape[1], dtype=np.uint64))
+    for lo in range(0, SAMPLES, 16):
+        columns = odd[None, lo : lo + 16]
+        least, shingle, step = np.full(columns.size, np.inf, np.float32), np.zeros(columns.size, np.uint64), np.zeros(columns.size, np.int32)
+        for i in range(0, len(hashes), _AT_ONCE):  # bounds memory for very long texts
+            part = hashes[i : i + _AT_ONCE]
+            at = ((part[:, None] * columns) >> np.uint64(52)).astype(np.int64) + level[i : i + _AT_ONCE, None]
+            pick = log_a[at].argmin(axis=0)  # ties: the smallest hash, as they are sorted
+            own = at[pick, np.arange(columns.size)]
+            less = log_a[own] < least
+            least, shingle, step = np.where(less, log_a[own], least), np.where(less, part[pick], shingle), np.where(less, t[own], step)
+        out[lo : lo + 16] = _mixed(shingle * _B + step.astype(np.int64).astype(np.uint64) + np.arange(lo, lo + columns.size, dtype=np.uint64))
     return out
 
 
