@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +63,12 @@ def spread_join(many: DataFrame, one: DataFrame, key: str, size: str, n: int) ->
     return many.join(F.broadcast(few), key).unionByName(rest)
 
 
+def values(column: pa.Array, at_once: int = 256) -> Iterator:
+    """A column's values; only so many are Python objects at once, as a batch of long texts would fill a worker's memory."""
+    for i in range(0, len(column), at_once):
+        yield from column.slice(i, at_once).to_pylist()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

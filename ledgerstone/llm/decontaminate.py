@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, fresh, small, whole, written
+from .common import BROADCAST_ROWS, fresh, small, values, whole, written
 
 WINDOW, ANCHORS = 10, 2
 _WORDS = re.compile(rb"[0-9a-z\x80-\xff]+").findall
@@ -53,7 +53,7 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
             total: Counter = Counter()
             for batch in batches:
                 own: Counter = Counter()
-                for text in batch.column(0).to_pylist():
+                for text in values(batch.column(0)):
                     own.update(words_of(text))
                 for w in own.keys() & wanted.value:
                     total[w] += own[w]
@@ -81,7 +81,7 @@ def postings(docs: DataFrame, terms: DataFrame | None = None, key: str = "doc_id
         get, names = wanted.value.get, [w.decode("utf8", "replace") for w in wanted.value]
         for batch in batches:
             rows, ids, places = [], [], []
-            for r, text in enumerate(batch.column(1).to_pylist()):
+            for r, text in enumerate(values(batch.column(1))):
                 found = [(i, t) for i, w in enumerate(words_of(text)) if (t := get(w)) is not None]
                 if found:
                     rows += [r] * len(found)
@@ -150,7 +150,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     def judge(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string()))])
         for texts, rows in batches:
-            yield pa.array([_judged(t, p, window) for t, p in zip(texts.to_pylist(), rows.to_pylist(), strict=True)], kind)
+            yield pa.array([_judged(t, p, window) for t, p in zip(values(texts), values(rows), strict=True)], kind)
 
     joined = docs.join(found, docs["doc_id"].eqNullSafe(F.col(own)), "left").drop(own)
     judged = F.arrow_udf(judge, "struct<n_words:long,n_hit:long,items:array<string>>")(F.col("text"), F.col(places_col))

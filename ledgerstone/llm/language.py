@@ -9,7 +9,7 @@ text that no language of the model explains better than trigrams at random, and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, small, whole, written
+from .common import fresh, small, values, whole, written
 
 BUCKETS = 1 << 14
 UNKNOWN = "und"
@@ -50,9 +50,9 @@ class TextModel:
     languages: list[str]
     log_p: np.ndarray
 
-    def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def score(self, texts: Iterable[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
         """Tempered log likelihoods (text, language) and the numbers of trigrams."""
-        out, sizes = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
+        out, sizes = np.zeros((n, len(self.languages))), np.zeros(n, np.int64)
         for k, text in enumerate(texts):
             for codes in trigrams(text):
                 out[k] += self.log_p[codes].sum(axis=0, dtype=np.float64)
@@ -74,7 +74,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", rows: int
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for name, text in zip(values(batch.column(0)), values(batch.column(1)), strict=True):
                 own = total.setdefault(name, np.zeros(BUCKETS, np.int64))
                 for codes in trigrams(text):
                     own += np.bincount(codes, minlength=BUCKETS)
@@ -150,7 +150,7 @@ def identify(df: DataFrame, text: str = "text", declared: str | Column | None =
 
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            logs, sizes = held.value.score(texts.to_pylist())
+            logs, sizes = held.value.score(values(texts), len(texts))
             ends = np.arange(0, logs.size + 1, logs.shape[1], dtype=np.int32)
             columns = [pa.ListArray.from_arrays(pa.array(ends), pa.array(logs.reshape(-1))), pa.array(np.where(sizes > 0, logs.argmax(axis=1), n - 1), pa.int32()), pa.array(sizes, pa.int64())]
             yield pa.StructArray.from_arrays(columns, ["logs", "best", "size"])

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import counted, fresh, hinted, small, spread_join, written
+from .common import counted, fresh, hinted, small, spread_join, values, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 SAMPLES, BANDS = 126, 21
@@ -151,7 +151,7 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
         total, n, held, size = np.zeros(DF_BUCKETS, np.int64), 0, [], 0
         for batch in batches:
             n += len(batch)
-            for t in batch.column(0).to_pylist():
+            for t in values(batch.column(0)):
                 held.append(shingles(word_hashes(t))[0])
                 size += len(held[-1])
                 if size > 1 << 20:
@@ -175,7 +175,7 @@ def signatures(docs: DataFrame, idf, key: str = "doc_id", text: str = "text") ->
     def sign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             vertices, sizes, samples, bands = [], [], [], []
-            for t in texts.to_pylist():
+            for t in values(texts):
                 words = word_hashes(t)
                 h, n = shingles(words)
                 vertices.append(identity(words))
@@ -253,7 +253,7 @@ def _compared(dealt: DataFrame, idf) -> DataFrame:
         at, names, vectors, index, known = None, [], [], None, set()
         for batch in batches:
             left, right = [], []
-            for a, salt, part, vertex, root, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for a, salt, part, vertex, root, text in zip(*map(values, batch.columns), strict=True):
                 words = word_hashes(text)
                 if identity(words) != vertex:  # another row with the same id
                     continue
@@ -439,7 +439,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     def vertex(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array([identity(word_hashes(t)) for t in texts.to_pylist()], pa.binary())
+            yield pa.array([identity(word_hashes(t)) for t in values(texts)], pa.binary())
 
     own, root, key = fresh(docs, "_vertex"), fresh(docs, "_root"), fresh(docs, "_id")
     many = docs.join(often, docs["doc_id"].eqNullSafe(F.col(twice)), "left_semi").withColumn(own, F.arrow_udf(vertex, "binary")(F.col("text")))

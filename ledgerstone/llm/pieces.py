@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import fresh
 
 META = "▁"
+ROWS = 512  # texts whose pieces are held at once
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # kinds of pieces in a model file
 
 
@@ -239,7 +240,7 @@ def encode_pieces(df: DataFrame, model: str, text_col: str = "text", ids: str =
     @F.arrow_udf("struct<ids:array<int>,text:string>" if decoded else "struct<ids:array<int>>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         fst = held.value.ready()
-        for texts in batches:
+        for texts in (b.slice(i, ROWS) for b in batches for i in range(0, len(b), ROWS)):
             own = [fst.encode(t or "") for t in texts.to_pylist()]
             ends = np.cumsum([0] + [len(x) // 4 for x in own]).astype(np.int32)
             columns = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(own), np.int32)))]
