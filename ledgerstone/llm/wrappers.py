@@ -7,8 +7,8 @@ become a repeated group, and texts become slots. Aligning two wrappers gives a w
 of small groups: distinct shapes first (counted with partial sums), then rounds of bounded groups until each host has one.
 
 Slots carry a zone: within an article or main element; within what a page says isn't its text (navigation, adverts, notices,
-comments and so on, by element, role or class); or neither. A page's text is read through its host's wrapper: the slots within
-the article or, on pages without one, the neutral slots whose text isn't the same on most pages of the host.
+comments and so on, by element, role or class); or neither. A page's text is all that is within the article or, on pages
+without one, what its host's wrapper shows to be in neutral slots whose text isn't the same on most pages of the host.
 """
 
 from __future__ import annotations
@@ -207,27 +207,51 @@ class Reader:
         self._next += 1
         if w[0][:1] == "#":
             self.slots[number] = w[0]
-        return w[0], number, [self._numbered(p) for p in w[2]]
+        return w[0], number, [self._numbered(p) for p in w[2]], w[1] in ("+", "*")
 
     def read(self, tree: list) -> dict[int, int]:
-        """The slot number of each text leaf, by the leaf's id: parts are matched from the left by label; texts have one slot or -1."""
+        """The slot number of each text leaf, by the leaf's id; a tree that the wrapper describes gets a slot for every leaf.
+
+        Each child takes the first part of its label, at or after its elder's, that holds its whole subtree; only repeated parts
+        are taken twice. If there is any way to place all children, this finds one. Elements that no part holds have no slots.
+        """
+        placed: dict[tuple[int, int], list | None] = {}
+
+        def place(part: tuple, node: list) -> list | None:
+            """The part of each child, or None if they don't all have one."""
+            key = part[1], id(node)
+            if key not in placed:
+                parts, k, out = part[2], 0, []
+                for child in node[1]:
+                    while k < len(parts) and (parts[k][0] != child[0] or child[1] and place(parts[k], child) is None):
+                        k += 1
+                    if k == len(parts):
+                        out = None
+                        break
+                    out.append(parts[k])
+                    k += not parts[k][3]
+                placed[key] = out
+            return placed[key]
+
         found: dict[int, int] = {}
         todo = [(self.root, tree)]
         while todo:
-            (_, _, parts), (_, children) = todo.pop()
-            k = 0
-            for child in children:
-                j = next((j for j in [*range(k, len(parts)), *range(k)] if parts[j][0] == child[0]), None)
-                if j is None:
-                    continue
-                k = j
+            part, node = todo.pop()
+            for child, own in zip(node[1], place(part, node) or (), strict=False):
                 if child[0][:1] == "#":
-                    found[id(child)] = parts[j][1]
+                    found[id(child)] = own[1]
                 else:
-                    todo.append((parts[j], child))
+                    todo.append((own, child))
         return found
 
 
+def slots_between(shaped: list, reader: Reader) -> dict[int, int]:
+    """The slot numbers of a page's own shape to those of its host's wrapper."""
+    tree = _plain(shaped)
+    met = reader.read(tree)
+    return {number: met.get(leaf, -1) for number, leaf in _leaves(Reader(shaped).root, tree).items()}
+
+
 def _digest(text: str) -> int:
     return int.from_bytes(blake2b(" ".join(text.split()).encode("utf8", "replace"), digest_size=8).digest(), "big", signed=True)
 
@@ -311,11 +335,7 @@ def _same_slots(counted: DataFrame, wrappers: DataFrame) -> DataFrame:
         for batch in rows:
             out = []
             for shaped, wrapper, neutral in zip(*(c.to_pylist() for c in batch), strict=True):
-                own, whole_host = Reader(json.loads(shaped)), Reader(json.loads(wrapper))
-                tree = json.loads(shaped)
-                numbered = _leaves(own.root, as_tree := _plain(tree))
-                met = whole_host.read(as_tree)
-                to = {number: met.get(leaf, -1) for number, leaf in numbered.items()}
+                to = slots_between(json.loads(shaped), Reader(json.loads(wrapper)))
                 out.append([{"slot": to.get(x["slot"], -1), "said": x["said"]} for x in neutral])
             yield pa.array(out, pa.list_(pa.struct([("slot", pa.int32()), ("said", pa.int64())])))
 
@@ -335,7 +355,7 @@ def _leaves(numbered: tuple, tree: list) -> dict[int, int]:
     """Slot numbers of a shape to the ids of the same leaves of its plain tree."""
     out, todo = {}, [(numbered, tree)]
     while todo:
-        (label, number, parts), node = todo.pop()
+        (label, number, parts, _), node = todo.pop()
         if label[:1] == "#":
             out[number] = id(node)
         todo += zip(parts, node[1], strict=True)
@@ -343,14 +363,17 @@ def _leaves(numbered: tuple, tree: list) -> dict[int, int]:
 
 
 def _main_text(page: str | None, reader: Reader, drop: set[int]) -> str:
+    """All texts of the article; on pages without one all neutral texts but those in the slots to drop, read by way of the page's own shape."""
     tree, texts = page_tree(page)
-    slots = reader.read(tree)
     zone = "#m" if any(leaf[0] == "#m" and raw.strip() for leaf, _, raw in texts) else "#o"
-    wanted = {k for k, label in reader.slots.items() if label == zone and not (zone == "#o" and k in drop)}
+    dropped: set[int] = set()
+    if zone == "#o" and drop:
+        to = slots_between(own := shape(tree), reader)
+        dropped = {leaf for leaf, slot in Reader(own).read(tree).items() if to[slot] in drop}
     blocks: list[list[str]] = []
     last = None
     for leaf, block, raw in texts:
-        if slots.get(id(leaf), -1) in wanted:
+        if leaf[0] == zone and id(leaf) not in dropped:
             if block != last:
                 blocks.append([])
                 last = block

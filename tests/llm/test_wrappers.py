@@ -1,5 +1,6 @@
 import html
 import json
+import random
 import re
 
 from ledgerstone.llm import wrappers as w
@@ -42,3 +43,27 @@ def test_same_texts_outside_articles_are_dropped(spark):
     rows = [(i, "http://site/x", f"<div class=a>Subscribe now</div><p>story {i}</p>") for i in range(6)]
     got = {r["text"] for r in w.page_digest(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {f"story {i}" for i in range(6)}
+
+
+def test_pages_of_mixed_structure_lose_no_text(spark):
+    by_hand = ["<article><blockquote>q</blockquote><div><ol><li>x</ol></div></article>", "<article><div><ol><li>x</ol></div></article>", "<article><div><p>y</p></div><blockquote>q</blockquote><div><ol><li>x</ol></div></article>"]
+    rng = random.Random(7)
+
+    def some(depth):
+        if depth == 0 or rng.random() < 0.2:
+            return f"w{rng.randrange(1_000)} "
+        return "".join(f"<{t}>{some(depth - 1)}</{t}>" for t in rng.choices(["div", "section", "blockquote", "ul", "b"], k=rng.randint(1, 4)))
+
+    hosts = {"hand": by_hand} | {f"{kind}{k}": [f"<{kind}>{some(4)}</{kind}>" for _ in range(rng.randint(2, 12))] for k in range(30) for kind in ("article", "div")}
+    rows = [(h, f"http://{h}/x", p) for h, pages in hosts.items() if not h.startswith("div") for p in pages]
+    got = {r["html"]: r["main_text"] for r in w.extract(spark.createDataFrame(rows, "host string, url string, html string")).collect()}
+    assert got == {p: " ".join(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", p)).split()) for _, _, p in rows}
+    for pages in hosts.values():
+        trees = [w.page_tree(p) for p in pages]
+        wrapper = w.shape(trees[0][0])
+        for tree, _ in trees[1:]:
+            wrapper = w.align(wrapper, w.shape(tree))
+        for tree, texts in trees:
+            own = w.shape(tree)
+            assert {id(leaf) for leaf, *_ in texts} == set(w.Reader(own).read(tree))
+            assert -1 not in w.slots_between(own, w.Reader(wrapper)).values()
