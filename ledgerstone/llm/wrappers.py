@@ -28,14 +28,18 @@ from .common import fresh, small, whole, written
 from .language import host_of
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_TELLING = re.compile(r"class|id|role|hidden", re.I)
 # Elements, roles and class words, each in groups of one meaning.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BLOCK = frozenset("html body head header footer nav main article section aside div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption form fieldset blockquote pre figure figcaption address details summary br hr".split())
 OUT = frozenset("head header footer nav aside form button select option dialog menu script style noscript template textarea title iframe svg".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 OUT_WORDS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar ad ads advert adverts advertisement banner sponsor sponsored promo cookie cookies consent notice notices gdpr popup modal overlay comment comments reply replies respond share sharing social related recommended newsletter subscribe signup login search pagination pager".split())
+# Words that name no content, so that a class of these and of OUT_WORDS is boilerplate as a whole.
+BOX_WORDS = frozenset("slot box block container wrapper unit list section form area".split())
 NOT_WORDS = frozenset("has with no without".split())
 DEPTH = 120  # deeper elements are not nested in the tree; their texts hang on the element at this depth
 ZONES = ("#m", "#o", "#x")  # in the article, neither, out
@@ -43,24 +47,36 @@ SAME_SHARE, SAME_PAGES = 0.5, 3
 GROUP = 32
 
 
-def _out(tag: str, attributes: str) -> bool:
+def _attributes(raw: str) -> dict[str, str]:
+    """Values by name in lower case; of a repeated name the first counts. Empty if no name can be one that is looked at here."""
+    out: dict[str, str] = {}
+    if raw and _TELLING.search(raw):
+        for m in _ATTRIBUTE.finditer(raw):
+            out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
+def _out(tag: str, attributes: dict[str, str], inside: bool) -> bool:
+    """Whether an element isn't the page's text. Inside an article only a role or a whole class says so; elsewhere also one part
+    of a class or an id, but no heading's id, as those are often made of its text."""
     if tag in OUT:
         return True
     if tag in ("html", "body", "main", "article") or not attributes:
         return False
-    for m in _ATTRIBUTE.finditer(attributes):
-        value = (m[2] or m[3] or m[4] or "").lower()
-        if m[1].lower() == "hidden" or m[1].lower() == "role" and value in OUT_ROLES:
+    if "hidden" in attributes or attributes.get("role", "").strip().lower() in OUT_ROLES:
+        return True
+    names = attributes.get("class", "").lower().split()
+    if not inside and tag not in HEADINGS:
+        names += attributes.get("id", "").lower().split()
+    for name in names:
+        parts = set(re.split(r"[-_]+", name))
+        if parts & OUT_WORDS and not (parts - OUT_WORDS - BOX_WORDS if inside else parts & NOT_WORDS):
             return True
-        for word in value.split():
-            parts = set(re.split(r"[-_]+", word))
-            if parts & OUT_WORDS and not parts & NOT_WORDS:
-                return True
     return False
 
 
-def _class(attributes: str) -> str:
-    m = re.search(r"""\bclass\s*=\s*["']?\s*([A-Za-z][\w-]*)""", attributes) if attributes else None
+def _class(attributes: dict[str, str]) -> str:
+    m = re.match(r"\s*([A-Za-z][\w-]*)", attributes.get("class", ""))
     return f".{re.sub(r'[0-9]+', '0', m[1].lower())}" if m else ""
 
 
@@ -111,14 +127,15 @@ def page_tree(page: str | None) -> tuple[list, list[tuple[list, int, str]]]:
                 if stack[k][0] in BLOCK and stack[k][0] != "p":
                     break
         _, parent, out, inside = stack[-1]
-        node = [tag + _class(m[3]), []]
+        attributes = _attributes(m[3])
+        node = [tag + _class(attributes), []]
         if len(stack) < DEPTH:
             parent[1].append(node)
         else:
             node = parent
         if tag in VOID or m[3].endswith("/") and tag in ("svg", "path"):
             continue
-        stack.append((tag, node, out or _out(tag, m[3]), inside or tag in ("article", "main")))
+        stack.append((tag, node, out or _out(tag, attributes, inside), inside or tag in ("article", "main")))
         if tag in RAW:
             end = re.compile(rf"</{tag}\b", re.I).search(page, at)
             skip, at = (tag, len(page)) if end else (None, len(page))

@@ -67,3 +67,14 @@ def test_pages_of_mixed_structure_lose_no_text(spark):
             own = w.shape(tree)
             assert {id(leaf) for leaf, *_ in texts} == set(w.Reader(own).read(tree))
             assert -1 not in w.slots_between(own, w.Reader(wrapper)).values()
+
+
+def test_only_exact_attributes_and_whole_names_are_boilerplate(spark):
+    kept = ['<a href="/hidden-gems">{}</a>', '<a href=/x/hidden>{}</a>', '<p title="the hidden cost">{}</p>', '<p aria-hidden="false">{}</p>', '<p data-id="ad">{}</p>', '<p data-class="ad" data-role=search>{}</p>', '<h2 id="related-work">{}</h2>', '<h2 id="search-and-navigation">{}</h2>', '<p class="banner-year">{}</p>', '<div id="comments">{}</div>', "<p title='class=\"ad\"'>{}</p>"]
+    gone = ["<div hidden>{}</div>", '<div HIDDEN="">{}</div>', '<div Role=" Search ">{}</div>', '<div class="x ad">{}</div>', "<div class=ad-slot>{}</div>", "<div class='comment_list'>{}</div>", "<nav>{}</nav>"]
+    outside = ['<h2 id="related-work">{}</h2>', '<p aria-hidden="false">{}</p>', '<p><a href="/hidden-gems">{}</a></p>', '<p title="the hidden cost">{}</p>']
+    article = "<article>" + "".join(x.format(f" k{i} ") for i, x in enumerate(kept)) + "".join(x.format(f" g{i} ") for i, x in enumerate(gone)) + "</article>"
+    neutral = "".join(x.format(f" k{i} ") for i, x in enumerate(outside)) + '<div id="left-sidebar">g</div><div class="top-nav">g</div>'
+    rows = [(1, "http://a/1", article), (2, "http://b/2", neutral)]
+    got = {r["page_id"]: r["text"] for r in w.page_digest(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: " ".join(f"k{i}" for i in range(len(kept))), 2: " ".join(f"k{i}" for i in range(len(outside)))}
