@@ -8,7 +8,7 @@ of small groups: distinct shapes first (counted with partial sums), then rounds
 
 Slots carry a zone: within an article or main element; within what a page says isn't its text (navigation, adverts, notices,
 comments and so on, by element, role or class); or neither. A page's text is all that is within the article or, on pages
-without one, what its host's wrapper shows to be in neutral slots whose text isn't the same on most pages of the host.
+without one, its neutral texts but those that the host's wrapper shows to be the same on most different pages of the host.
 """
 
 from __future__ import annotations
@@ -275,12 +275,12 @@ def _digest(text: str) -> int:
 
 def _shapes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for pages in batches:
-        shapes, neutral = [], []
+        shapes, neutral, said = [], [], []
         for page in pages.to_pylist():
             tree, texts = page_tree(page)
             own = shape(tree)
             shapes.append(json.dumps(own, separators=(",", ":"), ensure_ascii=False))
-            rows = []
+            rows, all_said = [], None
             if not any(leaf[0] == "#m" for leaf, *_ in texts):
                 slots = Reader(own).read(tree)
                 by: dict[int, list[str]] = {}
@@ -288,11 +288,13 @@ def _shapes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
                     if leaf[0] == "#o":
                         by.setdefault(slots.get(id(leaf), -1), []).append(raw)
                 rows = [{"slot": k, "said": _digest(" ".join(v))} for k, v in by.items()]
+                all_said = _digest(" ".join(raw for leaf, _, raw in texts if leaf[0] == "#o"))
             neutral.append(rows)
-        yield pa.StructArray.from_arrays([pa.array(shapes, pa.string()), pa.array(neutral, pa.list_(pa.struct([("slot", pa.int32()), ("said", pa.int64())])))], ["shape", "neutral"])
+            said.append(all_said)
+        yield pa.StructArray.from_arrays([pa.array(shapes, pa.string()), pa.array(neutral, pa.list_(pa.struct([("slot", pa.int32()), ("said", pa.int64())]))), pa.array(said, pa.int64())], ["shape", "neutral", "page"])
 
 
-SHAPE = "struct<shape:string,neutral:array<struct<slot:int,said:long>>>"
+SHAPE = "struct<shape:string,neutral:array<struct<slot:int,said:long>>,page:long>"
 
 
 def infer(shapes: DataFrame) -> DataFrame:
@@ -322,10 +324,10 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", out: str = "
     """
     names = {k: fresh(pages, f"_page_{k}") for k in ("host", "wrapper", "drop", "own")}
     rows = pages.withColumn(names["host"], host_of(F.col(url)))
-    looked = rows.select(F.col(names["host"]).alias("host"), F.arrow_udf(_shapes, SHAPE)(F.col(html)).alias("s")).select("host", "s.shape", "s.neutral")
-    counted = written(looked.groupBy("host", "shape", "neutral").agg(F.count("*").alias("n")))
-    wrappers = infer(counted.select("host", "shape"))
-    wrappers = wrappers.join(_same_slots(counted, wrappers), "host", "left")
+    looked = rows.select(F.col(names["host"]).alias("host"), F.arrow_udf(_shapes, SHAPE)(F.col(html)).alias("s")).select("host", "s.*")
+    kinds = written(looked.distinct())
+    wrappers = infer(kinds.select("host", "shape"))
+    wrappers = wrappers.join(_same_texts(kinds, wrappers), "host", "left")
     wrappers = small(written(wrappers.toDF(names["own"], names["wrapper"], names["drop"])), 20_000)
 
     def read(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -333,20 +335,23 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", out: str = "
         for batch in batches:
             texts = []
             for page, wrapper, drop in zip(*(c.to_pylist() for c in batch), strict=True):
-                key = (wrapper, tuple(drop or ()))
+                key = (wrapper, tuple((x["slot"], x["said"]) for x in drop or ()))
                 if key not in readers:
                     if len(readers) > 1_000:
                         readers.clear()
                     readers[key] = Reader(json.loads(wrapper))
-                texts.append(_main_text(page, readers[key], set(key[1])))
+                texts.append(_main_text(page, readers[key], dict(key[1])))
             yield pa.array(texts, pa.string())
 
     joined = rows.join(wrappers, F.col(names["host"]) == F.col(names["own"]), "left")
     return joined.withColumn(out, F.arrow_udf(read, "string")(F.col(html), F.col(names["wrapper"]), F.col(names["drop"]))).select(*pages.columns, out)
 
 
-def _same_slots(counted: DataFrame, wrappers: DataFrame) -> DataFrame:
-    """host, drop: the neutral slots that hold one text on most of SAME_PAGES or more pages. Sums by slot and text are partial first."""
+def _same_texts(kinds: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """host, drop: the neutral slots that hold one text on most of SAME_PAGES or more pages, and that text.
+
+    Pages of one host that have all their neutral text in common are copies and count once. Sums by slot and text are partial first.
+    """
 
     def slots(rows: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for batch in rows:
@@ -356,12 +361,12 @@ def _same_slots(counted: DataFrame, wrappers: DataFrame) -> DataFrame:
                 out.append([{"slot": to.get(x["slot"], -1), "said": x["said"]} for x in neutral])
             yield pa.array(out, pa.list_(pa.struct([("slot", pa.int32()), ("said", pa.int64())])))
 
-    rows = counted.where(F.size("neutral") > 0).join(small(wrappers, 20_000), "host")
-    each = rows.select("host", "n", F.explode(F.arrow_udf(slots, "array<struct<slot:int,said:long>>")("shape", "wrapper", "neutral")).alias("x")).select("host", "x.slot", "x.said", "n")
-    by_text = each.groupBy("host", "slot", "said").agg(F.sum("n").alias("n"))
-    by_slot = by_text.groupBy("host", "slot").agg(F.sum("n").alias("pages"), F.max("n").alias("most"))
-    same = by_slot.where((F.col("pages") >= SAME_PAGES) & (F.col("most") > SAME_SHARE * F.col("pages")) & (F.col("slot") >= 0))
-    return same.groupBy("host").agg(F.sort_array(F.collect_set("slot")).alias("drop"))
+    rows = kinds.where(F.size("neutral") > 0).join(small(wrappers, 20_000), "host")
+    each = rows.select("host", "page", F.explode(F.arrow_udf(slots, "array<struct<slot:int,said:long>>")("shape", "wrapper", "neutral")).alias("x")).select("host", "page", "x.slot", "x.said").distinct()
+    by_text = each.groupBy("host", "slot", "said").agg(F.count("*").alias("n"))
+    by_slot = by_text.groupBy("host", "slot").agg(F.sum("n").alias("pages"), F.max(F.struct("n", "said")).alias("most"))
+    same = by_slot.where((F.col("pages") >= SAME_PAGES) & (F.col("most.n") > SAME_SHARE * F.col("pages")) & (F.col("slot") >= 0))
+    return same.groupBy("host").agg(F.sort_array(F.collect_set(F.struct("slot", "most.said"))).alias("drop"))
 
 
 def _plain(w: list) -> list:
@@ -379,14 +384,20 @@ def _leaves(numbered: tuple, tree: list) -> dict[int, int]:
     return out
 
 
-def _main_text(page: str | None, reader: Reader, drop: set[int]) -> str:
-    """All texts of the article; on pages without one all neutral texts but those in the slots to drop, read by way of the page's own shape."""
+def _main_text(page: str | None, reader: Reader, drop: dict[int, int]) -> str:
+    """All texts of the article; on pages without one all neutral texts but those to drop, by slot, read by way of the page's own shape."""
     tree, texts = page_tree(page)
     zone = "#m" if any(leaf[0] == "#m" and raw.strip() for leaf, _, raw in texts) else "#o"
     dropped: set[int] = set()
     if zone == "#o" and drop:
         to = slots_between(own := shape(tree), reader)
-        dropped = {leaf for leaf, slot in Reader(own).read(tree).items() if to[slot] in drop}
+        slots = Reader(own).read(tree)
+        said: dict[int, list[str]] = {}
+        for leaf, _, raw in texts:
+            if leaf[0] == "#o":
+                said.setdefault(slots[id(leaf)], []).append(raw)
+        same = {slot for slot, raws in said.items() if drop.get(to[slot]) == _digest(" ".join(raws))}
+        dropped = {leaf for leaf, slot in slots.items() if slot in same}
     blocks: list[list[str]] = []
     last = None
     for leaf, block, raw in texts:

@@ -78,3 +78,14 @@ def test_only_exact_attributes_and_whole_names_are_boilerplate(spark):
     rows = [(1, "http://a/1", article), (2, "http://b/2", neutral)]
     got = {r["page_id"]: r["text"] for r in w.page_digest(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {1: " ".join(f"k{i}" for i in range(len(kept))), 2: " ".join(f"k{i}" for i in range(len(outside)))}
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    copy, story = "<div class=a>Subscribe now</div><p>the same story</p>", "<div class=a>Subscribe now</div><p>story {}</p>"
+    rows = [(i, None if i % 2 else "http://one/x", "<div><p>only page</p></div>") for i in range(10)]
+    rows += [(100 + i, f"http://two/{i}", copy) for i in range(50)] + [(200 + i, f"http://two/{i}", story.format(i)) for i in range(3)]
+    rows += [(300 + i, f"http://two/{i}", f"{copy}<nav>{'<a>n</a>' * i}</nav>") for i in range(5)]
+    rows += [(400 + i, f"http://three/{i}", f"<h1>{'Daily' if i else 'Special'}</h1><p>news {i}</p>") for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in w.page_digest(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {i: "only page" for i in range(10)} | {100 + i: "the same story" for i in range(50)} | {200 + i: f"story {i}" for i in range(3)} | {300 + i: "the same story" for i in range(5)}
+    assert got == want | {400 + i: f"news {i}" if i else "Special news 0" for i in range(4)}
