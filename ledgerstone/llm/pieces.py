@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding by weighted finite-state transduction.
 
-A model file is compiled into three transducers: the normaliser (blank to meta symbol, dummy prefix), the pieces (a trie
-whose paths write a piece) and the byte fallback (a character that no piece has writes its bytes). They are composed with
-each input lazily: a state is a place in the input and the last piece written. The tropical shortest path is the encoding.
+A model's pieces are compiled into a transducer, a trie whose paths write a piece, and composed with each input lazily: a
+state is a place in the input and the last piece written. The tropical shortest path is the encoding. Three parts have one
+outcome each and aren't transducers: the normaliser (blank to meta symbol, dummy prefix) replaces strings; the byte fallback
+(a character that no piece has writes its bytes) stands between paths; runs of meta symbols are merged greedily.
 For a unigram model an arc weighs its piece's negative score. For a byte-pair model an arc weighs 0 if merging the text of
 the last two pieces alone gives these two pieces again, and infinity if not; exactly one path is then of finite weight, and
 it is the byte-pair encoding.
