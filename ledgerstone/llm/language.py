@@ -39,6 +39,8 @@ def trigrams(text: str | None) -> Iterator[np.ndarray]:
 
 
 _BLOCK = 1 << 16
+#: Texts of each label that are expected in the sample at least, if the label has so many; the range of their hashes.
+LEAST_TEXTS, HASHES = 20, 1 << 40
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[[b for b in range(128) if not chr(b).isalpha()]] = 32
 
@@ -60,16 +62,32 @@ class TextModel:
         return out * TEMPER, sizes
 
 
+def quota(sizes: Iterable[int], rows: int) -> float:
+    """How many of each label are at most taken so that they are about so many rows in all."""
+    left, most = float(rows), 0.0
+    for k, n in enumerate(ordered := sorted(sizes)):
+        most = left / (len(ordered) - k)
+        if n > most:
+            return most
+        left -= n
+    return float(max(ordered, default=0))
+
+
 def fit(labelled: DataFrame, text: str = "text", label: str = "lang", rows: int = SAMPLE_ROWS) -> TextModel:
-    """Fits on whole texts of about so many labelled rows, picked by a hash of the text, and all rows of smaller tables.
+    """Fits on about so many distinct labelled texts with letters, shared out evenly among the labels; all of smaller tables.
 
-    Only the sums by language and bucket come to the driver: BUCKETS rows a language at most.
+    Of each label the texts with the least hashes are taken, LEAST_TEXTS or more where it has them, so that each label is trained
+    at every size; copies count once. Only the number of texts of each label and the sums by language and bucket come to the
+    driver: BUCKETS rows a language at most.
     """
     labelled = labelled.where(F.col(label).isNotNull() & (F.col(label) != UNKNOWN)).select(F.col(label).alias("label"), F.col(text).alias("text"))
-    share = min(1.0, rows / max(1, labelled.count()))
-    labelled = labelled.where(F.col("text").isNotNull())
-    if share < 1:
-        labelled = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    labelled = labelled.where(F.col("text").rlike(r"[A-Za-z]|[^\x00-\x7f]")).withColumn("key", F.xxhash64("text"))
+    sizes = {r["label"]: r["n"] for r in labelled.select("label", "key").distinct().groupBy("label").agg(F.count("*").alias("n")).collect()}
+    most = max(quota(sizes.values(), rows), LEAST_TEXTS)
+    cuts = [(name, int(min(1.0, most / n) * HASHES)) for name, n in sizes.items()]
+    cuts = F.broadcast(labelled.sparkSession.createDataFrame(cuts, "label string, cut long"))
+    taken = labelled.join(cuts, "label").where(F.pmod("key", F.lit(HASHES)) < F.col("cut"))
+    labelled = taken.groupBy("label", "key").agg(F.first("text").alias("text")).select("label", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}

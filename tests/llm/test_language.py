@@ -1,3 +1,6 @@
+import numpy as np
+from pyspark.sql import functions as F
+
 from ledgerstone.llm import language
 
 
@@ -31,3 +34,17 @@ def test_edges(spark, data):
 def test_pages(spark, data):
     rows = language.page_languages(spark.read.parquet(f"{data}/pages.parquet")).collect()
     assert rows and sum(r["lang_found"] == r["lang_declared"] for r in rows) >= 0.95 * len(rows)
+
+
+def test_rare_languages_and_copies_in_large_tables(spark):
+    many = spark.range(5_000).select(F.concat(F.lit("the cat of that house "), F.sha2(F.col("id").cast("string"), 256)).alias("text"), F.lit("en").alias("lang"))
+    rare = spark.createDataFrame([("hyvää huomenta kaikille", "fi"), ("kiitos paljon avusta", "fi"), ("123", "xx"), (None, "xx")], "text string, lang string")
+    copies = spark.range(3_000).select(F.lit("un seul texte de la langue").alias("text"), F.lit("fr").alias("lang"))
+    other = spark.range(30).select(F.concat(F.lit("la maison et le jardin "), F.sha2(F.col("id").cast("string"), 256)).alias("text"), F.lit("fr").alias("lang"))
+    df = many.unionByName(rare).unionByName(copies).unionByName(other)
+    model, once = language.fit(df, rows=100), language.fit(df.distinct(), rows=100)
+    assert model.languages == once.languages == ["en", "fi", "fr", language.UNKNOWN]
+    assert np.array_equal(model.log_p, once.log_p)
+    assert language.quota([2, 30, 5_000], 100) == 68 and language.quota([2, 30], 100) == 30 and language.quota([], 100) == 0
+    found = {r["text"]: r["lang_found"] for r in language.identify(rare.unionByName(other), declared=None, host=None, model=model).collect()}
+    assert found["kiitos paljon avusta"] == "fi" and {v for k, v in found.items() if k and k.startswith("la ")} == {"fr"}
