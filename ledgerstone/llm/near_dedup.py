@@ -318,14 +318,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (the least doc_id of the class), n_links (verified links of the document's words to other words).
+    """doc_id, class_id (the least doc_id of the class), n_joining_links (verified links of the document's words that joined classes).
 
     docs: doc_id, text. One row for each row of docs. A null text counts as empty; texts with the same words are one class,
     so are texts without words; repeated rows and repeated ids are in the classes of their texts. A null doc_id is never a
-    class_id unless all of the class are null. An empty table gives an empty one. Links are those that joined classes: pairs
-    within a class that other links have joined already aren't compared.
+    class_id unless all of the class are null. An empty table gives an empty one. Not all links are counted: pairs within a class
+    that other links have joined already aren't compared.
     """
-    return _classes(docs).select("doc_id", "class_id", "n_links")
+    return _classes(docs).select("doc_id", "class_id", F.col("n_links").alias("n_joining_links"))
 
 
 def _classes(docs: DataFrame) -> DataFrame:

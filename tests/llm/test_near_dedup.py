@@ -106,3 +106,7 @@ def test_hot_keys(spark):
     rows = [(i, "The same words are in all of these rows") for i in range(700)] + [(1000 + i, f"text number {i} alone") for i in range(5)] + [(2000, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert got(df) == sorted(((k, 0 if k < 700 else k) for k, _ in rows), key=str)
+
+
+def test_links_are_named_for_what_they_count(docs):
+    assert nd.near_duplicates(docs([(1, "a b c")])).columns == ["doc_id", "class_id", "n_joining_links"]
