@@ -4,32 +4,56 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import suppress
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a side whose row width is bounded that may be broadcast; above it the join shuffles.
-BROADCAST_ROWS = 500_000
+#: Bytes of a side that may be broadcast; above it the join shuffles. A row counts with WIDTH bytes beside its texts and arrays.
+BROADCAST_BYTES, WIDTH = 16 << 20, 48
+#: Bytes of an Arrow batch that goes to a Python worker at most, but for one long row.
+BATCH_BYTES = 2 << 20
 #: A key is hot if it has more than HOT_ROWS rows and more than one HOT_SHARE-th of all; so there are fewer than HOT_SHARE hot keys.
 HOT_ROWS, HOT_SHARE = 500, 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where none is set."""
+    """The folder that the cluster names in spark.checkpoint.dir. Only a local session that names none gets a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerstone-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
 
 
+def bounded_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Bounds this session's Arrow batches by bytes, as whole batches of long texts would fill workers and executors; a lower bound stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(key)).lower().removesuffix("b")
+    if not now.isdigit() or int(now) > size or int(now) <= 0:
+        spark.conf.set(key, size)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: it cuts the lineage, outlives lost executors and has true sizes."""
     path = f"{shared_dir(df.sparkSession)}/ledgerstone-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that written() made, and that nothing reads any more."""
+    for df in tables:
+        with suppress(AttributeError):  # it wasn't made by written()
+            sc, path = df.sparkSession.sparkContext, df._written_at
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def counted(df: DataFrame) -> tuple[DataFrame, int]:
@@ -39,17 +63,23 @@ def counted(df: DataFrame) -> tuple[DataFrame, int]:
     return out, seen.get.get("n") or 0
 
 
-def hinted(df: DataFrame, n: int, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """small() for a table whose rows are counted already."""
-    return F.broadcast(df) if n <= rows else df.hint("merge")
+def hinted(df: DataFrame, n: int, width: int = WIDTH) -> DataFrame:
+    """A table of n rows of at most `width` bytes, to be broadcast if it is within BROADCAST_BYTES, else to be shuffled and merged."""
+    return F.broadcast(df) if n * width <= BROADCAST_BYTES else df.hint("merge")
+
 
+def size_of(df: DataFrame) -> int:
+    """The bytes that df takes in memory, about: WIDTH for a row, and all its texts and arrays. df should be cheap to read."""
+    parts = [F.coalesce(F.octet_length(c) if kind in ("string", "binary") else F.octet_length(F.to_json(F.struct(F.col(c)))), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary") or "<" in kind]
+    return df.agg(F.coalesce(F.sum(sum(parts, F.lit(WIDTH))), F.lit(0))).first()[0]
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df to be broadcast if it has at most so many (narrow) rows, else to be shuffled and merged. df should be cheap to count.
+
+def small(df: DataFrame) -> DataFrame:
+    """df to be broadcast if its bytes are within BROADCAST_BYTES, else to be shuffled and merged. df should be cheap to read.
 
     Spark's own choice goes by the size of files, which says little about rows in memory.
     """
-    return hinted(df, df.limit(rows + 1).count(), rows)
+    return F.broadcast(df) if size_of(df) <= BROADCAST_BYTES else df.hint("merge")
 
 
 def spread_join(many: DataFrame, one: DataFrame, key: str, size: str, n: int) -> DataFrame:
@@ -70,6 +100,7 @@ def values(column: pa.Array, at_once: int = 256) -> Iterator:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -78,6 +109,13 @@ def whole(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def free_of(df: DataFrame, *names: str) -> None:
+    """Raises ValueError if df has one of the columns that an operator adds, whatever its case: its values would be lost or ambiguous."""
+    taken = {c.lower() for c in df.columns}
+    if met := [n for n in names if n.lower() in taken]:
+        raise ValueError(f"the table has columns of the result's names already: {', '.join(met)}")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have yet, whatever its case."""
     taken = {c.lower() for c in df.columns}

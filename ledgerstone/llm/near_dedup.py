@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import counted, fresh, hinted, small, spread_join, values, written
+from .common import bounded_batches, counted, forget, free_of, fresh, hinted, small, spread_join, values, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 SAMPLES, BANDS = 126, 21
-BLOCK, BLOCK_WORDS = 512, 1 << 21
+BLOCK, BLOCK_WORDS = 256, 1 << 20
 DF_BUCKETS, IDF_SPREAD = 1 << 18, 0.15
 _TABLE, _STEP, _LEVELS = 1 << 12, 0.02, 1024
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -106,10 +106,11 @@ def _draws() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for each sample. r and c are Gamma(2, 1), beta is uniform; a shingle's entry in a sample is picked by its hash."""
     rng = np.random.default_rng(20_240_229)
     r, c, beta = rng.gamma(2, 1, _TABLE), rng.gamma(2, 1, _TABLE), rng.uniform(0, 1, _TABLE)
-    log_w = np.arange(_LEVELS)[:, None] * _STEP
-    t = np.floor(log_w / r + beta)
-    log_a = np.log(c) - r * (t - beta + 1)
-    return log_a.astype(np.float32).reshape(-1), t.astype(np.int32).reshape(-1), rng.integers(1, 1 << 63, SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
+    log_a, t = np.empty((_LEVELS, _TABLE), np.float32), np.empty((_LEVELS, _TABLE), np.int32)
+    for level in range(_LEVELS):  # row by row, so that no large array is made on the way
+        t[level] = own = np.floor(level * _STEP / r + beta)
+        log_a[level] = np.log(c) - r * (own - beta + 1)
+    return log_a.reshape(-1), t.reshape(-1), rng.integers(1, 1 << 63, SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def signature(hashes: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -170,7 +171,7 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def signatures(docs: DataFrame, idf, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document: key, vertex (16 bytes), words (their number), samples (SAMPLES bytes), bands (BANDS long keys; none for texts without words)."""
+    """One row a document: key, text_key (a hash of the text), vertex (16 bytes), words (their number), samples (SAMPLES bytes), bands (BANDS long keys; none for texts without words)."""
 
     def sign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
@@ -192,7 +193,8 @@ def signatures(docs: DataFrame, idf, key: str = "doc_id", text: str = "text") ->
                 bands.append((keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64))
             yield pa.StructArray.from_arrays([pa.array(vertices, pa.binary()), pa.array(sizes, pa.int64()), pa.array(samples, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["vertex", "words", "samples", "bands"])
 
-    return docs.select(key, F.arrow_udf(sign, "struct<vertex:binary,words:long,samples:binary,bands:array<long>>")(F.col(text)).alias("s")).select(key, "s.*")
+    signed = F.arrow_udf(sign, "struct<vertex:binary,words:long,samples:binary,bands:array<long>>")(F.col(text))
+    return docs.select(key, F.xxhash64(text).alias("text_key"), signed.alias("s")).select(key, "text_key", "s.*")
 
 
 def _agree(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -209,19 +211,21 @@ def _agree(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
 
 
 def _texts(needs: DataFrame, docs: DataFrame, vertices: DataFrame) -> DataFrame:
-    """needs (with vertex) and the vertices' texts; rows that only share a keeper's id come along and must be left out by identity()."""
-    needs, n = counted(needs.join(vertices.select("vertex", "keeper"), "vertex"))
-    held = docs.select(F.col("doc_id").alias("_doc"), "text")
-    held = held.join(small(needs.select(F.col("keeper").alias("_keeper")).distinct()), F.col("_doc").eqNullSafe(F.col("_keeper")), "left_semi")
-    return held.join(hinted(needs, n, 200_000), F.col("_doc").eqNullSafe(F.col("keeper"))).drop("_doc", "keeper")
+    """needs (with vertex) and the vertices' texts. A vertex's text is found by its keeper's id and a hash of the text, so rows
+    that only share an id, or have none, don't meet; rows that repeat both are one by then."""
+    needs, n = counted(needs)
+    wanted = written(needs.select("vertex").distinct().join(vertices.select("vertex", "kept"), "vertex").select("vertex", F.col("kept.text_key").alias("_key"), F.col("kept.doc_id").alias("_doc")))
+    held = docs.select("doc_id", "text", F.xxhash64("text").alias("_own"))
+    held = held.join(small(wanted), (F.col("_own") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
+    return held.groupBy("vertex").agg(F.any_value("text").alias("text")).join(hinted(needs, n, 96), "vertex")
 
 
 def _verified(pairs: DataFrame, n_pairs: int, docs: DataFrame, idf, vertices: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts are similar enough. A leader a meets its partners in streams sorted by (a, salt): no group
     is held in memory, and a leader of many partners is dealt to many tasks."""
     fans = pairs.groupBy("a").agg((F.floor(F.count("*") / BLOCK) + 1).cast("int").alias("salts"))
-    fans = hinted(written(fans), n_pairs)
-    salted = pairs.join(fans, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
+    fans = written(fans)
+    salted = pairs.join(hinted(fans, n_pairs), "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
     needs = salted.select(F.col("b").alias("vertex"), "a", "salt", F.lit(1).alias("part"))
     needs = needs.unionByName(fans.select(F.col("a").alias("vertex"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("part")))
     rows = _texts(needs, docs, vertices).select("a", "salt", "part", "vertex", F.col("vertex").alias("root"), "text")
@@ -233,7 +237,7 @@ def _verified_blocks(met: DataFrame, n_met: int, docs: DataFrame, idf, vertices:
     dealt into blocks of bounded rows and words; its partners stream past each block, in parts of bounded rows."""
     queries = met.where("part = 0").join(vertices.select("vertex", "words"), "vertex")
     sizes = queries.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("words") / BLOCK_WORDS, F.lit(1.0))).cast("int").alias("parts"))
-    spread = met.where("part = 1").groupBy("group").agg((F.floor(F.count("*") / (4 * BLOCK)) + 1).cast("int").alias("salts"))
+    spread = met.where("part = 1").groupBy("group").agg((F.floor(F.count("*") / BLOCK) + 1).cast("int").alias("salts"))
     sizes = hinted(written(sizes.join(spread, "group")), n_met)
     h = F.xxhash64("vertex")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
@@ -302,7 +306,7 @@ class SetIndex:
 def components(edges: DataFrame) -> DataFrame:
     """edges a, b: vertex, root (the least vertex of its component), for every vertex that isn't its own root."""
     edges, n = counted(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = None
+    mark, old = None, edges
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -311,52 +315,56 @@ def components(edges: DataFrame) -> DataFrame:
         star = large.join(hinted(least, n), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         seen = Observation()
         edges = written(star.where("u <> v").distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_000_007).alias("h")))
-        now = (seen.get.get("n") or 0, seen.get.get("h") or 0)
+        forget(old)
+        now, old = (seen.get.get("n") or 0, seen.get.get("h") or 0), edges
         if now == mark or not now[0]:
             return edges.select(F.col("u").alias("vertex"), F.col("v").alias("root"))
         mark, n = now, now[0]
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (the least doc_id of the class), n_joining_links (verified links of the document's words that joined classes).
+    """doc_id, class_id (the least doc_id of the class), class_size (its rows).
 
-    docs: doc_id, text. One row for each row of docs. A null text counts as empty; texts with the same words are one class,
-    so are texts without words; repeated rows and repeated ids are in the classes of their texts. A null doc_id is never a
-    class_id unless all of the class are null. An empty table gives an empty one. Not all links are counted: pairs within a class
-    that other links have joined already aren't compared.
+    docs: doc_id, text; other columns, whatever their names, aren't looked at. One row for each row of docs. A null text counts as
+    empty; texts with the same words are one class, so are texts without words; repeated rows and repeated ids are in the classes
+    of their texts. Very long texts are hashed in blocks, whole. A null doc_id is never a class_id unless all of the class are
+    null. An empty table gives an empty one. Ties of buckets and classes go to the least vertex.
     """
-    return _classes(docs).select("doc_id", "class_id", F.col("n_links").alias("n_joining_links"))
+    return _classes(docs).select("doc_id", "class_id", "class_size")
 
 
 def _classes(docs: DataFrame) -> DataFrame:
     """near_duplicates() with the vertex of each row and the root of its class."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     idf = docs.sparkSession.sparkContext.broadcast(document_frequencies(docs))
     signed, n_signed = counted(signatures(docs, idf))
-    vertices, n_vertices = counted(signed.groupBy("vertex").agg(F.count("*").alias("copies"), F.min("doc_id").alias("keeper"), F.first("words").alias("words"), F.first("samples").alias("samples"), F.first("bands").alias("bands")))
+    kept = F.min(F.struct("doc_id", "text_key")).alias("kept")
+    vertices, n_vertices = counted(signed.groupBy("vertex").agg(F.count("*").alias("copies"), F.min("doc_id").alias("keeper"), kept, F.first("words").alias("words"), F.first("samples").alias("samples"), F.first("bands").alias("bands")))
     members = vertices.select("vertex", F.explode("bands").alias("bucket"))
     buckets = written(members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("vertex").alias("leader")).where("n > 1"))
     members, n_members = counted(spread_join(members, buckets, "bucket", "n", n_vertices).select("bucket", "vertex", "leader"))
-    pairs = members.where("vertex <> leader").select(F.col("leader").alias("a"), F.col("vertex").alias("b")).distinct()
-    members = members.select("bucket", "vertex")
-    pairs, n_pairs = counted(pairs)
-    links, n_links = counted(_verified(*counted(_agree(hinted(pairs, n_pairs, 200_000), vertices)), docs, idf, vertices))
+    pairs, n_pairs = counted(members.where("vertex <> leader").select(F.col("leader").alias("a"), F.col("vertex").alias("b")).distinct())
+    near, n_near = counted(_agree(hinted(pairs, n_pairs), vertices))
+    links = written(_verified(near, n_near, docs, idf, vertices))
     roots, n_roots = counted(components(links))
-    more, n_more = counted(_across(members, n_members, roots, n_roots, vertices))
+    forget(buckets, pairs, near, links)
+    more, n_more = counted(_across(members.select("bucket", "vertex"), roots, n_roots, vertices))
+    forget(members)
     if n_more:
         found, n_found = counted(_verified_blocks(more, n_more, docs, idf, vertices))
-        links = links.unionByName(found)
         if n_found:
             roots, n_roots = _merged_roots(found, roots, n_roots)
-    degree = links.select(F.explode(F.array("a", "b")).alias("vertex")).groupBy("vertex").agg(F.count("*").alias("n_links"))
+        forget(more, found)
     placed = written(vertices.select("vertex", "copies", "keeper").join(hinted(roots, n_roots), "vertex", "left").withColumn("root", F.coalesce("root", "vertex")))
-    classes = written(placed.groupBy("root").agg(F.count("*").alias("members"), F.min("keeper").alias("class_id")))
-    placed = spread_join(placed, classes, "root", "members", n_vertices).join(degree, "vertex", "left")
-    placed = written(placed.select("vertex", "copies", "root", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    return spread_join(signed.select("doc_id", "vertex"), placed, "vertex", "copies", n_signed).select("doc_id", "vertex", "root", "class_id", "n_links")
+    classes = written(placed.groupBy("root").agg(F.count("*").alias("members"), F.min("keeper").alias("class_id"), F.sum("copies").alias("class_size")))
+    placed = spread_join(placed, classes, "root", "members", n_vertices)
+    placed = written(placed.select("vertex", "copies", "root", "class_id", "class_size"))
+    forget(vertices, roots, classes)
+    return spread_join(signed.select("doc_id", "vertex"), placed, "vertex", "copies", n_signed).select("doc_id", "vertex", "root", "class_id", "class_size")
 
 
-def _across(members: DataFrame, n_members: int, roots: DataFrame, n_roots: int, vertices: DataFrame) -> DataFrame:
+def _across(members: DataFrame, roots: DataFrame, n_roots: int, vertices: DataFrame) -> DataFrame:
     """group, vertex, root, part: the vertices of a bucket whose samples agree well enough with those of a vertex of another class
     there; as queries (part 0) or partners (1). group is the largest class of the bucket.
 
@@ -411,10 +419,8 @@ def _quartets(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, pa.int32() if k == 3 else pa.binary()) for k, c in enumerate(columns)], ["group", "vertex", "root", "part"])
 
 
-def _merged_roots(found: DataFrame, roots: DataFrame | None, n_roots: int) -> tuple[DataFrame, int]:
+def _merged_roots(found: DataFrame, roots: DataFrame, n_roots: int) -> tuple[DataFrame, int]:
     """The roots after more links: the links' roots are joined into components, and the old roots follow theirs."""
-    if roots is None:
-        return counted(components(found))
     edges = found
     for k in ("a", "b"):
         own = hinted(roots.select(F.col("vertex").alias(k), F.col("root").alias(f"root_{k}")), n_roots)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .chat import END, OPEN, SHUT
-from .decontaminate import WINDOW
+from .decontaminate import SLOP, WINDOW
 from .secrets import RULES
 from .sharding import BITS, BYTE_LIMIT
 
@@ -25,15 +25,22 @@ FROM e GROUP BY conv_id"""
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 DECONTAMINATION = f"""
-WITH b AS (SELECT * FROM (SELECT item_id::VARCHAR AS item_id, {_WORDS} AS ws FROM benchmark) WHERE len(ws) > 0),
+WITH b AS (SELECT * FROM (SELECT item_id::VARCHAR AS item_id, text, {_WORDS} AS ws FROM benchmark) WHERE len(ws) > 0),
   bw AS (SELECT DISTINCT item_id, least({WINDOW}, len(ws)) AS n, ws[s : s + least({WINDOW}, len(ws)) - 1] AS win FROM (SELECT *, unnest(range(1, len(ws) - least({WINDOW}, len(ws)) + 2)) AS s FROM b)),
   d AS (SELECT doc_id, coalesce({_WORDS}, []) AS ws FROM documents),
   dw AS (SELECT doc_id, s, n, ws[s : s + n - 1] AS win FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM bw) k WHERE len(ws) >= n)),
   m AS (SELECT dw.doc_id, dw.s, dw.n, bw.item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.win = bw.win),
   h AS (SELECT doc_id, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM m) GROUP BY 1),
-  i AS (SELECT doc_id, count(*)::BIGINT AS n_items, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS items_sha256 FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY 1)
-SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)"""
+  i AS (SELECT doc_id, count(*)::BIGINT AS n_items, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS items_sha256 FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY 1),
+  dp AS (SELECT doc_id, unnest(ws) AS term, unnest(range(len(ws))) AS pos FROM d),
+  k AS (SELECT row_number() OVER () AS k, ws FROM (SELECT DISTINCT item_id, text, ws FROM b)),
+  kt AS (SELECT k, term, place, coalesce(n, 0) AS n FROM (SELECT k, unnest(ws) AS term, unnest(range(len(ws))) AS place FROM k) LEFT JOIN (SELECT term, count(*) AS n FROM dp GROUP BY 1) USING (term)),
+  kr AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY place) AS side, count(*) OVER (PARTITION BY k) AS sides FROM (SELECT * FROM kt QUALIFY row_number() OVER (PARTITION BY k ORDER BY n, term, place) <= 2)),
+  np AS (SELECT doc_id, k, pos FROM dp JOIN kr USING (term) WHERE sides = 1
+    UNION SELECT x.doc_id, a.k, least(x.pos, y.pos) FROM kr a JOIN kr z ON a.k = z.k AND a.side = 1 AND z.side = 2 JOIN dp x ON x.term = a.term JOIN dp y ON y.term = z.term AND y.doc_id = x.doc_id WHERE abs((x.pos - a.place) - (y.pos - z.place)) <= {SLOP}),
+  c AS (SELECT doc_id, count(*)::BIGINT AS n_near FROM np GROUP BY 1)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN c USING (doc_id)"""
 
 #: Of each kind, what a match must hold; hex needs its length in the pattern only to keep the number of matches small.
 _KEPT = {"assign": "length(regexp_extract(v, '{p}', 2)) >= 6", "access": "length(v) >= 20", "hex": "TRUE", "forge": "length(v) >= 24", "chat": "length(v) >= 20", "map": "length(v) >= 35", "webtoken": "length(v) >= 40", "pem": "TRUE"}

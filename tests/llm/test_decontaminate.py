@@ -1,7 +1,11 @@
 import random
 import re
+import time
 from collections import defaultdict
 
+import pyarrow as pa
+import pytest
+
 from ledgerstone.llm import decontaminate as d
 
 
@@ -50,15 +54,17 @@ def test_hard_texts(spark):
     a, b = make(docs, "doc_id long, text string"), make(items, "item_id long, text string")
     assert got(a, b) == brute(docs, items)
     assert got(a, b.limit(0)) == brute(docs, []) and d.contamination(a.limit(0), b).count() == 0
-    clash = a.withColumnRenamed("doc_id", "doc_id").selectExpr("*", "1 as places", "2 as _hits", "3 as _place_doc")
-    assert d.contamination(clash, b).count() == len(docs)
+    clash = a.selectExpr("*", "1 as _places", "2 as _hits", "3 as _doc_key", "4 as doc_key", "5 as item_key")
+    assert d.contamination(clash, b, slop=1).count() == len(docs)
+    with pytest.raises(ValueError):
+        d.contamination(a.selectExpr("*", "1 as N_words"), b)
 
 
 def test_shuffled_paths_give_the_same(spark, data, monkeypatch):
     docs, items = (spark.read.parquet(f"{data}/{t}.parquet").limit(60) for t in ("documents", "benchmark"))
     want = got(docs.select("doc_id", "text"), items)
-    monkeypatch.setattr(d, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(d, "small", lambda df, rows=0: df.hint("merge"))
+    monkeypatch.setattr(d, "HELD_BYTES", 0)
+    monkeypatch.setattr(d, "small", lambda df: df.hint("merge"))
     assert got(docs.select("doc_id", "text"), items) == want
 
 
@@ -67,3 +73,19 @@ def test_proximity(spark):
     items = spark.createDataFrame([(1, "rare w w unique"), (2, "solo")], "item_id long, text string")
     near = {(r["doc_id"], r["item_id"]) for r in d.proximity(docs, items, 1).collect()}
     assert near == {(1, "1"), (2, "1"), (4, "2")}
+
+
+def test_words_are_counted_in_the_column(spark):
+    texts = ["a b", None, "", "É x-1", "..", "日本 語", "end"]
+    for at in range(len(texts)):
+        column = pa.array(["zz yy", *texts], pa.string()).slice(1 + at)
+        assert d.word_counts(column).tolist() == [len(words(t)) for t in texts[at:]]
+
+
+def test_many_rows_without_ids(spark):
+    """10,000 rows without an id, a third of them one text: each is judged by its own text, and none meets the others."""
+    items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven")], "item_id long, text string")
+    rows = [(None, "a one two three four five six seven eight nine ten b")] * 3_000 + [(None, f"w{i} one two three") for i in range(7_000)]
+    begin = time.monotonic()
+    out = d.contamination(spark.createDataFrame(rows, "doc_id long, text string"), items).groupBy("n_hit").count().collect()
+    assert {r["n_hit"]: r["count"] for r in out} == {10: 3_000, 0: 7_000} and time.monotonic() - begin < 60

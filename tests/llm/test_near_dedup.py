@@ -108,5 +108,18 @@ def test_hot_keys(spark):
     assert got(df) == sorted(((k, 0 if k < 700 else k) for k, _ in rows), key=str)
 
 
-def test_links_are_named_for_what_they_count(docs):
-    assert nd.near_duplicates(docs([(1, "a b c")])).columns == ["doc_id", "class_id", "n_joining_links"]
+def test_names_of_columns_and_class_sizes(docs, spark):
+    df = spark.createDataFrame([(1, "a b c", 7), (2, "a  b c!", 7), (3, "d", 7)], "doc_id long, text string, class_id long")
+    assert sorted(map(tuple, nd.near_duplicates(df).collect())) == [(1, 1, 2), (2, 1, 2), (3, 3, 1)]
+
+
+def test_many_rows_without_ids_or_of_one_id(spark):
+    """10,000 rows share an id or have none; the near copies among them must neither meet all others nor be lost."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*base, f"v{i}"]) for i in range(150)] + [" ".join(f"x{rng.randrange(10**6)}" for _ in range(12)) for _ in range(4_850)]
+    rows = [(None, t) for t in texts] + [(5, t) for t in texts]
+    found = {}
+    for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found[r["class_size"]] = found.get(r["class_size"], 0) + 1
+    assert found == {300: 300, 2: 9_700}
