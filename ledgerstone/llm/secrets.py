@@ -1,10 +1,15 @@
-"""Secret scanning with one combined deterministic automaton.
+"""Secret scanning with combined deterministic automata.
 
-Every rule's regex is parsed into a Thompson NFA over bytes. The union of all rules, free to begin anywhere, is turned
-into one DFA by subset construction over byte classes and minimised by partition refinement; its transition array scans a
-text once for all rules. Texts in which it accepts are read once more with the rules' own anchored automata (compiled the
-same way) for leftmost, longest, non-overlapping spans. Only the compiled arrays are broadcast: their size depends on the
-rules, not on the data.
+Every rule's regex is parsed into a Thompson NFA over bytes. Three automata are made of all rules together by subset
+construction over byte classes, each minimised by partition refinement into one transition array:
+
+1. The filter reads each text forward once, free to begin anywhere, and stays where it accepts: most texts end here.
+2. The reversed rules, free to begin anywhere, read the other texts backward once; where a rule is accepted, a match of it begins.
+3. The rules, anchored, are read from those places on; the last accepted place is the match's end. It is the leftmost longest
+   match, and the next one begins behind it, so that a rule reads each byte of its matches once.
+
+Cost is linear in the text, whatever it holds, as long as a rule reads only boundedly many bytes beyond its last accepted one,
+which is so for all rules here. Only the arrays are broadcast: their size depends on the rules, not on the data.
 """
 
 from __future__ import annotations
@@ -12,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial, reduce
+from itertools import accumulate
 from operator import getitem
 
 import numpy as np
@@ -19,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, span_digest
+from .common import bounded_batches, free_of, fresh, span_digest, values
 
 WORD = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -45,19 +51,21 @@ def long_value(n: int, span: bytes) -> bool:
 
 @dataclass(frozen=True)
 class Rule:
-    """trigger: a regex that is contained in every span that holds; by default the pattern. keep: whether a span holds."""
+    """pattern: the regex. trigger: one that is contained in every span that holds; whole: one with the same spans that hold, where
+    its matches are fewer. Both are the pattern by default. keep: whether a span holds."""
 
     kind: str
     pattern: str
     keep: Callable[[bytes], bool] = any_span
     ignore_case: bool = False
     trigger: str | None = None
+    whole: str | None = None
 
 
 BASE_RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", partial(long_value, 6), True, r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]"""),
     Rule("access", r"AKIA[A-Z0-9]+", partial(at_least, 20), trigger=r"AKIA[A-Z0-9]"),
-    Rule("hex", r"[0-9a-f]+", partial(at_least, 24), trigger=r"[0-9a-f]{24,}"),
+    Rule("hex", r"[0-9a-f]+", partial(at_least, 24), trigger=r"[0-9a-f]{24,}", whole=r"[0-9a-f]{24,}"),
 )
 #: The public prefixes of well-known credentials.
 MORE_RULES = (
@@ -82,9 +90,10 @@ class _Nfa:
         self.arcs.append([])
         return len(self.eps) - 1
 
-    def parse(self, pattern: str, start: int, fold: bool) -> int:
-        """Adds the pattern after start; gives its end. Literals, escapes, classes, groups, |, ?, *, +, {m}, {m,}, {m,n}."""
-        self._p, self._i, self._fold = pattern, 0, fold
+    def parse(self, pattern: str, start: int, fold: bool, backward: bool = False) -> int:
+        """Adds the pattern after start, its parts in the opposite order if backward; gives its end. Literals, escapes, classes,
+        groups, |, ?, *, +, {m}, {m,}, {m,n}."""
+        self._p, self._i, self._fold, self._backward = pattern, 0, fold, backward
         tree = self._either()
         if self._i != len(pattern):
             raise ValueError(f"{pattern!r}: what stands at {self._i} isn't understood")
@@ -168,7 +177,7 @@ class _Nfa:
             self.arcs[at].append((tree[1], to := self.state()))
             return to
         if kind == "row":
-            for part in tree[1]:
+            for part in reversed(tree[1]) if self._backward else tree[1]:
                 at = self._build(part, at)
             return at
         if kind == "or":
@@ -201,14 +210,14 @@ class Automaton:
     accept: np.ndarray
 
 
-def compile_rules(patterns: list[tuple[str, bool]], anchored: bool) -> Automaton:
-    """One minimal DFA for all patterns (regex, ignore case); if not anchored, a match may begin at any byte."""
+def compile_rules(patterns: list[tuple[str, bool]], anchored: bool, backward: bool = False) -> Automaton:
+    """One minimal DFA for all patterns (regex, ignore case), for reading them backward if so; if not anchored, a match may begin at any byte."""
     nfa = _Nfa()
     begin = nfa.state()
     ends = {}
     for k, (pattern, fold) in enumerate(patterns):
         nfa.eps[begin].append(own := nfa.state())
-        ends[nfa.parse(pattern, own, fold)] = 1 << k
+        ends[nfa.parse(pattern, own, fold, backward)] = 1 << k
     sets = sorted({s for arcs in nfa.arcs for s, _ in arcs}, key=sorted)
     member = np.array([[b in s for s in sets] for b in range(256)])
     _, classes = np.unique(member, axis=0, return_inverse=True)
@@ -259,60 +268,56 @@ def _minimal(a: Automaton) -> Automaton:
 
 
 class Scanner:
-    """The combined automaton and the rules' own ones, as arrays; runs inside tasks."""
+    """The three combined automata of the rules, as arrays; runs inside tasks."""
 
     def __init__(self, rules: tuple[Rule, ...] = RULES) -> None:
         self.rules = rules
-        self.combined = compile_rules([(r.trigger or r.pattern, r.ignore_case) for r in rules], anchored=False)
-        self.own = [compile_rules([(r.pattern, r.ignore_case)], anchored=True) for r in rules]
+        self.filter = compile_rules([(r.trigger or r.pattern, r.ignore_case) for r in rules], anchored=False)
+        whole = [(r.whole or r.pattern, r.ignore_case) for r in rules]
+        self.begins = compile_rules(whole, anchored=False, backward=True)
+        self.ends = compile_rules(whole, anchored=True)
 
     def ready(self) -> "Scanner":
-        """Turns the combined array into linked rows, so that a step is one lookup; an accepting row leads to itself. Once in a process."""
+        """Turns the arrays into linked rows, so that a step is one lookup. Once in a process."""
         if hasattr(self, "_begin"):
             return self
-        a = self.combined
+        a = self.filter
         rows: list[list] = [[] for _ in range(len(a.accept))]
         for row, to, hit in zip(rows, a.step.tolist(), a.accept.tolist(), strict=True):
-            row.extend([row] * len(to) if hit else [rows[t] for t in to])
+            row.extend([row] * len(to) if hit else [rows[t] for t in to])  # an accepting row leads to itself
         self._begin, self._hit = rows[0], {id(r) for r, hit in zip(rows, a.accept.tolist(), strict=True) if hit}
-        self._rows = rows
-        self._classes = a.classes.tobytes()
-        self._step, self._accept = a.step.tolist(), a.accept.tolist()
-        self._each = []
-        for a in self.own:
-            dead = [not hit and set(row) == {s} for s, (hit, row) in enumerate(zip(a.accept.tolist(), a.step.tolist(), strict=True))]
-            starts = bytes(not dead[a.step[0, a.classes[b]]] for b in range(256))
-            self._each.append((a.classes.tobytes(), a.step.tolist(), a.accept.tolist(), dead, starts))
+        self._rows, self._classes = rows, a.classes.tobytes()
+        self._back, self._back_classes, self._back_accept = self.begins.step.tolist(), self.begins.classes.tobytes(), self.begins.accept
+        alive = self.ends.accept.copy()  # the rules that a state can still accept
+        while (more := alive | np.bitwise_or.reduce(alive[self.ends.step], axis=1)).tolist() != alive.tolist():
+            alive = more
+        self._ahead, self._ahead_classes = self.ends.step.tolist(), self.ends.classes.tobytes()
+        self._accept, self._alive = self.ends.accept.tolist(), alive.tolist()
         return self
 
     def spans(self, data: bytes) -> list[tuple[int, int, int]]:
         """(start, end, rule number) in bytes, by start and rule."""
         if id(reduce(getitem, data.translate(self._classes), self._begin)) not in self._hit:
             return []
-        s, seen = 0, 0
-        for c in data.translate(self._classes):
-            s = self._step[s][c]
-            seen |= self._accept[s]
-        return sorted((x for k in range(len(self.rules)) if seen >> k & 1 for x in self._of(k, data)), key=lambda x: (x[0], x[2]))
-
-    def _of(self, k: int, data: bytes) -> Iterator[tuple[int, int, int]]:
-        classes, step, accept, dead, starts = self._each[k]
-        coded, begins, at, n = data.translate(classes), data.translate(starts), 0, len(data)
-        while (at := begins.find(1, at)) >= 0:
-            s, i, end = 0, at, -1
-            while i < n:
-                s = step[s][coded[i]]
-                i += 1
-                if accept[s]:
-                    end = i
-                elif dead[s]:
-                    break
-            if end < 0:
-                at += 1
-                continue
-            if self.rules[k].keep(data[at:end]):
-                yield at, end, k
-            at = end
+        back = self._back
+        states = np.fromiter(accumulate(data.translate(self._back_classes)[::-1], lambda s, c: back[s][c], initial=0), np.int32, len(data) + 1)
+        said = self._back_accept[states[::-1]]  # at each place, the rules that have a match which begins there
+        coded, step, out = data.translate(self._ahead_classes), self._ahead, []
+        for k, rule in enumerate(self.rules):
+            bit, at = 1 << k, 0
+            for begin in np.flatnonzero(said & bit).tolist():
+                if begin < at:
+                    continue
+                s = 0
+                for i in range(begin, len(data)):
+                    s = step[s][coded[i]]
+                    if self._accept[s] & bit:
+                        at = i + 1
+                    elif not self._alive[s] & bit:
+                        break
+                if rule.keep(data[begin:at]):
+                    out.append((begin, at, k))
+        return sorted(out, key=lambda x: (x[0], x[2]))
 
 
 SPAN = "struct<kind:string,start:long,end:long>"
@@ -321,8 +326,11 @@ SPAN = "struct<kind:string,start:long,end:long>"
 def scan_secrets(df: DataFrame, text_col: str = "text", out: str = "secrets", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """df with the array column `out` of spans (kind, start, end in code points, end exclusive), by start, then rule.
 
-    Null and empty texts have no spans; other columns, repeated rows and row order stay; one narrow pass without a shuffle.
+    Null and empty texts have no spans; very long ones are read whole; repeated rows, row order and other columns stay, but a
+    column named as `out` is an error; an empty table stays empty. One narrow pass without a shuffle.
     """
+    free_of(df, out)
+    bounded_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(Scanner(rules))
 
     @F.arrow_udf(f"array<{SPAN}>")
@@ -335,7 +343,8 @@ def scan_secrets(df: DataFrame, text_col: str = "text", out: str = "secrets", ru
                 data = text.as_buffer().to_pybytes() if text.is_valid else b""
                 spans = scanner.spans(data)
                 if spans and not data.isascii():
-                    spans = [(len(data[:a].decode("utf8", "replace")), len(data[:b].decode("utf8", "replace")), k) for a, b, k in spans]
+                    before = np.concatenate([[0], np.cumsum(np.frombuffer(data, np.uint8) & 0xC0 != 0x80)])  # code points that begin before each byte
+                    spans = [(int(before[a]), int(before[b]), k) for a, b, k in spans]
                 found.append([{"kind": rules[k].kind, "start": a, "end": b} for a, b, k in spans])
             yield pa.array(found, kind)
 
@@ -348,7 +357,7 @@ def redact_secrets(df: DataFrame, text_col: str = "text", spans: str = "secrets"
     @F.arrow_udf("string")
     def redact(texts: pa.Array, found: pa.Array) -> pa.Array:
         out = []
-        for text, spans in zip(texts.to_pylist(), found.to_pylist(), strict=True):
+        for text, spans in zip(values(texts), values(found), strict=True):
             if text is not None and spans:
                 parts, at = [], 0
                 for s in sorted(spans, key=lambda s: s["start"]):

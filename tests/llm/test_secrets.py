@@ -1,6 +1,8 @@
 import random
 import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerstone.llm import secrets
@@ -43,3 +45,29 @@ def test_automata_are_minimal_and_agree_with_the_regex():
         want = (1 if re.fullmatch("(ab|ac)+d?", s) else 0) | (2 if re.fullmatch("(?i)x{2,3}", s) else 0)
         assert a.accept[state] == want
     assert len(secrets.compile_rules([("a|a", False)], True).accept) == 3
+
+
+def test_all_rules_against_the_regexes():
+    rng = random.Random(4)
+    bits = ["ghp_", "gho", "xoxb-", "AIza", "eyJ", ".", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "AKIA", "token", "=", " ", "Ab1" * 12, "deadbeef" * 3, "9", "z", "_", "-"]
+    scanner = secrets.Scanner().ready()
+    for _ in range(3_000):
+        data = "".join(rng.choices(bits, k=rng.randint(0, 20))).encode()
+        want = []
+        for k, rule in enumerate(secrets.RULES):
+            flags = re.I if rule.ignore_case else 0
+            want += [(m.start(), m.end(), k) for m in re.finditer(rule.pattern.encode(), data, flags) if rule.keep(m[0])]
+        assert scanner.spans(data) == sorted(want, key=lambda x: (x[0], x[2])), data
+
+
+def test_time_is_linear():
+    scanner = secrets.Scanner().ready()
+    for data in (b"eyJ" * 80_000 + b" token=abcdef12", b"token" * 50_000 + b"=abcdef12", b"-----BEGIN " * 20_000 + b"token=abcdef12", b"AKIA" * 60_000):
+        begin = time.perf_counter()
+        assert scanner.spans(data)
+        assert time.perf_counter() - begin < 3
+
+
+def test_clash_of_names(spark):
+    with pytest.raises(ValueError):
+        secrets.scan_secrets(spark.createDataFrame([("a", 1)], "text string, Secrets int"))
