@@ -1,15 +1,22 @@
 """SentencePiece encoding and decoding by weighted finite-state transduction.
 
-A model's pieces are compiled into a transducer, a trie whose paths write a piece, and composed with each input lazily: a
-state is a place in the input and the last piece written. The tropical shortest path is the encoding. Three parts have one
-outcome each and aren't transducers: the normaliser (blank to meta symbol, dummy prefix) replaces strings; the byte fallback
-(a character that no piece has writes its bytes) stands between paths; runs of meta symbols are merged greedily.
-For a unigram model an arc weighs its piece's negative score. For a byte-pair model an arc weighs 0 if merging the text of
-the last two pieces alone gives these two pieces again, and infinity if not; exactly one path is then of finite weight, and
-it is the byte-pair encoding.
-
-No piece of a model holds the meta symbol behind another character (checked when compiling), so every shortest path passes
-the places before a run of meta symbols: inputs are cut there, and the path of each distinct part is found once per task.
+A model is compiled into two transducers.
+
+* The normaliser: a trie of the model's rewriting rules (its character map, as far as it has one), whose final states write what
+  a match becomes; characters on no path are copied. It is subsequential: the leftmost longest match decides, so each input has
+  one output. Blanks become meta symbols on the way, and the dummy prefix goes in front.
+* The pieces: arcs that read a piece's characters and write its number, and fallback arcs that read one character that no piece
+  is and write its bytes' pieces (or the unknown piece).
+
+The second is composed with each normalised input lazily: a state is a place in the input and the last piece written. The
+encoding is the tropical shortest path. In a unigram model an arc weighs its piece's negative score, and a fallback arc ten more
+than the worst one. In a byte-pair model an arc weighs 0 if merging the text of the last two pieces alone gives these two pieces
+again, and infinity if not: exactly one path is then of finite weight, and it is the byte-pair encoding. Either way one state
+for each place is enough. Runs of meta symbols in byte-pair models are the one exception: all their merges may tie, which pairs
+can't tell; their path is found by merging from the left.
+
+If no piece holds the meta symbol behind another character (as in all common models), every path passes the places before a run
+of meta symbols: inputs are cut there, and the path of each distinct part is kept, in tables of bounded size.
 """
 
 from __future__ import annotations
@@ -25,10 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import bounded_batches, free_of, fresh, values
 
 META = "▁"
-ROWS = 512  # texts whose pieces are held at once
+ROWS = 256  # texts whose pieces are held at once
+UNKNOWN_PENALTY = 10.0
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # kinds of pieces in a model file
 
 
@@ -58,54 +66,127 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
         yield key >> 3, value
 
 
+class Normaliser:
+    """The rewriting rules as a trie in arrays: arcs[state << 21 | character] is the next state, writes[state] its output, if final."""
+
+    def __init__(self, rules: dict[str, str], kept: list[str]) -> None:
+        """kept: strings that are copied as they are; they go before rules."""
+        self.arcs: dict[int, int] = {}
+        self.writes: list[str | None] = [None]
+        for read, write in [*rules.items(), *((x, x) for x in kept)]:
+            state = 0
+            for c in read:
+                key = state << 21 | ord(c)
+                if key not in self.arcs:
+                    self.arcs[key] = len(self.writes)
+                    self.writes.append(None)
+                state = self.arcs[key]
+            self.writes[state] = write
+        every = [*rules, *kept]
+        one, more, second = ("".join(sorted({x for x in found})) for found in ((r for r in every if len(r) == 1), (r[0] for r in every if len(r) > 1), (r[1] for r in every if len(r) > 1)))
+        options = [f"[{re.escape(one)}]"] * bool(one) + [f"[{re.escape(more)}](?=[{re.escape(second)}])"] * bool(more)
+        self._where = "|".join(options)
+        self.kept = sorted(kept, key=len, reverse=True)
+
+    def __call__(self, text: str) -> str:
+        """What the text becomes. Only places where a rule may begin are looked at; all else is copied in blocks."""
+        if not self._where:
+            return text
+        out, at, find = [], 0, re.compile(self._where).search
+        while m := find(text, at):
+            begin, state, end, write = m.start(), 0, m.start() + 1, text[m.start()]
+            for i in range(begin, len(text)):
+                state = self.arcs.get(state << 21 | ord(text[i]), -1)
+                if state < 0:
+                    break
+                if self.writes[state] is not None:
+                    end, write = i + 1, self.writes[state]
+            out += [text[at:begin], write]
+            at = end
+        return "".join([*out, text[at:]])
+
+
+def character_map(blob: bytes) -> dict[str, str]:
+    """The rules of a model's character map: a double array (its units: label, offset, leaf), then the outputs, each ended by a zero."""
+    if not blob:
+        return {}
+    size = int.from_bytes(blob[:4], "little")
+    units, texts = np.frombuffer(blob, "<u4", size // 4, 4), blob[4 + size :]
+    offset = lambda u: int(u >> 10) << ((int(u) & 1 << 9) >> 6)
+    labels = np.arange(1, 256, dtype=np.int64)
+    rules, todo = {}, [(offset(units[0]), b"")]
+    while todo:
+        base, read = todo.pop()
+        at = base ^ labels
+        at = at[at < len(units)]
+        for place in at[(units[at] & 0x800000FF) == (at ^ base)].tolist():
+            unit, key = units[place], read + bytes([place ^ base])
+            below = place ^ offset(unit)
+            if unit >> 8 & 1:
+                begin = int(units[below]) & 0x7FFFFFFF
+                rules[key.decode("utf8", "replace")] = texts[begin : texts.index(b"\0", begin)].decode("utf8", "replace")
+            todo.append((below, key))
+    return rules
+
+
 class Transducer:
     """The compiled model. ready() must be called in the process that uses it."""
 
     def __init__(self, path: str) -> None:
         self.pieces: list[tuple[str, float, int]] = []
-        self.byte_pair, prefix, charsmap, shrink, escape = False, True, b"", True, True
+        self.byte_pair, self.prefix, charsmap, self.shrink, escape = False, True, b"", True, True
         with open(path, "rb") as f:
             for key, value in _fields(f.read()):
                 if key == 1:
                     own = dict(_fields(value))
                     self.pieces.append((own.get(1, b"").decode(), own.get(2, 0.0), own.get(3, NORMAL)))
                 elif key == 2:
-                    self.byte_pair = dict(_fields(value)).get(3, 1) == 2
+                    own = dict(_fields(value))
+                    self.byte_pair, suffix = own.get(3, 1) == 2, bool(own.get(24, 0))
+                    if own.get(3, 1) not in (1, 2) or suffix:
+                        raise ValueError("only unigram and byte-pair models with blanks as prefixes are supported")
                 elif key == 3:
                     own = dict(_fields(value))
-                    charsmap, prefix, shrink, escape = own.get(2, b""), bool(own.get(3, 1)), bool(own.get(4, 1)), bool(own.get(5, 1))
-        if charsmap or not escape or any(kind == USER for *_, kind in self.pieces):
-            raise ValueError("models with a character map, user-defined pieces or unescaped blanks aren't supported")
-        if any(META in p.lstrip(META) for p, _, kind in self.pieces if kind == NORMAL):
-            raise ValueError("models whose pieces span words aren't supported")
-        self.prefix, self.shrink = prefix, shrink
-
-    def ready(self, cache: int = 500_000) -> "Transducer":
+                    charsmap, self.prefix, self.shrink, escape = own.get(2, b""), bool(own.get(3, 1)), bool(own.get(4, 1)), bool(own.get(5, 1))
+        if not escape:
+            raise ValueError("models with unescaped blanks aren't supported")
+        self.normaliser = Normaliser(character_map(charsmap), [p for p, _, kind in self.pieces if kind == USER])
+
+    def ready(self, cache: int = 100_000) -> "Transducer":
         """Builds what isn't broadcast; once in a process, as its tasks share the broadcast object and so the paths found."""
         if hasattr(self, "_parts"):
             return self
-        self._id = {p: i for i, (p, _, kind) in enumerate(self.pieces) if kind == NORMAL}
+        self._id = {p: i for i, (p, _, kind) in enumerate(self.pieces) if kind in (NORMAL, USER)}
         self._score = {p: s for p, s, kind in self.pieces if kind == NORMAL}
         self._byte = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(self.pieces) if kind == BYTE}
         self._unknown = next((i for i, (*_, kind) in enumerate(self.pieces) if kind == UNKNOWN), 0)
         self._out = [b"" if kind in (CONTROL, UNUSED) else bytes([int(p[3:5], 16)]) if kind == BYTE else " ⁇ ".encode() if kind == UNKNOWN else p.replace(META, " ").encode() for p, _, kind in self.pieces]
+        scores = list(self._score.values()) or [0.0]
+        bonus = lambda p, s, kind: len(p.encode()) * max(scores) - 0.1 if kind == USER else s
+        self._weight = [-bonus(*x) for x in self.pieces]
+        self._fallback = UNKNOWN_PENALTY - min(scores)
         self._parts: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
-        self._pairs: dict[int, bool] = {}
+        self._pairs: dict[tuple[int, int], float] = {}
         self._cache = cache
-        self._joins = {p[i : i + 2] for p in self._id for i in range(len(p) - 1)}
-        self._arcs = ahocorasick.Automaton()  # the trie with failure links: gives the pieces that end at each place
+        self._arcs = ahocorasick.Automaton()  # the pieces' trie with failure links: gives the arcs that end at each place
         for p, i in self._id.items():
             self._arcs.add_word(p, (i, len(p)))
         self._arcs.make_automaton()
         self._text = [p for p, *_ in self.pieces]
         self._chars = {p for p in self._id if len(p) == 1}
-        alone = "".join(re.escape(c) for c in "\n\t\r" if c not in self._id)
-        self._cut = re.compile(rf"{META}*[^{META}{alone}]+|{META}+|[{alone}]" if alone else rf"{META}*[^{META}]+|{META}+").findall
+        self._joins = {p[i : i + 2] for p in self._id for i in range(len(p) - 1)}
+        frozen = "|".join(map(re.escape, self.normaliser.kept)) if self.byte_pair else ""
+        spans = any(META in p.lstrip(META) for p in self._id)
+        alone = "".join(re.escape(c) for c in "\n\t\r" if c not in self._id and not any(c in p for p in self._joins))
+        words = r"[\s\S]+" if spans else rf"{META}*[^{META}{alone}]+|{META}+|[{alone}]" if alone else rf"{META}*[^{META}]+|{META}+"
+        self._cut = re.compile(words).findall
+        self._frozen = re.compile(f"({frozen})").split if frozen else None
         return self
 
     def normal(self, text: str) -> str:
         """The normaliser's output."""
+        text = self.normaliser(text)
         if self.shrink:
             text = re.sub(" +", " ", text).strip(" ")
         return META * (self.prefix and text != "") + text.replace(" ", META)
@@ -113,13 +194,22 @@ class Transducer:
     def encode(self, text: str) -> bytes:
         """Piece ids as 4-byte integers."""
         parts, out = self._parts, []
-        for part in self._cut(self.normal(text)):
-            ids = parts.get(part)
-            out.append(self._whole(part) if ids is None else ids)
-        return b"".join(out)
+        normal = self.normal(text)
+        for k, block in enumerate(self._frozen(normal) if self._frozen else [normal]):
+            if k % 2:  # what the user has defined is never merged
+                out.append(array("i", [self._id[block]]).tobytes())
+                continue
+            for part in self._cut(block):
+                ids = parts.get(part)
+                out.append(self._whole(part) if ids is None else ids)
+        ids = b"".join(out)
+        if not self._byte and ids:  # unknown characters side by side are one unknown piece
+            own = np.frombuffer(ids, np.int32)
+            ids = own[np.concatenate([[True], (own[1:] != self._unknown) | (own[:-1] != self._unknown)])].tobytes()
+        return ids
 
     def _whole(self, part: str) -> bytes:
-        """A part's ids. No path crosses two characters that stand side by side in no piece, so it is cut there as well."""
+        """A part's ids. No arc reads two characters that stand side by side in no piece, so it is cut there as well."""
         if (ids := self._older.get(part)) is not None:
             self._keep(part, ids)
             return ids
@@ -139,7 +229,7 @@ class Transducer:
         """Two generations bound the memory; what is dropped is found again."""
         if len(self._parts) >= self._cache:
             self._older, self._parts = self._parts, {}
-        if len(part) < 200:
+        if len(part) < 100:
             self._parts[part] = ids
 
     def decode(self, ids) -> str:
@@ -148,32 +238,16 @@ class Transducer:
         text = b"".join([out[i] for i in ids]).decode("utf8", "replace")
         return text[1:] if self.prefix and text[:1] == " " else text
 
-    def _path(self, part: str) -> list[int]:
-        """The shortest path of a part, through the byte fallback where a character has no piece."""
-        if self._chars.issuperset(part):
-            return self._known(part)
-        out: list[int] = []
-        at = 0
-        for i, c in enumerate(part):
-            if c not in self._chars:
-                out += self._known(part[at:i])
-                out += [self._byte[b] for b in c.encode()] if self._byte else [self._unknown]
-                at = i + 1
-        return out + self._known(part[at:])
-
-    def _known(self, s: str) -> list[int]:
-        if not s:
-            return []
-        if not self.byte_pair:
-            return self._shortest(s)
-        blanks = len(s) - len(s.lstrip(META))
+    def _path(self, s: str) -> list[int]:
+        """The ids on the shortest path of a part."""
+        blanks = len(s) - len(s.lstrip(META)) if self.byte_pair else 0
         if blanks < 2:
-            return self._free(s)
+            return self._written(self._shortest(s))
         if blanks < len(s):  # pieces of meta symbols alone merge last and tie: from the left
-            rest = self._free(s[blanks - 1 :])
+            rest = self._shortest(s[blanks - 1 :])
             if rest[0] == self._id.get(META):
-                return self._run(blanks) + rest[1:]
-            return self._run(blanks - 1) + rest
+                return self._run(blanks) + self._written(rest[1:])
+            return self._run(blanks - 1) + self._written(rest)
         return self._run(blanks)
 
     def _run(self, n: int) -> list[int]:
@@ -183,7 +257,7 @@ class Transducer:
             sizes.append(1)
             while len(sizes) > 1 and META * (sizes[-2] + sizes[-1]) in self._id:
                 sizes[-2:] = [sizes[-2] + sizes[-1]]
-        return [self._id[META * k] for k in sizes]
+        return self._written([self._id.get(META * k, ~ord(META)) for k in sizes])
 
     def _merged(self, s: str) -> list[str]:
         """What merging the best pair, from the left, again and again makes of a short text."""
@@ -198,44 +272,59 @@ class Transducer:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return parts
 
-    def _free(self, s: str) -> list[int]:
-        """The path whose arcs all weigh 0 in a byte-pair model: forward through the places, where one last piece is left at each."""
-        pairs, text = self._pairs, self._text
-        last: list[int | None] = [-1] + [None] * len(s)
-        for end, (piece, n) in self._arcs.iter(s):
-            if last[end + 1] is None and (before := last[end + 1 - n]) is not None:
-                fits = pairs.get(key := before << 32 | piece)
-                if fits is None:
-                    if len(pairs) >= 4 * self._cache:
-                        pairs.clear()
-                    own = text[piece] if before < 0 else text[before] + text[piece]
-                    fits = pairs[key] = self._merged(own) == ([own] if before < 0 else [text[before], text[piece]])
-                if fits:
-                    last[end + 1] = piece
-        out, at = [], len(s)
-        while at:
-            out.append(last[at])
-            at -= len(text[last[at]])
-        return out[::-1]
+    def _pair_weight(self, before: int | None, arc: int) -> float:
+        """0 if a byte-pair model writes this arc's piece behind that one, else infinity."""
+        key = (before, arc)
+        if (found := self._pairs.get(key)) is None:
+            if len(self._pairs) >= 2 * self._cache:
+                self._pairs.clear()
+            texts = [self._text[x] if x >= 0 else chr(~x) for x in (before, arc) if x is not None]
+            found = self._pairs[key] = 0.0 if self._merged("".join(texts)) == texts else math.inf
+        return found
 
     def _shortest(self, s: str) -> list[int]:
-        """Viterbi over the composition with a unigram model's scores. Ties keep the longer last piece."""
-        best, last = [0.0] + [math.inf] * len(s), [0] * (len(s) + 1)
-        for end, (piece, n) in self._arcs.iter(s):
-            if (total := best[end + 1 - n] - self.pieces[piece][1]) < best[end + 1]:
-                best[end + 1], last[end + 1] = total, piece
+        """The arcs on the tropical shortest path through the composition with s, for both kinds of models. A fallback arc is the
+        complement of its character. Arcs are relaxed by their ends, longest first; ties keep the earlier one."""
+        arcs = self._arcs.iter(s)
+        if not self._chars.issuperset(s):
+            own = [(i, (~ord(c), 1)) for i, c in enumerate(s) if c not in self._chars]
+            arcs = sorted([*arcs, *own], key=lambda x: x[0])
+        cost, last = [0.0] + [math.inf] * len(s), [None] * (len(s) + 1)
+        pairs, weight, byte_pair = self._pairs, self._weight, self.byte_pair
+        for end, (arc, n) in arcs:
+            begin, end = end + 1 - n, end + 1
+            so_far = cost[begin]
+            if so_far == math.inf or byte_pair and cost[end] == 0:
+                continue
+            if byte_pair:
+                own = pairs.get((last[begin], arc))
+                total = so_far + (self._pair_weight(last[begin], arc) if own is None else own)
+            else:
+                total = so_far + (weight[arc] if arc >= 0 else self._fallback)
+            if total < cost[end]:
+                cost[end], last[end] = total, arc
         out, at = [], len(s)
         while at:
             out.append(last[at])
-            at -= len(self._text[last[at]])
+            at -= len(self._text[last[at]]) if last[at] >= 0 else 1
         return out[::-1]
 
+    def _written(self, arcs: list[int]) -> list[int]:
+        """What the arcs write: pieces, and for a fallback arc its character's bytes, or the unknown piece."""
+        if all(x >= 0 for x in arcs):
+            return arcs
+        return [i for x in arcs for i in ([x] if x >= 0 else [self._byte[b] for b in chr(~x).encode()] if self._byte else [self._unknown])]
+
 
 def encode_pieces(df: DataFrame, model: str, text_col: str = "text", ids: str = "piece_ids", decoded: str | None = None) -> DataFrame:
-    """df with the array column `ids`, and with what decoding those ids gives if `decoded` names a column. Null counts as empty.
+    """df with the array column `ids`, and with what decoding those ids gives if `decoded` names a column.
 
-    One narrow pass; the compiled model is broadcast (its size is the vocabulary's). Whole texts of any length are encoded.
+    Null counts as empty, and an empty text has no pieces; whole texts of any length are encoded; repeated rows get equal pieces;
+    ties of paths go to the longer last piece; other columns stay, but columns of the result's names are an error; an empty table
+    stays empty. One narrow pass; the compiled model is broadcast (its size is the vocabulary's).
     """
+    free_of(df, ids, *([decoded] if decoded else []))
+    bounded_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(Transducer(model))
 
     @F.arrow_udf("struct<ids:array<int>,text:string>" if decoded else "struct<ids:array<int>>")
@@ -255,14 +344,16 @@ def encode_pieces(df: DataFrame, model: str, text_col: str = "text", ids: str =
 
 
 def decode_pieces(df: DataFrame, model: str, ids: str = "piece_ids", out: str = "decoded") -> DataFrame:
-    """df with the text that the ids stand for; null ids give null."""
+    """df with the text that the ids stand for; null ids give null. A column named as `out` is an error."""
+    free_of(df, out)
+    bounded_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(Transducer(model))
 
     @F.arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         fst = held.value.ready()
         for rows in batches:
-            yield pa.array([None if x is None else fst.decode(x) for x in rows.to_pylist()], pa.string())
+            yield pa.array([None if x is None else fst.decode(x) for x in values(rows)], pa.string())
 
     return df.withColumn(out, decode(F.col(ids)))
 

@@ -37,22 +37,62 @@ def test_hard_texts(fst, library):
         assert fst.decode(own) == library.decode(own)
 
 
-def test_unigram_paths_are_the_best(fst):
-    fst_u = pieces.Transducer(MODEL)
-    fst_u.byte_pair = False
-    fst_u.ready()
-    score = {i: s for i, (_, s, _) in enumerate(fst_u.pieces)}
+PIECES = ["▁", "a", "b", "c", "d", "e", "é", "ab", "bc", "abc", "▁a", "▁ab", "▁abc", "de", "cd", "▁▁", "ea", "(", ")", "1", "f", "i", "fi", "A"]
+
+
+def model(folder, kind, rule, fallback=False, user=(), shrink=True, crossing=()):
+    """A small hand-written model file, and the library's processor of it. Nothing is trained."""
+    spm = pytest.importorskip("sentencepiece")
+    pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
+    m = pb.ModelProto()
+    if rule:
+        m.normalizer_spec.precompiled_charsmap = pb.ModelProto.FromString(spm.SentencePieceNormalizer(rule_name=rule).serialized_model_proto()).normalizer_spec.precompiled_charsmap
+    m.normalizer_spec.remove_extra_whitespaces = shrink
+    m.trainer_spec.model_type, m.trainer_spec.byte_fallback = kind, fallback
+    special = [("<unk>", 2), ("<s>", 3), ("</s>", 3)] + [(f"<0x{b:02X}>", 6) for b in range(256)] * fallback + [(u, 4) for u in user]
+    for p, t in special:
+        m.pieces.add(piece=p, score=0.0, type=t)
+    for k, p in enumerate([*PIECES, *crossing]):
+        m.pieces.add(piece=p, score=-0.37 * ((k * 7) % 23) - 1 if kind == 1 else -float((k * 7) % 23) - k / 100, type=1)
+    path = f"{folder}/{kind}-{rule}-{fallback}-{len(user)}-{shrink}-{len(crossing)}.model"
+    with open(path, "wb") as f:
+        f.write(m.SerializeToString())
+    return pieces.Transducer(path).ready(), spm.SentencePieceProcessor(model_file=path)
+
+
+@pytest.mark.parametrize("kind", (1, 2))
+@pytest.mark.parametrize("more", ({"rule": None}, {"rule": "nmt_nfkc"}, {"rule": "nfkc_cf", "fallback": True}, {"rule": "nmt_nfkc", "user": ("<x>", "ab1")}, {"rule": None, "shrink": False, "fallback": True}, {"rule": "nmt_nfkc", "crossing": ("a▁b", "e▁")}))
+def test_both_kinds_of_models_equal_the_library(tmp_path, kind, more):
+    fst, library = model(tmp_path, kind, **more)
+    rng = random.Random(kind)
+    bits = ["a", "b", "c", "ab", "bc", "d", "e", "e\u0301", "é", " ", "  ", "ﬁ", "Ａ", "①", "\n", "\t", "日", "🦊", "<x>", "ab1", "(", "㈱", "\u200b", "z"]
+    for _ in range(1_500):
+        text = "".join(rng.choices(bits, k=rng.randint(0, 14)))
+        assert ids(fst, text) == library.encode(text), text
+
+
+def test_unigram_paths_are_the_best(tmp_path):
+    fst, _ = model(tmp_path, 1, None)
 
     def best(s):
-        cost = {0: (0.0, [])}
+        cost = [0.0] + [float("inf")] * len(s)
         for j in range(1, len(s) + 1):
-            options = [(cost[i][0] - score[fst_u._id[s[i:j]]], [*cost[i][1], fst_u._id[s[i:j]]]) for i in range(j) if i in cost and s[i:j] in fst_u._id]
-            if options:
-                cost[j] = min(options, key=lambda x: x[0])
-        return cost[len(s)][0]
+            cost[j] = min((cost[i] + fst._weight[fst._id[s[i:j]]] for i in range(j) if s[i:j] in fst._id), default=float("inf"))
+        return cost[len(s)]
 
-    for word in ("▁the", "▁internationally", "▁abcab", "ing"):
-        assert -sum(score[i] for i in fst_u._shortest(word)) == best(word)
+    rng = random.Random(8)
+    for _ in range(300):
+        s = "▁" + "".join(rng.choices("abcde", k=rng.randint(0, 12)))
+        assert abs(sum(fst._weight[x] for x in fst._shortest(s)) - best(s)) < 1e-9
+
+
+def test_ablation_each_transducer_changes_the_ids(tmp_path):
+    fst, _ = model(tmp_path, 1, "nmt_nfkc", fallback=True)
+    own = ids(fst, "ﬁ 日ab")
+    fst.normaliser = pieces.Normaliser({}, [])
+    assert ids(fst, "ﬁ 日ab") != own
+    fst._weight = [1.0] * len(fst._weight)
+    assert len(fst._shortest("▁abc")) == 1
 
 
 def test_columns(spark, docs):
@@ -63,5 +103,7 @@ def test_columns(spark, docs):
     back = pieces.decode_pieces(pieces.encode_pieces(docs(rows[:1]), MODEL), MODEL).first()
     assert back["decoded"] == "Hello world"
     assert pieces.encode_pieces(docs([]), MODEL).count() == 0
+    with pytest.raises(ValueError):
+        pieces.encode_pieces(docs(rows).withColumnRenamed("doc_id", "Piece_ids"), MODEL)
     clash = spark.createDataFrame([(1, "x", "y")], "doc_id long, text string, encoded string")
     assert pieces.encode_pieces(clash, MODEL).columns == ["doc_id", "text", "encoded", "piece_ids"]
