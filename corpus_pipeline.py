@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's
 docs. All but the last return the columns of documents.
+
+For every stage: a null text counts as empty; texts are read whole; repeated rows are judged alike, of which near duplicates keep
+one; an empty table gives an empty one; extra columns stay, whatever their names, as what an operator adds gets a free name.
 """
 
 from __future__ import annotations
@@ -9,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerstone.llm.common import fresh, model_path, table, written
+from ledgerstone.llm.common import forget, fresh, model_path, scratch, table, written
 from ledgerstone.llm.decontaminate import contamination
 from ledgerstone.llm.language import identify
 from ledgerstone.llm.near_dedup import keep_one
@@ -20,7 +23,7 @@ from ledgerstone.llm.secrets import redact_secrets, scan_secrets
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of no known language go; so do those without letters."""
-    return identify(docs).where("lang_known").select(*docs.columns)
+    return identify(docs).where(F.col(fresh(docs, "lang_known"))).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +33,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    return contamination(docs, table(spark, sf_dir, "benchmark")).where("n_hit = 0").select(*docs.columns)
+    return contamination(docs, table(spark, sf_dir, "benchmark")).where(F.col(fresh(docs, "n_hit")) == 0).select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +45,9 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their pieces, the number of pieces, and whether decoding gives the text again."""
-    out = encode_pieces(docs, model_path(PIECE_MODEL), decoded="decoded")
-    return out.select(*docs.columns, F.size("piece_ids").cast("long").alias("n_pieces"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"), "piece_ids")
+    ids, decoded = fresh(docs, "piece_ids"), fresh(docs, "decoded")
+    out = encode_pieces(docs, model_path(PIECE_MODEL), ids=ids, decoded=decoded)
+    return out.select(*docs.columns, F.size(ids).cast("long").alias(fresh(docs, "n_pieces")), (F.col(decoded) == F.coalesce("text", F.lit(""))).alias(fresh(docs, "round_trip")), ids)
 
 
 STAGES = [
@@ -61,5 +65,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+        with scratch() as made:
+            out = written(stage(spark, docs, sf_dir))
+        forget(*(t for t in made if t is not out))
+        docs = out
     return docs

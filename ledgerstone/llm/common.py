@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from contextlib import suppress
+from contextlib import contextmanager, suppress
+from contextvars import ContextVar
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,9 +45,25 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_at = path
+    if (made := _MADE.get()) is not None:
+        made.append(out)
     return out
 
 
+_MADE: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """The tables that written() makes within, so that all but the result can be deleted once the result is written."""
+    made: list[DataFrame] = []
+    mark = _MADE.set(made)
+    try:
+        yield made
+    finally:
+        _MADE.reset(mark)
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes tables that written() made, and that nothing reads any more."""
     for df in tables:
@@ -109,15 +126,11 @@ def whole(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
-def free_of(df: DataFrame, *names: str) -> None:
-    """Raises ValueError if df has one of the columns that an operator adds, whatever its case: its values would be lost or ambiguous."""
-    taken = {c.lower() for c in df.columns}
-    if met := [n for n in names if n.lower() in taken]:
-        raise ValueError(f"the table has columns of the result's names already: {', '.join(met)}")
-
-
 def fresh(df: DataFrame, name: str) -> str:
-    """A column name that df doesn't have yet, whatever its case."""
+    """A column name that df doesn't have yet, whatever its case: the name with as many underscores in front as it takes.
+
+    Operators name their results so: a column of the caller's that has the name already stays as it is.
+    """
     taken = {c.lower() for c in df.columns}
     while name.lower() in taken:
         name = f"_{name}"

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, forget, free_of, fresh, size_of, small, values, whole, written
+from .common import bounded_batches, forget, fresh, size_of, small, values, whole, written
 
 WINDOW, ANCHORS, SLOP = 10, 2, 5
 HELD_BYTES = 64 << 20  # of terms or items that Python workers hold
@@ -180,12 +180,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     n_near if slop is given: how many places there are where an item's two rarest terms are as far apart as in the item, give or
     take slop (items of one word: where it stands).
 
-    docs: doc_id, text, and whatever else stands there but for columns of these names (ValueError); benchmark: item_id, text. A
-    null or empty text has no words; a null doc_id is a value like others; rows that repeat an id are each judged by their own
+    docs: doc_id, text, and whatever else stands there (columns of the new names stay; the new ones then get an underscore in
+    front, as fresh() says); benchmark: item_id, text. A null or empty text has no words; a null doc_id is a value like others; rows that repeat an id are each judged by their own
     text, and repeated rows alike; an empty benchmark or table gives no hits. Texts of any length are read whole. Terms of equal
     rarity go by their bytes, then place. A null item_id isn't among the items, but its words count.
     """
-    free_of(docs, "n_words", "n_hit", "items", *(["n_near"] if slop is not None else []))
     bounded_batches(docs.sparkSession)
     items = _items(benchmark)
     index, anchored = _index(docs.select("doc_id", "text"), items, window, ANCHORS)
@@ -214,8 +213,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
     joined = docs.withColumn(f"{own}_", F.xxhash64("doc_id", "text")).join(small(found), F.col(f"{own}_") == F.col(own), "left")
     judged = F.arrow_udf(judge, "struct<n_words:long,n_hit:long,items:array<string>>")(F.col("text"), F.col(places_col))
-    more = [F.coalesce(F.col(near), F.lit(0)).alias("n_near")] if slop is not None else []
-    return joined.withColumn(out, judged).select(*docs.columns, f"{out}.n_words", f"{out}.n_hit", F.array_sort(f"{out}.items").alias("items"), *more)
+    result = [F.col(out)["n_words"].alias(fresh(docs, "n_words")), F.col(out)["n_hit"].alias(fresh(docs, "n_hit")), F.array_sort(F.col(out)["items"]).alias(fresh(docs, "items"))]
+    if slop is not None:
+        result.append(F.coalesce(F.col(near), F.lit(0)).alias(fresh(docs, "n_near")))
+    return joined.withColumn(out, judged).select(*docs.columns, *result)
 
 
 def _judged(text: str | None, places: list[tuple[str | None, list[bytes], int]], window: int) -> tuple[int, list[str]]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, small, values, whole, written
+from .common import bounded_batches, fresh, small, values, whole, written
 
 BUCKETS = 1 << 14
 UNKNOWN = "und"
@@ -154,9 +154,11 @@ def identify(df: DataFrame, text: str = "text", declared: str | Column | None =
 
     declared: the language that the markup states, a column or expression; host: the address's host, or another source name.
     Null and empty texts, and texts without letters, get UNKNOWN. Missing declarations and hosts count as the value ''. An
-    empty table gives an empty table. Without a model, one is fitted on df's own rows with a declared language. Rows aren't
+    empty table gives an empty table; repeated rows count each. Texts of any length are read whole. Ties go to the language that
+    is first by name. Columns of the new names stay; the new ones are then named by fresh(). Without a model, one is fitted on df's own rows with a declared language. Rows aren't
     joined with each other: only tables of one row a host or a declared value are joined, and broadcast only if small.
     """
+    bounded_batches(df.sparkSession)
     col = lambda c: F.lit(None).cast("string") if c is None else F.col(c) if isinstance(c, str) else c
     names = {k: fresh(df, f"_lang_{k}") for k in ("declared", "host", "suffix", "score", "found", "posterior")}
     rows = df.withColumn(names["declared"], primary(col(declared))).withColumn(names["host"], F.lower(F.coalesce(col(host), F.lit(""))))
@@ -191,11 +193,11 @@ def identify(df: DataFrame, text: str = "text", declared: str | Column | None =
     best = F.array_max(names["posterior"])
     number = F.array_position(names["posterior"], best).cast("int")
     silent = score_col["size"] == 0
-    out = out.withColumn("lang_found", F.when(silent, UNKNOWN).otherwise(F.element_at(languages, number)))
-    out = out.withColumn("lang_text", F.when(silent, UNKNOWN).otherwise(F.element_at(languages, score_col["best"] + 1)))
+    found = F.when(silent, UNKNOWN).otherwise(F.element_at(languages, number))
+    by_text = F.when(silent, UNKNOWN).otherwise(F.element_at(languages, score_col["best"] + 1))
     odds = F.aggregate(names["posterior"], F.lit(0.0), lambda acc, x: acc + F.exp(x - best))
-    out = out.withColumn("lang_confidence", F.when(silent, 0.0).otherwise(F.round(1 / odds, 6))).withColumn("lang_known", F.col("lang_found") != UNKNOWN)
-    return out.select(*df.columns, "lang_found", "lang_text", "lang_confidence", "lang_known")
+    result = {"lang_found": found, "lang_text": by_text, "lang_confidence": F.when(silent, 0.0).otherwise(F.round(1 / odds, 6)), "lang_known": found != UNKNOWN}
+    return out.select(*df.columns, *(c.alias(fresh(df, k)) for k, c in result.items()))
 
 
 def language_digest(documents: DataFrame) -> DataFrame:

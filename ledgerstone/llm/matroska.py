@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole
+from .common import bounded_batches, fresh, values, whole
 
 # Element IDs of the Matroska specification.
 EBML, SEGMENT, INFO, TRACKS, TRACK, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0xAE, 0x1F43B675, 0x1C53BB6B
@@ -225,21 +225,51 @@ PACKET = "struct<track:int,timestamp_ns:long,cluster:int,block:int,lace:int,key:
 _PACKET = pa.struct([("track", pa.int32()), ("timestamp_ns", pa.int64()), ("cluster", pa.int32()), ("block", pa.int32()), ("lace", pa.int32()), ("key", pa.bool_()), ("start", pa.int64()), ("end", pa.int64())])
 
 
-def packet_table(df: DataFrame, media_col: str, *keep: str) -> DataFrame:
-    """One row for each packet of each file: the kept columns, then the fields of Packet. Null or malformed files have none."""
+PARSED = f"struct<packets:array<{PACKET}>,cues:array<struct<timestamp_ns:long,track:int,cluster_at:long>>,tracks:array<struct<track:int,codec:string,elements:map<int,binary>>>,error:string>"
+_CUES = pa.list_(pa.struct([("timestamp_ns", pa.int64()), ("track", pa.int32()), ("cluster_at", pa.int64())]))
+_TRACKS = pa.list_(pa.struct([("track", pa.int32()), ("codec", pa.string()), ("elements", pa.map_(pa.int32(), pa.binary()))]))
+
+
+def parsed(df: DataFrame, media_col: str, out: str = "media_parsed") -> DataFrame:
+    """df with the struct `out`: packets, cues, tracks, and error (null but for malformed files, which have nothing else).
 
-    @F.arrow_udf(f"array<{PACKET}>")
+    Null and empty files have empty arrays and no error; repeated rows are parsed alike; files of any length are read whole, one
+    at a time; other columns stay, also of this name (the new one is then named fresh(df, out)); an empty table stays empty.
+    """
+    bounded_batches(df.sparkSession)
+
+    @F.arrow_udf(PARSED)
     def parse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for files in batches:
-            out = []
-            for data in files.to_pylist():
+            rows = []
+            for data in values(files, 16):
                 try:
-                    out.append([p._asdict() for p in demux(data).packets] if data else [])
-                except (ValueError, IndexError, struct.error):
-                    out.append([])
-            yield pa.array(out, pa.list_(_PACKET))
+                    m = demux(data) if data else Media([], [], {}, [])
+                    tracks = [{"track": k, "codec": (v.get(CODEC_ID) or b"").decode("utf8", "replace"), "elements": list(v.items())} for k, v in m.tracks.items()]
+                    rows.append(([p._asdict() for p in m.packets], [{"timestamp_ns": a, "track": b, "cluster_at": c} for a, b, c in m.cues], tracks, None))
+                except (ValueError, IndexError, KeyError, struct.error) as e:
+                    rows.append(([], [], [], str(e) or type(e).__name__))
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            kinds = [pa.list_(_PACKET), _CUES, _TRACKS, pa.string()]
+            yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["packets", "cues", "tracks", "error"])
+
+    return df.withColumn(fresh(df, out), parse(F.col(media_col)))
+
 
-    return df.select(*keep, F.inline(parse(F.col(media_col))))
+def cue_table(df: DataFrame, media_col: str, *keep: str) -> DataFrame:
+    """One row for each cue of each file: the kept columns, timestamp_ns, track, cluster_at (the cluster's byte)."""
+    return parsed(df.select(*keep, media_col), media_col, "_parsed").select(*keep, F.inline("_parsed.cues"))
+
+
+def track_table(df: DataFrame, media_col: str, *keep: str) -> DataFrame:
+    """One row for each track of each file: the kept columns, track, codec, elements (the track's other elements by ID)."""
+    return parsed(df.select(*keep, media_col), media_col, "_parsed").select(*keep, F.inline("_parsed.tracks"))
+
+
+def packet_table(df: DataFrame, media_col: str, *keep: str) -> DataFrame:
+    """One row for each packet of each file: the kept columns, then the fields of Packet. Null files have none, nor have malformed
+    ones, whose error parsed() tells."""
+    return parsed(df.select(*keep, media_col), media_col, "_parsed").select(*keep, F.inline("_parsed.packets"))
 
 
 def _store(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -270,7 +300,11 @@ def _read_back(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def media_digest(documents: DataFrame) -> DataFrame:
-    """doc_id and digests of the stored form and of what is read back from it; one narrow pass, equal texts get equal values."""
+    """doc_id and digests of the stored form and of what is read back from it; one narrow pass, equal texts get equal values.
+
+    A null text counts as empty, and its payload is one frame of blanks; very long texts take many clusters; repeated rows and ids
+    each have their row; an empty table gives an empty one; columns but doc_id and text aren't looked at.
+    """
     # coalesce() between the two keeps Spark from fusing them, which would store each text twice
     stored = documents.select("doc_id", F.octet_length(whole("text")).cast("long").alias("n_bytes"), F.arrow_udf(_store, "binary")(F.col("text")).alias("media"))
     back = stored.withColumn("back", F.arrow_udf(_read_back, BACK)(F.coalesce("media", F.lit(b""))))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, counted, forget, free_of, fresh, hinted, small, spread_join, values, written
+from .common import bounded_batches, counted, forget, fresh, hinted, small, spread_join, values, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 SAMPLES, BANDS = 126, 21

@@ -32,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, free_of, fresh, values
+from .common import bounded_batches, fresh, values
 
 META = "▁"
 ROWS = 256  # texts whose pieces are held at once
 UNKNOWN_PENALTY = 10.0
+_WIDE, _LOW, _START = 22, (1 << 22) - 1, -(1 << 21)  # two arcs as one number: pieces from 0, complements of characters below
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # kinds of pieces in a model file
 
 
@@ -152,7 +153,7 @@ class Transducer:
             raise ValueError("models with unescaped blanks aren't supported")
         self.normaliser = Normaliser(character_map(charsmap), [p for p, _, kind in self.pieces if kind == USER])
 
-    def ready(self, cache: int = 100_000) -> "Transducer":
+    def ready(self, cache: int = 250_000) -> "Transducer":
         """Builds what isn't broadcast; once in a process, as its tasks share the broadcast object and so the paths found."""
         if hasattr(self, "_parts"):
             return self
@@ -167,7 +168,7 @@ class Transducer:
         self._fallback = UNKNOWN_PENALTY - min(scores)
         self._parts: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
-        self._pairs: dict[tuple[int, int], float] = {}
+        self._pairs: dict[int, float] = {}
         self._cache = cache
         self._arcs = ahocorasick.Automaton()  # the pieces' trie with failure links: gives the arcs that end at each place
         for p, i in self._id.items():
@@ -272,14 +273,12 @@ class Transducer:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return parts
 
-    def _pair_weight(self, before: int | None, arc: int) -> float:
+    def _pair_weight(self, before: int, arc: int) -> float:
         """0 if a byte-pair model writes this arc's piece behind that one, else infinity."""
-        key = (before, arc)
-        if (found := self._pairs.get(key)) is None:
-            if len(self._pairs) >= 2 * self._cache:
-                self._pairs.clear()
-            texts = [self._text[x] if x >= 0 else chr(~x) for x in (before, arc) if x is not None]
-            found = self._pairs[key] = 0.0 if self._merged("".join(texts)) == texts else math.inf
+        if len(self._pairs) >= self._cache:
+            self._pairs.clear()
+        texts = [self._text[x] if x >= 0 else chr(~x) for x in (before, arc) if x != _START]
+        found = self._pairs[before << _WIDE ^ arc & _LOW] = 0.0 if self._merged("".join(texts)) == texts else math.inf
         return found
 
     def _shortest(self, s: str) -> list[int]:
@@ -289,7 +288,7 @@ class Transducer:
         if not self._chars.issuperset(s):
             own = [(i, (~ord(c), 1)) for i, c in enumerate(s) if c not in self._chars]
             arcs = sorted([*arcs, *own], key=lambda x: x[0])
-        cost, last = [0.0] + [math.inf] * len(s), [None] * (len(s) + 1)
+        cost, last = [0.0] + [math.inf] * len(s), [_START] * (len(s) + 1)
         pairs, weight, byte_pair = self._pairs, self._weight, self.byte_pair
         for end, (arc, n) in arcs:
             begin, end = end + 1 - n, end + 1
@@ -297,7 +296,7 @@ class Transducer:
             if so_far == math.inf or byte_pair and cost[end] == 0:
                 continue
             if byte_pair:
-                own = pairs.get((last[begin], arc))
+                own = pairs.get(last[begin] << _WIDE ^ arc & _LOW)
                 total = so_far + (self._pair_weight(last[begin], arc) if own is None else own)
             else:
                 total = so_far + (weight[arc] if arc >= 0 else self._fallback)
@@ -320,10 +319,10 @@ def encode_pieces(df: DataFrame, model: str, text_col: str = "text", ids: str =
     """df with the array column `ids`, and with what decoding those ids gives if `decoded` names a column.
 
     Null counts as empty, and an empty text has no pieces; whole texts of any length are encoded; repeated rows get equal pieces;
-    ties of paths go to the longer last piece; other columns stay, but columns of the result's names are an error; an empty table
-    stays empty. One narrow pass; the compiled model is broadcast (its size is the vocabulary's).
+    ties of paths go to the longer last piece; other columns stay, also of these names (the new ones are then named by
+    fresh()); an empty table stays empty. One narrow pass; the compiled model is broadcast (its size is the vocabulary's).
     """
-    free_of(df, ids, *([decoded] if decoded else []))
+    ids, decoded = fresh(df, ids), decoded and fresh(df, decoded)
     bounded_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(Transducer(model))
 
@@ -344,8 +343,8 @@ def encode_pieces(df: DataFrame, model: str, text_col: str = "text", ids: str =
 
 
 def decode_pieces(df: DataFrame, model: str, ids: str = "piece_ids", out: str = "decoded") -> DataFrame:
-    """df with the text that the ids stand for; null ids give null. A column named as `out` is an error."""
-    free_of(df, out)
+    """df with the text that the ids stand for; null ids give null. Other columns stay, as in encode_pieces()."""
+    out = fresh(df, out)
     bounded_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(Transducer(model))
 

@@ -184,8 +184,12 @@ def spans(found: DataFrame, model: Model, column: str = "candidates", out: str =
 
 
 def find_pii(df: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
-    """df with the array `out` of spans; the model is trained on df's own candidates. Other columns and repeated rows stay."""
-    held = fresh(df, "candidates")
+    """df with the array `out` of spans; the model is trained on df's own candidates.
+
+    Null and empty texts have no spans, texts of any length are read whole, repeated rows stay and get equal spans, an empty
+    table stays empty. Other columns stay, also one of this name (the new one is then named fresh(df, out)).
+    """
+    held, out = fresh(df, "candidates"), fresh(df, out)
     marked = candidates(df, text, held)
     return spans(marked, train(marked, held), held, out).drop(held)
 

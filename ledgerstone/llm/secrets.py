@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, free_of, fresh, span_digest, values
+from .common import bounded_batches, fresh, span_digest, values
 
 WORD = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -326,10 +326,10 @@ SPAN = "struct<kind:string,start:long,end:long>"
 def scan_secrets(df: DataFrame, text_col: str = "text", out: str = "secrets", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """df with the array column `out` of spans (kind, start, end in code points, end exclusive), by start, then rule.
 
-    Null and empty texts have no spans; very long ones are read whole; repeated rows, row order and other columns stay, but a
-    column named as `out` is an error; an empty table stays empty. One narrow pass without a shuffle.
+    Null and empty texts have no spans; very long ones are read whole; repeated rows, row order and other columns stay, also one
+    of this name (the new one is then named fresh(df, out)); an empty table stays empty. One narrow pass without a shuffle.
     """
-    free_of(df, out)
+    out = fresh(df, out)
     bounded_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(Scanner(rules))
 

@@ -20,7 +20,7 @@ from .common import counted, fresh, hinted, whole, written
 
 BITS = 60
 #: A parameter: bytes of text in a shard at most. FINER: bits beyond the expected depth in the first pass.
-BYTE_LIMIT, FINER = 1 << 20, 4
+BYTE_LIMIT, FINER = 1 << 20, 2
 
 
 def key_hash(*keys: str | Column) -> Column:
@@ -47,9 +47,10 @@ def shard(df: DataFrame, keys: list[str], size: Column, limit: int = BYTE_LIMIT)
     don't fit together) and shard_oversized (the row alone is over the limit).
 
     keys: the columns that are hashed; rows of equal keys are kept together as far as the limit allows. size: a row's bytes,
-    null counts as 0. Every page of a shard fits the limit unless it is one oversized row. An empty table stays empty.
+    null counts as 0. Null and empty keys are one key; repeated rows and ties of hashes share a shard; other columns stay, also of
+    these names (the new ones are then named by fresh()). Every page of a shard fits the limit unless it is one oversized row. An empty table stays empty.
     """
-    names = {k: fresh(df, f"_shard_{k}") for k in ("hash", "bytes", "fine", "bucket", "depth", "deep", "pages")}
+    names = {k: fresh(df, f"_shard_{k}") for k in ("hash", "bytes", "fine", "bucket", "depth", "deep", "pages", "page")}
     rows = df.withColumn(names["hash"], key_hash(*keys)).withColumn(names["bytes"], F.coalesce(size.cast("long"), F.lit(0)))
     narrow = rows.select(F.col(names["hash"]).alias("h"), F.col(names["bytes"]).alias("b"))
     total = narrow.agg(F.sum("b")).first()[0] or 0
@@ -68,19 +69,19 @@ def shard(df: DataFrame, keys: list[str], size: Column, limit: int = BYTE_LIMIT)
         out = out.withColumn(names["depth"], F.coalesce(names["depth"], names["deep"])).drop(names["deep"])
         full = F.col(names["pages"]).isNotNull()
         if deep.where(full).isEmpty():
-            out = out.withColumn("shard_page", F.lit(0).cast("long"))
+            out = out.withColumn(names["page"], F.lit(0).cast("long"))
         else:
-            out = out.where(~full).withColumn("shard_page", F.lit(0).cast("long")).unionByName(_paged(out.where(full), names["hash"], names["pages"]))
+            out = out.where(~full).withColumn(names["page"], F.lit(0).cast("long")).unionByName(_paged(out.where(full), names["hash"], names["pages"], names["page"]))
         out = out.drop(names["pages"])
     else:
-        out = out.withColumn("shard_page", F.lit(0).cast("long"))
+        out = out.withColumn(names["page"], F.lit(0).cast("long"))
     depth = F.coalesce(F.col(names["depth"]), F.lit(BITS))
     bits = F.lpad(F.conv(F.col(names["hash"]).cast("string"), 10, 2), BITS, "0")
-    return out.select(*df.columns, F.substr(bits, F.lit(1), depth).alias("shard"), depth.cast("int").alias("shard_depth"), "shard_page", (F.col(names["bytes"]) > limit).alias("shard_oversized"))
+    return out.select(*df.columns, F.substr(bits, F.lit(1), depth).alias(fresh(df, "shard")), depth.cast("int").alias(fresh(df, "shard_depth")), F.col(names["page"]).alias(fresh(df, "shard_page")), (F.col(names["bytes"]) > limit).alias(fresh(df, "shard_oversized")))
 
 
-def _paged(df: DataFrame, key: str, per_page: str) -> DataFrame:
-    """shard_page for rows of one hash: their running number over its rows a page. Rows are numbered within each task, and
+def _paged(df: DataFrame, key: str, per_page: str, page: str) -> DataFrame:
+    """The column `page` for rows of one hash: their running number over its rows a page. Rows are numbered within each task, and
     tasks by their sums, so that a hot key is never in one task."""
     mark, part, local, before = (fresh(df, x) for x in ("_mark", "_part", "_local", "_before"))
     numbered = written(df.withColumn(mark, F.monotonically_increasing_id()).withColumn(part, F.shiftright(F.col(mark), 33)))
@@ -88,7 +89,7 @@ def _paged(df: DataFrame, key: str, per_page: str) -> DataFrame:
     tasks = numbered.groupBy(key, part).agg(F.count("*").alias(before))
     tasks = tasks.withColumn(before, F.sum(before).over(Window.partitionBy(key).orderBy(part)) - F.col(before))
     out = numbered.withColumn(local, F.row_number().over(own) - 1).join(tasks, [key, part])
-    return out.withColumn("shard_page", F.floor((F.col(before) + F.col(local)) / F.col(per_page))).drop(mark, part, local, before)
+    return out.withColumn(page, F.floor((F.col(before) + F.col(local)) / F.col(per_page))).drop(mark, part, local, before)
 
 
 def directory(sharded: DataFrame) -> DataFrame:

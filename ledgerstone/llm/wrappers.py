@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, small, whole, written
+from .common import bounded_batches, fresh, small, values, whole, written
 from .language import host_of
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>""", re.S)
@@ -322,13 +322,15 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", out: str = "
 
     Null and empty pages have an empty text. Pages without a host share the host ''. Repeated rows stay. Other columns stay.
     """
+    bounded_batches(pages.sparkSession)
+    out = fresh(pages, out)
     names = {k: fresh(pages, f"_page_{k}") for k in ("host", "wrapper", "drop", "own")}
     rows = pages.withColumn(names["host"], host_of(F.col(url)))
     looked = rows.select(F.col(names["host"]).alias("host"), F.arrow_udf(_shapes, SHAPE)(F.col(html)).alias("s")).select("host", "s.*")
     kinds = written(looked.distinct())
     wrappers = infer(kinds.select("host", "shape"))
     wrappers = wrappers.join(_same_texts(kinds, wrappers), "host", "left")
-    wrappers = small(written(wrappers.toDF(names["own"], names["wrapper"], names["drop"])), 20_000)
+    wrappers = small(written(wrappers.toDF(names["own"], names["wrapper"], names["drop"])))
 
     def read(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         readers: dict[tuple, Reader] = {}
@@ -361,7 +363,7 @@ def _same_texts(kinds: DataFrame, wrappers: DataFrame) -> DataFrame:
                 out.append([{"slot": to.get(x["slot"], -1), "said": x["said"]} for x in neutral])
             yield pa.array(out, pa.list_(pa.struct([("slot", pa.int32()), ("said", pa.int64())])))
 
-    rows = kinds.where(F.size("neutral") > 0).join(small(wrappers, 20_000), "host")
+    rows = kinds.where(F.size("neutral") > 0).join(small(wrappers), "host")
     each = rows.select("host", "page", F.explode(F.arrow_udf(slots, "array<struct<slot:int,said:long>>")("shape", "wrapper", "neutral")).alias("x")).select("host", "page", "x.slot", "x.said").distinct()
     by_text = each.groupBy("host", "slot", "said").agg(F.count("*").alias("n"))
     by_slot = by_text.groupBy("host", "slot").agg(F.sum("n").alias("pages"), F.max(F.struct("n", "said")).alias("most"))

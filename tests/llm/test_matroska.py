@@ -3,6 +3,7 @@ import os
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerstone.llm import matroska as m
 
@@ -51,3 +52,15 @@ def test_packet_table(spark):
     files = spark.createDataFrame([(1, m.mux(b"a" * 1920)), (2, b"junk"), (3, None)], "id long, media binary")
     rows = m.packet_table(files, "media", "id").collect()
     assert len(rows) == 10 and {r["id"] for r in rows} == {1}
+
+
+def test_cues_tracks_and_errors(spark):
+    good = m.mux(b"x" * 192 * 200)
+    rows = [(1, good), (2, good[:-5]), (3, None), (4, b"")]
+    df = spark.createDataFrame(rows, "id int, media binary").withColumn("media_parsed", F.lit("mine"))
+    out = {r["id"]: r for r in m.parsed(df, "media").collect()}
+    assert out[1]["media_parsed"] == "mine" and out[1]["_media_parsed"]["error"] is None and out[2]["_media_parsed"]["error"]
+    assert [len(out[k]["_media_parsed"]["packets"]) for k in (1, 2, 3, 4)] == [200, 0, 0, 0]
+    cues = m.cue_table(df, "media", "id").collect()
+    assert cues and all(good[c["cluster_at"] : c["cluster_at"] + 4] == m.CLUSTER.to_bytes(4, "big") for c in cues)
+    assert [(t["id"], t["track"], t["codec"]) for t in m.track_table(df, "media", "id").collect()] == [(1, 1, "A_PCM/INT/LIT")]

@@ -103,7 +103,6 @@ def test_columns(spark, docs):
     back = pieces.decode_pieces(pieces.encode_pieces(docs(rows[:1]), MODEL), MODEL).first()
     assert back["decoded"] == "Hello world"
     assert pieces.encode_pieces(docs([]), MODEL).count() == 0
-    with pytest.raises(ValueError):
-        pieces.encode_pieces(docs(rows).withColumnRenamed("doc_id", "Piece_ids"), MODEL)
+    assert pieces.encode_pieces(docs(rows).withColumnRenamed("doc_id", "Piece_ids"), MODEL).columns == ["Piece_ids", "text", "_piece_ids"]
     clash = spark.createDataFrame([(1, "x", "y")], "doc_id long, text string, encoded string")
     assert pieces.encode_pieces(clash, MODEL).columns == ["doc_id", "text", "encoded", "piece_ids"]
