@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from contextlib import contextmanager, suppress
@@ -116,6 +118,14 @@ def values(column: pa.Array, at_once: int = 256) -> Iterator:
         yield from column.slice(i, at_once).to_pylist()
 
 
+def give_back() -> None:
+    """Returns what a task has freed to the system; workers live on for later stages, and would hold it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

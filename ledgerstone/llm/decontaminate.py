@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, forget, fresh, size_of, small, values, whole, written
+from .common import bounded_batches, forget, fresh, give_back, size_of, small, values, whole, written
 
 WINDOW, ANCHORS, SLOP = 10, 2, 5
 HELD_BYTES = 64 << 20  # of terms or items that Python workers hold
@@ -84,6 +84,7 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
                 for w in own.keys() & wanted.value:
                     total[w] += own[w]
             yield pa.record_batch([pa.array([w.decode("utf8", "replace") for w in total], pa.string()), pa.array(list(total.values()), pa.int64())], ["term", "n"])
+            give_back()
 
         found = docs.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     return terms.join(found, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
@@ -116,6 +117,7 @@ def postings(docs: DataFrame, terms: DataFrame | None = None, key: str = "doc_id
                     yield _posting_batch(batch, rows, ids, places, names)
                     rows, ids, places = [], [], []
             yield _posting_batch(batch, rows, ids, places, names)
+        give_back()
 
     return docs.select(key, text).mapInArrow(find, f"`{key}` {kind}, term string, position int")
 
@@ -210,6 +212,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
                 own_places = [(*known[p["item_key"]], p["begin"]) if known else (p["item_id"], [w.encode() for w in p["words"]], p["begin"]) for p in rows[k].as_py()]
                 hits[k], met[k] = _judged(texts[k].as_py(), own_places, window)
             yield pa.StructArray.from_arrays([pa.array(n_words), pa.array(hits), pa.array(met, pa.list_(pa.string()))], ["n_words", "n_hit", "items"])
+        give_back()
 
     joined = docs.withColumn(f"{own}_", F.xxhash64("doc_id", "text")).join(small(found), F.col(f"{own}_") == F.col(own), "left")
     judged = F.arrow_udf(judge, "struct<n_words:long,n_hit:long,items:array<string>>")(F.col("text"), F.col(places_col))

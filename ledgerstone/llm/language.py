@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh, small, values, whole, written
+from .common import bounded_batches, fresh, give_back, small, values, whole, written
 
 BUCKETS = 1 << 14
 UNKNOWN = "und"
@@ -174,6 +174,7 @@ def identify(df: DataFrame, text: str = "text", declared: str | Column | None =
             ends = np.arange(0, logs.size + 1, logs.shape[1], dtype=np.int32)
             columns = [pa.ListArray.from_arrays(pa.array(ends), pa.array(logs.reshape(-1))), pa.array(np.where(sizes > 0, logs.argmax(axis=1), n - 1), pa.int32()), pa.array(sizes, pa.int64())]
             yield pa.StructArray.from_arrays(columns, ["logs", "best", "size"])
+        give_back()
 
     scored = rows.withColumn(names["score"], F.arrow_udf(score, "struct<logs:array<double>,best:int,size:long>")(F.col(text)))
     score_col = F.col(names["score"])

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, counted, forget, fresh, hinted, small, spread_join, values, written
+from .common import bounded_batches, counted, forget, fresh, give_back, hinted, small, spread_join, values, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 SAMPLES, BANDS = 126, 21
@@ -100,7 +100,7 @@ def weights(hashes: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarr
     return counts * idf[(hashes & np.uint64(DF_BUCKETS - 1)).astype(np.int64)]
 
 
-@lru_cache(maxsize=1)
+@lru_cache(maxsize=1)  # cleared at the end of each task
 def _draws() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each quantised log weight and entry of the drawn variables: log a and t of the sampling scheme; and a multiplier
     for each sample. r and c are Gamma(2, 1), beta is uniform; a shingle's entry in a sample is picked by its hash."""
@@ -161,6 +161,7 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
         total += _counted(held)
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(total[at], n))], ["bucket", "n"])
+        give_back()
 
     sums = docs.select(text).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # DF_BUCKETS + 1 rows at most
     found = dict(zip(sums["bucket"], sums["n"], strict=True))
@@ -192,6 +193,8 @@ def signatures(docs: DataFrame, idf, key: str = "doc_id", text: str = "text") ->
                     keys = _mixed(keys * _B + column)
                 bands.append((keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64))
             yield pa.StructArray.from_arrays([pa.array(vertices, pa.binary()), pa.array(sizes, pa.int64()), pa.array(samples, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["vertex", "words", "samples", "bands"])
+        _draws.cache_clear()
+        give_back()
 
     signed = F.arrow_udf(sign, "struct<vertex:binary,words:long,samples:binary,bands:array<long>>")(F.col(text))
     return docs.select(key, F.xxhash64(text).alias("text_key"), signed.alias("s")).select(key, "text_key", "s.*")
@@ -278,6 +281,8 @@ def _compared(dealt: DataFrame, idf) -> DataFrame:
                         left.append(name)
                         right.append(vertex)
             yield pa.record_batch([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
+        names, vectors, index = [], [], None
+        give_back()
 
     return dealt.mapInArrow(compare, "a binary, b binary").distinct()
 
@@ -410,6 +415,8 @@ def _across(members: DataFrame, roots: DataFrame, n_roots: int, vertices: DataFr
                         out.append((largest[k], vertex[k], root[k], 1))
             yield _quartets(out)
         yield _quartets([(*q, 0) for q, met in zip(queries, hit, strict=False) if met])
+        queries, kept = [], []
+        give_back()
 
     return dealt.mapInArrow(match, "group binary, vertex binary, root binary, part int").distinct()
 

@@ -32,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh, values
+from .common import bounded_batches, fresh, give_back, values
 
 META = "▁"
-ROWS = 256  # texts whose pieces are held at once
+ROWS = 64  # texts whose pieces are held at once
 UNKNOWN_PENALTY = 10.0
 _WIDE, _LOW, _START = 22, (1 << 22) - 1, -(1 << 21)  # two arcs as one number: pieces from 0, complements of characters below
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # kinds of pieces in a model file
@@ -153,7 +153,7 @@ class Transducer:
             raise ValueError("models with unescaped blanks aren't supported")
         self.normaliser = Normaliser(character_map(charsmap), [p for p, _, kind in self.pieces if kind == USER])
 
-    def ready(self, cache: int = 250_000) -> "Transducer":
+    def ready(self, cache: int = 150_000) -> "Transducer":
         """Builds what isn't broadcast; once in a process, as its tasks share the broadcast object and so the paths found."""
         if hasattr(self, "_parts"):
             return self
@@ -275,7 +275,7 @@ class Transducer:
 
     def _pair_weight(self, before: int, arc: int) -> float:
         """0 if a byte-pair model writes this arc's piece behind that one, else infinity."""
-        if len(self._pairs) >= self._cache:
+        if len(self._pairs) >= 2 * self._cache:
             self._pairs.clear()
         texts = [self._text[x] if x >= 0 else chr(~x) for x in (before, arc) if x != _START]
         found = self._pairs[before << _WIDE ^ arc & _LOW] = 0.0 if self._merged("".join(texts)) == texts else math.inf
@@ -336,6 +336,7 @@ def encode_pieces(df: DataFrame, model: str, text_col: str = "text", ids: str =
             if decoded:
                 columns.append(pa.array([fst.decode(np.frombuffer(x, np.int32).tolist()) for x in own], pa.string()))
             yield pa.StructArray.from_arrays(columns, ["ids", "text"][: len(columns)])
+        give_back()
 
     got = fresh(df, "encoded")
     out = df.withColumn(got, encode(F.col(text_col))).withColumn(ids, F.col(got)["ids"])

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh, span_digest, values
+from .common import bounded_batches, fresh, give_back, span_digest, values
 
 WORD = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -347,6 +347,7 @@ def scan_secrets(df: DataFrame, text_col: str = "text", out: str = "secrets", ru
                     spans = [(int(before[a]), int(before[b]), k) for a, b, k in spans]
                 found.append([{"kind": rules[k].kind, "start": a, "end": b} for a, b, k in spans])
             yield pa.array(found, kind)
+        give_back()
 
     return df.withColumn(out, scan(F.col(text_col)))
 
