@@ -7,8 +7,13 @@ become a repeated group, and texts become slots. Aligning two wrappers gives a w
 of small groups: distinct shapes first (counted with partial sums), then rounds of bounded groups until each host has one.
 
 Slots carry a zone: within an article or main element; within what a page says isn't its text (navigation, adverts, notices,
-comments and so on, by element, role or class); or neither. A page's text is all that is within the article or, on pages
-without one, its neutral texts but those that the host's wrapper shows to be the same on most different pages of the host.
+comments and so on, by element, role or class); or neither. Then every page's texts are counted by the host's slots, once for
+pages of equal text: how many characters, and how often the commonest text. A slot that holds one text on most pages is chrome,
+and so is a repeated group of short texts or links; the others are text. The wrapper's main part is found from its root down:
+an article or main part with at least half of the varying text or, where there is none, the least part that holds all varying
+text that isn't in such groups. A page's text is what its alignment puts into the main part's slots, but for zones that
+aren't text and, outside articles, for what is the same on most pages. Hosts of less than SAME_PAGES different pages tell
+nothing: there, as on pages that have nothing in the main part, the page's own article or its neutral texts are read.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh, small, values, whole, written
+from .common import bounded_batches, forget, fresh, give_back, small, values, whole, written
 from .language import host_of
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>""", re.S)
@@ -44,6 +49,8 @@ NOT_WORDS = frozenset("has with no without".split())
 DEPTH = 120  # deeper elements are not nested in the tree; their texts hang on the element at this depth
 ZONES = ("#m", "#o", "#x")  # in the article, neither, out
 SAME_SHARE, SAME_PAGES = 0.5, 3
+SHORT = 60  # characters of a list item or comment's text on average, at most
+TEXTUAL = HEADINGS | frozenset("p ul ol li dl dt dd table thead tbody tfoot tr td th blockquote pre figure figcaption address a b i em strong span small sup sub code q cite label".split())
 GROUP = 32
 
 
@@ -274,27 +281,25 @@ def _digest(text: str) -> int:
 
 
 def _shapes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    kind = pa.struct([("slot", pa.int32()), ("said", pa.int64()), ("chars", pa.int32())])
     for pages in batches:
-        shapes, neutral, said = [], [], []
-        for page in pages.to_pylist():
+        shapes, slots, said = [], [], []
+        for page in values(pages):
             tree, texts = page_tree(page)
             own = shape(tree)
             shapes.append(json.dumps(own, separators=(",", ":"), ensure_ascii=False))
-            rows, all_said = [], None
-            if not any(leaf[0] == "#m" for leaf, *_ in texts):
-                slots = Reader(own).read(tree)
-                by: dict[int, list[str]] = {}
-                for leaf, _, raw in texts:
-                    if leaf[0] == "#o":
-                        by.setdefault(slots.get(id(leaf), -1), []).append(raw)
-                rows = [{"slot": k, "said": _digest(" ".join(v))} for k, v in by.items()]
-                all_said = _digest(" ".join(raw for leaf, _, raw in texts if leaf[0] == "#o"))
-            neutral.append(rows)
-            said.append(all_said)
-        yield pa.StructArray.from_arrays([pa.array(shapes, pa.string()), pa.array(neutral, pa.list_(pa.struct([("slot", pa.int32()), ("said", pa.int64())]))), pa.array(said, pa.int64())], ["shape", "neutral", "page"])
+            numbers = Reader(own).read(tree)
+            by: dict[int, list[str]] = {}
+            for leaf, _, raw in texts:
+                if leaf[0] != "#x":
+                    by.setdefault(numbers.get(id(leaf), -1), []).append(raw)
+            slots.append([{"slot": k, "said": _digest(" ".join(v)), "chars": sum(map(len, v))} for k, v in by.items()])
+            said.append(_digest(" ".join(raw for leaf, _, raw in texts if leaf[0] != "#x")))
+        yield pa.StructArray.from_arrays([pa.array(shapes, pa.string()), pa.array(slots, pa.list_(kind)), pa.array(said, pa.int64())], ["shape", "slots", "page"])
+    give_back()
 
 
-SHAPE = "struct<shape:string,neutral:array<struct<slot:int,said:long>>,page:long>"
+SHAPE = "struct<shape:string,slots:array<struct<slot:int,said:long,chars:int>>,page:long>"
 
 
 def infer(shapes: DataFrame) -> DataFrame:
@@ -311,6 +316,7 @@ def infer(shapes: DataFrame) -> DataFrame:
     while True:
         sizes = written(left.groupBy("host").agg(F.count("*").alias("n")))
         if sizes.where("n > 1").isEmpty():
+            forget(sizes)
             return left
         groups = F.ceil(F.col("n") / GROUP)
         dealt = left.join(small(sizes), "host").withColumn("part", F.pmod(F.xxhash64("wrapper"), groups))
@@ -320,55 +326,121 @@ def infer(shapes: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, html: str = "html", url: str = "url", out: str = "main_text") -> DataFrame:
     """pages with `out`, the main text: blocks in page order, joined by a blank; empty if there is none.
 
-    Null and empty pages have an empty text. Pages without a host share the host ''. Repeated rows stay. Other columns stay.
+    Null and empty pages have an empty text. Pages without a host share the host ''. Very long pages are read whole; elements below
+    DEPTH hang on the one at DEPTH, texts and all. Repeated rows stay, with equal texts, and count once in what the host tells; a
+    tie between texts of a slot goes to the greater digest. Other columns stay, also one of this name (the new one is then named
+    fresh(pages, out)). An empty table gives an empty one.
     """
     bounded_batches(pages.sparkSession)
     out = fresh(pages, out)
-    names = {k: fresh(pages, f"_page_{k}") for k in ("host", "wrapper", "drop", "own")}
+    names = {k: fresh(pages, f"_page_{k}") for k in ("host", "wrapper", "drop", "own", "main")}
     rows = pages.withColumn(names["host"], host_of(F.col(url)))
     looked = rows.select(F.col(names["host"]).alias("host"), F.arrow_udf(_shapes, SHAPE)(F.col(html)).alias("s")).select("host", "s.*")
     kinds = written(looked.distinct())
-    wrappers = infer(kinds.select("host", "shape"))
-    wrappers = wrappers.join(_same_texts(kinds, wrappers), "host", "left")
-    wrappers = small(written(wrappers.toDF(names["own"], names["wrapper"], names["drop"])))
+    wrappers = written(infer(kinds.select("host", "shape")))
+    facts = written(wrappers.join(_facts(kinds, wrappers), "host", "left"))
+    forget(kinds, wrappers)
+    joined = rows.join(small(facts.toDF(*(names[k] for k in ("own", "wrapper", "drop", "main")))), F.col(names["host"]) == F.col(names["own"]), "left")
 
-    def read(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        readers: dict[tuple, Reader] = {}
+    def read(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        readers: dict[tuple, HostReader] = {}
         for batch in batches:
             texts = []
-            for page, wrapper, drop in zip(*(c.to_pylist() for c in batch), strict=True):
-                key = (wrapper, tuple((x["slot"], x["said"]) for x in drop or ()))
+            for page, wrapper, drop, main in zip(*map(values, batch), strict=True):
+                key = (wrapper, tuple((x["slot"], x["said"]) for x in drop or ()), tuple(main or ()))
                 if key not in readers:
                     if len(readers) > 1_000:
                         readers.clear()
-                    readers[key] = Reader(json.loads(wrapper))
-                texts.append(_main_text(page, readers[key], dict(key[1])))
+                    readers[key] = HostReader(json.loads(wrapper), dict(key[1]), frozenset(key[2]))
+                texts.append(readers[key].text(page))
             yield pa.array(texts, pa.string())
+        readers.clear()
+        give_back()
 
-    joined = rows.join(wrappers, F.col(names["host"]) == F.col(names["own"]), "left")
-    return joined.withColumn(out, F.arrow_udf(read, "string")(F.col(html), F.col(names["wrapper"]), F.col(names["drop"]))).select(*pages.columns, out)
+    return joined.withColumn(out, F.arrow_udf(read, "string")(F.col(html), *(F.col(names[k]) for k in ("wrapper", "drop", "main")))).select(*pages.columns, out)
 
 
-def _same_texts(kinds: DataFrame, wrappers: DataFrame) -> DataFrame:
-    """host, drop: the neutral slots that hold one text on most of SAME_PAGES or more pages, and that text.
+def _facts(kinds: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """host, drop: the slots that hold one text on most of SAME_PAGES or more pages, and that text; main: the main part's slots.
 
-    Pages of one host that have all their neutral text in common are copies and count once. Sums by slot and text are partial first.
+    Pages of one host that have all their text in common are copies and count once. Sums by slot and text are partial first.
     """
 
     def slots(rows: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        known: dict[tuple, dict[int, int]] = {}
         for batch in rows:
             out = []
-            for shaped, wrapper, neutral in zip(*(c.to_pylist() for c in batch), strict=True):
-                to = slots_between(json.loads(shaped), Reader(json.loads(wrapper)))
-                out.append([{"slot": to.get(x["slot"], -1), "said": x["said"]} for x in neutral])
-            yield pa.array(out, pa.list_(pa.struct([("slot", pa.int32()), ("said", pa.int64())])))
+            for shaped, wrapper, own in zip(*map(values, batch), strict=True):
+                if (shaped, wrapper) not in known:
+                    if len(known) > 1_000:
+                        known.clear()
+                    known[shaped, wrapper] = slots_between(json.loads(shaped), Reader(json.loads(wrapper)))
+                to = known[shaped, wrapper]
+                out.append([{**x, "slot": to.get(x["slot"], -1)} for x in own])
+            yield pa.array(out, pa.list_(pa.struct([("slot", pa.int32()), ("said", pa.int64()), ("chars", pa.int32())])))
+
+    def choose(rows: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for batch in rows:
+            yield pa.array([main_slots(json.loads(w), {x["slot"]: (x["pages"], x["same"], x["chars"]) for x in own}) for w, own in zip(*map(values, batch), strict=True)], pa.list_(pa.int32()))
+
+    rows = kinds.where(F.size("slots") > 0).join(small(wrappers), "host")
+    each = rows.select("host", "page", F.explode(F.arrow_udf(slots, "array<struct<slot:int,said:long,chars:int>>")("shape", "wrapper", "slots")).alias("x")).select("host", "page", "x.*").distinct()
+    by_text = each.groupBy("host", "slot", "said").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    by_slot = by_text.groupBy("host", "slot").agg(F.sum("n").alias("pages"), F.max(F.struct("n", "said")).alias("most"), F.sum("chars").alias("chars")).where("slot >= 0")
+    by_slot = by_slot.withColumn("same", (F.col("pages") >= SAME_PAGES) & (F.col("most.n") > SAME_SHARE * F.col("pages")))
+    listed = by_slot.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("slot", "pages", "same", "chars", "most.said"))).alias("s"))
+    told = listed.join(wrappers, "host").select("host", "s", F.arrow_udf(choose, "array<int>")("wrapper", "s").alias("main"))
+    dropped = F.transform(F.filter("s", lambda x: x["same"]), lambda x: F.struct(x["slot"].alias("slot"), x["said"].alias("said")))
+    return told.select("host", dropped.alias("drop"), "main")
+
 
-    rows = kinds.where(F.size("neutral") > 0).join(small(wrappers), "host")
-    each = rows.select("host", "page", F.explode(F.arrow_udf(slots, "array<struct<slot:int,said:long>>")("shape", "wrapper", "neutral")).alias("x")).select("host", "page", "x.slot", "x.said").distinct()
-    by_text = each.groupBy("host", "slot", "said").agg(F.count("*").alias("n"))
-    by_slot = by_text.groupBy("host", "slot").agg(F.sum("n").alias("pages"), F.max(F.struct("n", "said")).alias("most"))
-    same = by_slot.where((F.col("pages") >= SAME_PAGES) & (F.col("most.n") > SAME_SHARE * F.col("pages")) & (F.col("slot") >= 0))
-    return same.groupBy("host").agg(F.sort_array(F.collect_set(F.struct("slot", "most.said"))).alias("drop"))
+def main_slots(wrapper: list, counts: dict[int, tuple[int, bool, int]]) -> list[int]:
+    """The slots of the wrapper's main part; counts: by slot, the pages that have it, whether it holds one text on most, characters.
+
+    Empty if the pages are too few or nothing varies, so that the wrapper doesn't tell.
+    """
+    if max((pages for pages, *_ in counts.values()), default=0) < SAME_PAGES:
+        return []
+
+    def sums(node: tuple) -> tuple[int, int, int]:
+        """Varying characters, varying texts, and those characters that are within links."""
+        label, number, parts, _ = node
+        if label[:1] == "#":
+            pages, same, chars = counts.get(number, (0, True, 0))
+            return (0, 0, 0) if same or label == "#x" else (chars, pages, 0)
+        chars, texts, links = (sum(x) for x in zip((0, 0, 0), *map(sums, parts), strict=True))
+        return chars, texts, chars if label.split(".")[0] == "a" else links
+
+    def below(node: tuple) -> Iterator[tuple]:
+        yield node
+        for part in node[2]:
+            yield from below(part)
+
+    def chrome(node: tuple) -> bool:
+        """Nothing that varies, only links, or short texts in repeated parts."""
+        chars, texts, links = sums(node)
+        lists = any(n[3] or n[0].split(".")[0] in ("ul", "ol") for n in below(node) if n[0][:1] != "#")
+        return not chars or links == chars or lists and chars < SHORT * texts
+
+    root = Reader(wrapper).root
+    total = sums(root)[0]
+    articles = [n for n in below(root) if n[0].split(".")[0] in ("article", "main")]
+    inner = {n[1] for m in articles for n in below(m)} - {m[1] for m in articles} | {n[1] for m in articles for part in m[2] for n in below(part)}
+    articles = [n for n in articles if n[1] not in inner]
+    if total and 2 * sum(sums(n)[0] for n in articles) >= total:
+        chosen = articles
+    elif total:
+        node = root
+        while inner := [n for n in node[2] if n[0][:1] != "#" and not chrome(n)]:
+            own = [n for n in node[2] if n[0][:1] == "#" and sums(n)[0]]
+            if len(inner) > 1 or own or inner[0][3] or inner[0][0].split(".")[0] in TEXTUAL:
+                break
+            node = inner[0]
+        lists = {n[1] for part in node[2] if part[0][:1] != "#" and sums(part)[0] and chrome(part) for n in below(part)}
+        return [n[1] for n in below(node) if n[0][:1] == "#" and n[0] != "#x" and n[1] not in lists]
+    else:
+        return []
+    return [n[1] for part in chosen for n in below(part) if n[0] == "#m"]
 
 
 def _plain(w: list) -> list:
@@ -386,29 +458,46 @@ def _leaves(numbered: tuple, tree: list) -> dict[int, int]:
     return out
 
 
-def _main_text(page: str | None, reader: Reader, drop: dict[int, int]) -> str:
-    """All texts of the article; on pages without one all neutral texts but those to drop, by slot, read by way of the page's own shape."""
-    tree, texts = page_tree(page)
-    zone = "#m" if any(leaf[0] == "#m" and raw.strip() for leaf, _, raw in texts) else "#o"
-    dropped: set[int] = set()
-    if zone == "#o" and drop:
-        to = slots_between(own := shape(tree), reader)
-        slots = Reader(own).read(tree)
+class HostReader:
+    """Reads pages by their host's wrapper; what is found for a page's shape is kept."""
+
+    def __init__(self, wrapper: list, drop: dict[int, int], main: frozenset[int]) -> None:
+        self.reader, self.drop, self.main = Reader(wrapper), drop, main
+        self.known: dict[str, tuple[Reader, dict[int, int]]] = {}
+
+    def _slots(self, tree: list) -> tuple[dict[int, int], dict[int, int]]:
+        """Of each leaf the slot of the page's own shape, and of each of those the host's slot."""
+        own = shape(tree)
+        key = json.dumps(own, separators=(",", ":"), ensure_ascii=False)
+        if key not in self.known:
+            if len(self.known) > 500:
+                self.known.clear()
+            self.known[key] = (Reader(own), slots_between(own, self.reader))
+        return self.known[key][0].read(tree), self.known[key][1]
+
+    def text(self, page: str | None) -> str:
+        """What the host's main part holds or, if it holds nothing of this page, its article or else its neutral texts."""
+        tree, texts = page_tree(page)
         said: dict[int, list[str]] = {}
-        for leaf, _, raw in texts:
-            if leaf[0] == "#o":
-                said.setdefault(slots[id(leaf)], []).append(raw)
-        same = {slot for slot, raws in said.items() if drop.get(to[slot]) == _digest(" ".join(raws))}
-        dropped = {leaf for leaf, slot in slots.items() if slot in same}
-    blocks: list[list[str]] = []
-    last = None
-    for leaf, block, raw in texts:
-        if leaf[0] == zone and id(leaf) not in dropped:
-            if block != last:
-                blocks.append([])
-                last = block
-            blocks[-1].append(entities.unescape(raw))
-    return " ".join(filter(None, (" ".join("".join(b).split()) for b in blocks)))
+        kept: set[int] = set()
+        if self.main or self.drop:
+            slots, to = self._slots(tree)
+            for leaf, _, raw in texts:
+                said.setdefault(slots.get(id(leaf), -1), []).append(raw)
+            same = {slot for slot, raws in said.items() if self.drop.get(to.get(slot, -1)) == _digest(" ".join(raws))}
+            kept = {id(leaf) for leaf, *_ in texts if to.get(slots.get(id(leaf), -1), -1) in self.main and (leaf[0] == "#m" or leaf[0] == "#o" and slots.get(id(leaf)) not in same)}
+        if not any(id(leaf) in kept and raw.strip() for leaf, _, raw in texts):
+            zone = "#m" if any(leaf[0] == "#m" and raw.strip() for leaf, _, raw in texts) else "#o"
+            kept = {id(leaf) for leaf, *_ in texts if leaf[0] == zone and (zone == "#m" or not self.drop or slots.get(id(leaf)) not in same)}
+        blocks: list[list[str]] = []
+        last = None
+        for leaf, block, raw in texts:
+            if id(leaf) in kept:
+                if block != last:
+                    blocks.append([])
+                    last = block
+                blocks[-1].append(entities.unescape(raw))
+        return " ".join(filter(None, (" ".join("".join(b).split()) for b in blocks)))
 
 
 def page_digest(pages: DataFrame) -> DataFrame:

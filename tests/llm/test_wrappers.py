@@ -2,6 +2,7 @@ import html
 import json
 import random
 import re
+import time
 
 from ledgerstone.llm import wrappers as w
 
@@ -89,3 +90,54 @@ def test_copies_of_a_page_keep_their_text(spark):
     got = {r["page_id"]: r["text"] for r in w.page_digest(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     want = {i: "only page" for i in range(10)} | {100 + i: "the same story" for i in range(50)} | {200 + i: f"story {i}" for i in range(3)} | {300 + i: "the same story" for i in range(5)}
     assert got == want | {400 + i: f"news {i}" if i else "Special news 0" for i in range(4)}
+
+
+STORY = "<body><div class=q1><a href=/>Home</a> <a href=/n>News</a></div><div class=z7><div class=k><h2>Title {i}</h2><p>The story number {i} goes on for a good while and ends with {j}.</p><p>{more}</p></div></div><div class=w3><ul>{links}</ul></div><div class=t5>All rights kept</div></body>"
+
+
+def stories(n):
+    out = {}
+    for i in range(n):
+        links = "".join(f"<li><a href=/{k}>Also {i} {k}</a></li>" for k in range(3))
+        more = " ".join(f"word{i}x{k}" for k in range(20))
+        out[STORY.format(i=i, j=i * i, more=more, links=links)] = f"Title {i} The story number {i} goes on for a good while and ends with {i * i}. {more}"
+    return out
+
+
+def test_the_wrapper_finds_the_text_of_pages_without_telling_names(spark, monkeypatch):
+    want = stories(8)
+    rows = spark.createDataFrame([("http://plain/x", p) for p in want] + [("http://single/x", next(iter(want)))], "url string, html string")
+    got = {(r["url"], r["html"]): r["main_text"] for r in w.extract(rows).collect()}
+    assert {p: t for (u, p), t in got.items() if u == "http://plain/x"} == want
+    alone = got["http://single/x", next(iter(want))]
+    assert alone != want[next(iter(want))] and "Home" in alone  # ablation: what a page tells without its host's wrapper
+    monkeypatch.setattr(w, "main_slots", lambda *a: [])
+    without = {r["html"]: r["main_text"] for r in w.extract(rows.where("url = 'http://plain/x'")).collect()}
+    assert all("Also" in without[p] for p in want)
+
+
+def test_main_part_of_small_hosts_by_hand():
+    pages = list(stories(5))
+    trees = [w.page_tree(p)[0] for p in pages]
+    wrapper = w.shape(trees[0])
+    for t in trees[1:]:
+        wrapper = w.align(wrapper, w.shape(t))
+    reader = w.Reader(wrapper)
+    told: dict = {}
+    for page in pages:
+        tree, texts = w.page_tree(page)
+        slots = reader.read(tree)
+        for leaf, _, raw in texts:
+            told.setdefault(slots[id(leaf)], []).append(raw)
+    counts = {k: (5, len(set(v)) == 1, sum(map(len, v))) for k, v in told.items()}
+    chosen = set(w.main_slots(wrapper, counts))
+    assert {k for k, v in told.items() if any(x.startswith(("Title", "The story", "word")) for x in v)} <= chosen
+    assert not any(k in chosen for k, v in told.items() if any(x.startswith(("Home", "News", "Also", "All rights")) for x in v))
+    assert w.main_slots(wrapper, {k: (2, False, 9) for k in told}) == []
+
+
+def test_long_pages_take_bounded_time(spark):
+    page = "<article>" + "".join(f"<h2>t{i}</h2><p>text {i}</p>" for i in range(1_000)) + "</article>"
+    begin = time.perf_counter()
+    out = w.extract(spark.createDataFrame([("http://long/x", page)] * 3, "url string, html string")).collect()
+    assert {r["main_text"] for r in out} == {" ".join(f"t{i} text {i}" for i in range(1_000))} and time.perf_counter() - begin < 60
