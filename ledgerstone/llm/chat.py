@@ -67,10 +67,16 @@ def branches(nodes: DataFrame, best: int = 1) -> DataFrame:
 def format_branches(messages: DataFrame, best: int = 1) -> DataFrame:
     """tree, leaf, branch_rank, branch_score, formatted (one text), loss_spans (start, end of assistants' texts in it, in code points).
 
-    messages: tree, node, parent, score, role, text. Null roles and texts count as empty. Repeated rows need nodes of their own.
+    messages: tree, node, parent, score, role, text; other columns aren't looked at. Null roles and texts count as empty; a null tree
+    has no branches; very long texts are formatted whole; equal scores go to the smaller leaf; repeated rows need nodes of their
+    own; an empty table gives an empty one.
     """
+    return _formatted(branches(messages, best), messages)
+
+
+def _formatted(found: DataFrame, messages: DataFrame) -> DataFrame:
     said = messages.select("tree", "node", escaped(whole("role")).alias("role"), escaped(whole("text")).alias("text"))
-    turns = branches(messages, best).join(said, ["tree", "node"])
+    turns = found.join(said, ["tree", "node"])
     head = F.concat(F.lit(OPEN), F.col("role"), F.lit(SHUT))
     turns = turns.withColumn("piece", F.concat(head, F.col("text"), F.lit(END))).withColumn("begin", F.char_length(head)).withColumn("long", F.char_length("text"))
     before = F.coalesce(F.sum(F.char_length("piece")).over(Window.partitionBy("tree", "leaf").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -98,6 +104,22 @@ def as_trees(conversations: DataFrame) -> DataFrame:
     return rows.select("tree", "conv_id", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.char_length(whole("text")).cast("long").alias("score"), "role", "text")
 
 
+def reply_branches(conversations: DataFrame, best: int = 2) -> DataFrame:
+    """The two best branches of each conversation read as a reply tree in which row n replies to row n // 2, counted from 1.
+
+    tree, leaf, branch_rank, branch_score, n_turns, path (node numbers from the root), formatted_sha256, loss_chars. Rows by turn
+    (ties: by role and text; null first). Null texts and roles count as empty; rows without a conv_id are one tree; repeated rows
+    are nodes of their own; other columns aren't looked at; an empty table gives an empty one.
+    """
+    trees = as_trees(conversations.select("conv_id", "turn", "role", "text"))
+    trees = written(trees.withColumn("parent", F.when(F.col("node") > 1, F.floor(F.col("node") / 2).cast("int"))))
+    found = written(branches(trees, best))
+    out = _formatted(found, trees)
+    paths = found.groupBy("tree", "leaf").agg(F.count("*").alias("n_turns"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("depth", "node"))), lambda x: x["node"].cast("string")), ">").alias("path"))
+    loss = F.char_length(loss_text(F.col("formatted"), F.col("loss_spans"))).cast("long").alias("loss_chars")
+    return out.join(paths, ["tree", "leaf"]).select("tree", "leaf", "branch_rank", "branch_score", "n_turns", "path", F.sha2("formatted", 256).alias("formatted_sha256"), loss)
+
+
 def chat_digest(conversations: DataFrame) -> DataFrame:
     spark = conversations.sparkSession
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text"))

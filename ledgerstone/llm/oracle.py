@@ -23,6 +23,15 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(r || chr(10) || x
   sum({len(OPEN) + len(SHUT) + len(END)} + length(r) + length(x) + {_SPECIAL.format(x="r")} + {_SPECIAL.format(x="x")})::BIGINT AS formatted_chars, sum(length(x))::BIGINT AS branch_score
 FROM e GROUP BY conv_id"""
 
+_ESCAPED = "replace(replace(replace({x}, '\\', '\\b'), '<', '\\l'), '>', '\\g')"
+BRANCHES = f"""
+WITH RECURSIVE n AS (SELECT coalesce(conv_id::VARCHAR, '') AS tree, row_number() OVER (PARTITION BY coalesce(conv_id::VARCHAR, '') ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)::INT AS node,
+    count(*) OVER (PARTITION BY coalesce(conv_id::VARCHAR, '')) AS size, length(coalesce(text, '')) AS score, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations),
+  up AS (SELECT tree, node AS leaf, node FROM n WHERE 2 * node > size UNION ALL SELECT tree, leaf, node // 2 FROM up WHERE node > 1),
+  b AS (SELECT tree, leaf, sum(score)::BIGINT AS branch_score, count(*)::BIGINT AS n_turns, string_agg(node::VARCHAR, '>' ORDER BY node) AS path, coalesce(sum(length(x)) FILTER (r = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(string_agg('{OPEN}' || {_ESCAPED.format(x="r")} || '{SHUT}' || {_ESCAPED.format(x="x")} || '{END.strip()}' || chr(10), '' ORDER BY node)) AS formatted_sha256 FROM up JOIN n USING (tree, node) GROUP BY 1, 2)
+SELECT tree, leaf, (row_number() OVER (PARTITION BY tree ORDER BY branch_score DESC, leaf))::INT AS branch_rank, branch_score, n_turns, path, formatted_sha256, loss_chars FROM b QUALIFY row_number() OVER (PARTITION BY tree ORDER BY branch_score DESC, leaf) <= 2"""
+
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 DECONTAMINATION = f"""
 WITH b AS (SELECT * FROM (SELECT item_id::VARCHAR AS item_id, text, {_WORDS} AS ws FROM benchmark) WHERE len(ws) > 0),
@@ -63,4 +72,4 @@ WITH s AS ({" UNION ALL ".join(parts)}), g AS (SELECT doc_id, count(*) FILTER (k
 SELECT d.doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_access, coalesce(c, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(g.spans, '') AS spans FROM documents d LEFT JOIN g USING (doc_id)"""
 
 
-ORACLE: dict[str, str] = {"op1_sharding": SHARDING, "op3_chat_trees": CHAT, "op4_decontamination": DECONTAMINATION, "op7_secrets": _secrets()}
+ORACLE: dict[str, str] = {"op1_sharding": SHARDING, "op3_chat_trees": CHAT, "reply_branches": BRANCHES, "op4_decontamination": DECONTAMINATION, "op7_secrets": _secrets()}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .chat import chat_digest
+from .chat import chat_digest, reply_branches
 from .common import model_path, table
 from .decontaminate import contamination_digest
 from .language import language_digest, page_languages
@@ -32,5 +32,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_wrappers": lambda spark, d: page_digest(table(spark, d, "pages")),
     "op9_near_duplicates": lambda spark, d: near_duplicates(table(spark, d, "documents")),
     "op10_language": lambda spark, d: language_digest(table(spark, d, "documents")),
+    "reply_branches": lambda spark, d: reply_branches(table(spark, d, "conversations")),
     "page_languages": lambda spark, d: page_languages(table(spark, d, "pages")),
 }
