@@ -35,7 +35,7 @@ _JIS = re.compile(rb"\x1b(?:\$[@B]|\([BJI])")
 _LENIENT_UTF8 = re.compile(rb"(?:[\x00-\x7f]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})*+\Z")
 _CHARSET = re.compile(r"charset[=\"']?([a-z0-9_-]+)")
 BOMS = ((b"\xef\xbb\xbf", "Utf8"), (b"\xff\xfe", "Utf16Le"), (b"\xfe\xff", "Utf16Be"))
-HTML_HEAD, PROFILE_SAMPLE = 2048, 128 * 1024
+HTML_HEAD, PROFILE_SAMPLE, LONG_TEXT = 2048, 128 * 1024, 16 * 1024
 
 
 def score(data: bytes, encoding: str) -> int:
@@ -60,6 +60,15 @@ def _korean(profile: tuple[int, int, int], least: int) -> bool:
     return hangul >= least and chinese * 3 <= hangul and bad <= max(2, hangul // 6)
 
 
+def _johab_wins(data: bytes, own: int, best: int, brief: bool) -> bool:
+    """Whether Johab goes before a Chinese encoding of more points: by what the text is then or, where that shows no letters at
+    all, by pairs that only Johab has, if it has three quarters of the points."""
+    if any(profile := _profile(data, 1361)):
+        return _korean(profile, 4 if brief else 16)
+    marks = 1 if brief else 8 if len(data) >= LONG_TEXT else 2
+    return johab_marks(data) >= marks and own * 4 >= best * 3
+
+
 def detect(data: bytes) -> str:
     for sign, name in BOMS:
         if data.startswith(sign):
@@ -79,7 +88,7 @@ def detect(data: bytes) -> str:
         if points[name] == best:
             return name
     if best in (points["Gbk"], points["Gb18030"], points["Big5"]):
-        if points["Johab"] > 0 and (any(p := _profile(data, 1361)) and _korean(p, 4 if brief else 16)):
+        if points["Johab"] > 0 and _johab_wins(data, points["Johab"], best, brief):
             return "Johab"
         if points["EucKr"] > 0 and _korean(_profile(data, 949), 8 if brief else 32):
             return "EucKr"

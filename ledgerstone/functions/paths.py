@@ -34,6 +34,11 @@ def starts_with(parts: Column, prefix: Column) -> Column:
     return F.slice(parts, F.lit(1), F.greatest(F.size(prefix), F.lit(0))) == prefix
 
 
+def is_within(path: Column, folder: Column) -> Column:
+    """Whether a path is a folder or lies below it: by component, and A-Z count as a-z."""
+    return starts_with(F.transform(components(path), fold), F.transform(components(folder), fold))
+
+
 def built_path(display: Column) -> Column:
     """Parts at / and \\, without empty ones (dots stay); null where none is left."""
     parts = F.filter(F.split(display, r"[/\\]"), lambda p: p != "")

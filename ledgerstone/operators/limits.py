@@ -72,10 +72,14 @@ def encrypted(entries: DataFrame, archives: DataFrame) -> DataFrame:
     return entries.join(archives.select("archive_path", "archive_encrypted"), "archive_path", "left").withColumn("encrypted", F.col("encrypted") | F.coalesce("archive_encrypted", F.lit(False))).drop("archive_encrypted")
 
 
-def zipped_names(entries: DataFrame, names: DataFrame) -> DataFrame:
-    """entries with names of another scan (archive_path, index, name) by place; archives whose counts differ keep theirs."""
+def zipped_names(entries: DataFrame, names: DataFrame, strict: bool = False) -> DataFrame:
+    """entries with names of another scan (archive_path, index, name) by place; archives whose counts differ keep theirs or, if
+    strict (as for LZH, where the other scan alone has the paths), make the query fail."""
     left, right = (d.groupBy("archive_path").agg(F.count("*").alias(n)) for d, n in ((entries, "a"), (names, "b")))
-    same = left.join(right, "archive_path").where("a = b").select("archive_path")
+    both = left.join(right, "archive_path", "left").fillna(0, ["b"])
+    if strict:
+        both = both.withColumn("a", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.raise_error(F.format_string("%s: %d entries and %d names", "archive_path", "a", "b"))))
+    same = both.where("a = b").select("archive_path")
     new = names.join(same, "archive_path", "left_semi").select("archive_path", "index", F.col("name").alias("new_name"))
     out = entries.join(new, ["archive_path", "index"], "left")
     return out.withColumn("path", F.coalesce("new_name", "path")).withColumn("display_path", F.coalesce("new_name", "display_path")).withColumn("components", components(F.col("path"))).select(*entries.columns)

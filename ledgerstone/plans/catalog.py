@@ -319,6 +319,35 @@ def conflict_action(spark, d):
     return limits.extraction_plan(e, there, "OverwriteAll").select("archive_path", "index", "action")
 
 
+def _policy(name: str, policy: str, clash: str) -> None:
+    @query(name, f"WITH {ORDERS} SELECT archive_path, idx AS \"index\", CASE WHEN archive_path = 'orders-1' THEN 'error' WHEN kind = 'Directory' THEN CASE WHEN idx % 4 = 0 THEN '{clash}' WHEN idx % 2 = 0 THEN 'keep folder' ELSE 'create folder' END WHEN idx % 15 = 0 THEN 'error' WHEN idx % 3 = 0 THEN '{clash}' ELSE 'write' END AS action FROM orders_e")
+    def run(spark, d):
+        """Files and folders in each other's way, and one archive with unsafe paths."""
+        unsafe = F.when((F.col("archive_path") == "orders-1") & (F.col("index") % 5 == 1), F.concat(F.lit("../"), "path")).otherwise(F.col("path"))
+        e = A.orders(spark, d).withColumn("path", F.concat(unsafe, F.lit("-"), F.col("index").cast("string"))).withColumn("components", P.components(F.col("path")))
+        folder = F.when(F.col("kind") == "Directory", F.col("index") % 4 != 0).otherwise(F.col("index") % 15 == 0)
+        there = e.where("(kind = 'Directory' and index % 2 = 0) or (kind = 'File' and index % 3 = 0)").select("archive_path", "path", folder.alias("is_dir"))
+        return limits.extraction_plan(e, there, policy).select("archive_path", "index", "action")
+
+
+_policy("conflict_skip_all", "SkipAll", "skip")
+_policy("conflict_ask", "Ask", "ask")
+
+
+@query("path_conflict_rows", f"WITH {ORDERS}, e AS (SELECT archive_path, {sql_fold('path')} AS low, kind = 'Directory' AS dir FROM orders_e UNION ALL SELECT archive_path, {sql_fold('path')} || '/inner', FALSE FROM orders_e WHERE idx % 7 = 0 UNION ALL SELECT archive_path, {sql_fold('path')}, FALSE FROM orders_e WHERE idx % 10 = 0), p AS (SELECT archive_path, low, count(*) AS same, bool_or(NOT dir) AS file FROM e GROUP BY 1, 2) SELECT p.archive_path, p.low AS path, (same - 1 + CASE WHEN file THEN (SELECT count(*) FROM e WHERE e.archive_path = p.archive_path AND starts_with(e.low, p.low || '/')) ELSE 0 END)::BIGINT AS n FROM p WHERE same - 1 + CASE WHEN file THEN (SELECT count(*) FROM e WHERE e.archive_path = p.archive_path AND starts_with(e.low, p.low || '/')) ELSE 0 END > 0")
+def path_conflict_rows(spark, d):
+    """Each seventh order has an entry below it, and each tenth one stands twice, in upper case."""
+    e = A.orders(spark, d)
+    below = e.where("index % 7 = 0").withColumn("path", F.concat("path", F.lit("/inner"))).withColumn("kind", F.lit("File"))
+    again = e.where("index % 10 = 0").withColumn("path", F.upper("path")).withColumn("kind", F.lit("File"))
+    return limits.conflicts(e.unionByName(below).unionByName(again))
+
+
+@query("within_folder", f"WITH {PARTS} SELECT archive_path, idx AS \"index\", starts_with({sql_fold('path')}, 'brand#11/') AS within FROM parts_e")
+def within_folder(spark, d):
+    return A.parts(spark, d).select("archive_path", "index", P.is_within(F.col("path"), F.lit("BRAND#11\\")).alias("within"))
+
+
 @query("summary_merge", f"WITH {EVENTS} SELECT operation::VARCHAR AS archive_path, count(*)::BIGINT AS entries, sum(bytes)::BIGINT AS bytes, count(*) FILTER (bytes > 2000)::BIGINT AS skipped, min(worker) FILTER (worker IN (SELECT worker FROM events_e e2 WHERE e2.operation = events_e.operation AND bytes > 2000)) AS warning FROM events_e GROUP BY operation")
 def summary_merge(spark, d):
     e = A.progress_events(spark, d)
@@ -406,18 +435,26 @@ def completed_files(spark, d):
 # ---- archives written from the documents and read again; code pages; throttled streams
 
 
+DOCS_EACH = 5_000
+
+
 def _written(spark: SparkSession, d: str, kind: str, ext: str) -> DataFrame:
-    """The documents of each source as one archive in the shared folder, as files()."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerstone-")
+    """The documents of each source as archives of DOCS_EACH ids at most in the shared folder, as files(). So no task writes a whole hot source."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.split("[")[0] == "local":
+        folder = tempfile.mkdtemp(prefix="ledgerstone-")
+    if not folder or "://" in folder.removeprefix("file://"):
+        raise ValueError("archives are written below spark.checkpoint.dir, which must be a folder that all executors mount")
     folder = os.path.join(folder.removeprefix("file://"), f"archives-{uuid.uuid4().hex}")
     os.makedirs(folder)
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    rows = docs.select(F.concat("source", F.lit(f".{ext}")).alias("archive"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.lit("File").alias("kind"), F.encode("text", "UTF-8").alias("content"), F.lit(1_700_000_000).cast("long").alias("modified_unix_seconds"))
+    rows = docs.select(F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / DOCS_EACH).cast("string"), F.lit(f".{ext}")).alias("archive"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.lit("File").alias("kind"), F.encode("text", "UTF-8").alias("content"), F.lit(1_700_000_000).cast("long").alias("modified_unix_seconds"))
     sink.write_archives(rows, folder, kind, 1).write.format("noop").mode("overwrite").save()
     return archives.files(spark, f"file://{folder}")
 
 
-_DOCS = "SELECT source || '.{ext}' AS archive, doc_id || '.txt' AS path, octet_length(encode(text))::BIGINT AS size, 1700000000::BIGINT AS modified_unix_seconds FROM documents"
+_ARCHIVE = f"source || '-' || (doc_id // {DOCS_EACH}) || '.{{ext}}'"
+_DOCS = f"SELECT {_ARCHIVE} AS archive, doc_id || '.txt' AS path, octet_length(encode(text))::BIGINT AS size, 1700000000::BIGINT AS modified_unix_seconds FROM documents"
 
 
 def _scan(kind: str, ext: str) -> None:
@@ -431,16 +468,41 @@ _scan("Zip", "zip")
 _scan("Tar", "tar")
 
 
-@query("archive_test", "SELECT source || '.tar.xz' AS archive, count(*)::BIGINT AS entries, sum(octet_length(encode(text)))::BIGINT AS bytes, NULL::VARCHAR AS error_class FROM documents GROUP BY 1")
+@query("archive_test", f"SELECT {_ARCHIVE.format(ext='tar.xz')} AS archive, count(*)::BIGINT AS entries, sum(octet_length(encode(text)))::BIGINT AS bytes, NULL::VARCHAR AS error_class FROM documents GROUP BY 1")
 def archive_test(spark, d):
     return archives.tested(_written(spark, d, "TarXz", "tar.xz")).select(P.file_name(F.col("archive_path")).alias("archive"), "entries", "bytes", "error_class")
 
 
-@query("archive_summary", "SELECT source || '.zip' AS archive, 'ZIP' AS format_name, count(*)::BIGINT AS entry_count, sum(octet_length(encode(text)))::BIGINT AS total_uncompressed_size FROM documents GROUP BY 1")
+@query("archive_summary", f"SELECT {_ARCHIVE.format(ext='zip')} AS archive, 'ZIP' AS format_name, count(*)::BIGINT AS entry_count, sum(octet_length(encode(text)))::BIGINT AS total_uncompressed_size FROM documents GROUP BY 1")
 def archive_summary(spark, d):
     return archives.archives(_written(spark, d, "Zip", "zip")).select(P.file_name(F.col("archive_path")).alias("archive"), "format_name", "entry_count", "total_uncompressed_size")
 
 
+#: Names in legacy encodings with what they are; each stands in a table as often as its part's number says.
+ENCODED = (
+    ("EFBBBF64", "Utf8"), ("FFFE6400", "Utf16Le"), ("FEFF0064", "Utf16Be"), ("C3A4C3B6", "Utf8"), ("1B244246243C1B2842", "Iso2022Jp"), ("83658358836782B782E9", "Sjis"), ("B0A1B3AAB4D9B6F3B8B6", "EucKr"),
+    ("885B8A5C90609A7B", "Johab"), ("D6D0B9FAC8CBC3F1", "Gbk"), ("82358332", "Gb18030"), ("A440A441A45FA461", "Big5"),
+)
+_ENCODED = ", ".join(f"({k}, '{e}')" for k, (_, e) in enumerate(ENCODED))
+
+
+@query("name_encodings", f"SELECT p_partkey, e.encoding FROM part JOIN (VALUES {_ENCODED}) e(k, encoding) ON p_partkey % {len(ENCODED)} = k")
+def name_encodings(spark, d):
+    raw = F.unhex(F.get(F.array(*(F.lit(x) for x, _ in ENCODED)), (F.col("p_partkey") % len(ENCODED)).cast("int")))
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", encoding.detect_encoding(raw).alias("encoding"))
+
+
+DECODED = (("BEC8B3E7", 949, "안녕"), ("82A082A2", 932, "あい"), ("D6D0CEC4", 936, "中文"), ("B36F", 950, "這"), ("61E4", 1252, "aä"), ("4100", 1200, "A"), ("0041", 1201, "A"), ("1B2442242224241B2842", 50220, "あい"))
+_DECODED = ", ".join(f"({k}, '{t}')" for k, (*_, t) in enumerate(DECODED))
+
+
+@query("decoded_codepages", f"SELECT p_partkey, e.text FROM part JOIN (VALUES {_DECODED}) e(k, text) ON p_partkey % {len(DECODED)} = k")
+def decoded_codepages(spark, d):
+    at = (F.col("p_partkey") % len(DECODED)).cast("int")
+    pick = lambda k: F.get(F.array(*(F.lit(x[k]) for x in DECODED)), at)
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", encoding.decode_name(F.unhex(pick(0)), pick(1)).alias("text"))
+
+
 @query("decode_name", "SELECT p_partkey, p_name AS text, 'Utf8' AS encoding FROM part")
 def decode_name(spark, d):
     raw = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.encode("p_name", "UTF-8").alias("raw"))
@@ -526,6 +588,9 @@ def median_start(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").groupBy("event_type").agg(F.median("value").alias("median"))
 
 
-@query("capabilities")
+_CAPABILITIES = "('7Z', FALSE, FALSE, NULL), ('7Z VOLUME', FALSE, FALSE, NULL), ('BZIP2', TRUE, FALSE, NULL), ('GZIP', TRUE, FALSE, NULL), ('ISO', FALSE, FALSE, NULL), ('LZH', FALSE, FALSE, NULL), ('RAR', FALSE, FALSE, NULL), ('RAR5', FALSE, FALSE, NULL), ('TAR', TRUE, TRUE, 9), ('TAR.BZ2', TRUE, FALSE, NULL), ('TAR.GZ', TRUE, TRUE, 9), ('TAR.XZ', TRUE, TRUE, 9), ('TAR.ZST', TRUE, TRUE, 22), ('XZ', TRUE, FALSE, NULL), ('ZIP', TRUE, TRUE, 9), ('ZIP VOLUME', TRUE, FALSE, NULL), ('ZSTD', TRUE, FALSE, NULL)"
+
+
+@query("capabilities", f"SELECT * FROM (VALUES {_CAPABILITIES}) v(format, can_list, can_write, max_level)")
 def capabilities(spark, d):
     return actions.capabilities(spark)

@@ -103,6 +103,11 @@ def _sum_fits(head: bytes) -> bool:
     return bool(stated) and int(stated[1], 8) == sum(head[:148]) + 8 * 32 + sum(head[156:512])
 
 
+def tar_name(m: tarfile.TarInfo, codepage: int) -> str:
+    """A member's name, wherever it is listed, judged or written."""
+    return encoding.decode(m.name.encode("utf8", "surrogateescape"), codepage)
+
+
 def tar_entries(f: BinaryIO, codepage: int) -> tuple[list[dict], str | None]:
     """The members up to the first damage, and a warning if there is one behind at least one member."""
     out: list[dict] = []
@@ -110,8 +115,7 @@ def tar_entries(f: BinaryIO, codepage: int) -> tuple[list[dict], str | None]:
         with tarfile.open(fileobj=f, mode="r|", errors="surrogateescape") as tar:
             for m in tar:
                 kind = "File" if m.isreg() else "Directory" if m.isdir() else "Symlink" if m.issym() else "Hardlink" if m.islnk() else "Other"
-                name = encoding.decode(m.name.encode("utf8", "surrogateescape"), codepage)
-                out.append({"index": len(out), "path": name, "size": m.size if kind == "File" else 0, "compressed_size": None, "modified_unix_seconds": int(m.mtime), "kind": kind, "encrypted": False})
+                out.append({"index": len(out), "path": tar_name(m, codepage), "size": m.size if kind == "File" else 0, "compressed_size": None, "modified_unix_seconds": int(m.mtime), "kind": kind, "encrypted": False})
     except (tarfile.TarError, EOFError, OSError, zlib.error, lzma.LZMAError) as e:
         if not out:
             raise
@@ -154,7 +158,7 @@ def listed(found: DataFrame, codepage: int = 0) -> DataFrame:
 
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([listing(*row, codepage) for row in zip(*(c.to_pylist() for c in batch), strict=True)], _LISTING)
+            yield pa.array([listing(*row, codepage) for row in ([c[k].as_py() for c in batch] for k in range(len(batch[0])))], _LISTING)
 
     return found.withColumn("listing", F.arrow_udf(run, LISTING)("content", "name", "container", "filter", "payload", "modified_unix_seconds"))
 
@@ -174,11 +178,11 @@ def entries(found: DataFrame, codepage: int = 0) -> DataFrame:
     return each.select("archive_path", "index", "path", components(F.col("path")).alias("components"), F.col("path").alias("display_path"), "size", "compressed_size", "modified_unix_seconds", "kind", "encrypted").select(*schema.ENTRY.names)
 
 
-def members(data: bytes, container: str | None, packed: str | None, name: str) -> Iterator[tuple[int, str, str, int | None, Iterator[bytes]]]:
+def members(data: bytes, container: str | None, packed: str | None, name: str, codepage: int = 0) -> Iterator[tuple[int, str, str, int | None, Iterator[bytes]]]:
     """index, path, kind, modified, and the content in blocks, of every member in order."""
     blocks = lambda f: iter(lambda: f.read(BLOCK), b"")
     if container in ("Zip", "ZipVolume"):
-        names = zip_entries(data, 0)
+        names = zip_entries(data, codepage)
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             for entry, info in zip(names, z.infolist(), strict=True):
                 if entry["encrypted"]:
@@ -192,10 +196,10 @@ def members(data: bytes, container: str | None, packed: str | None, name: str) -
         with opened(data, packed) as f:
             yield 0, "", "File", None, blocks(f)
     else:
-        with opened(data, packed) as raw, tarfile.open(fileobj=raw, mode="r|") as tar:
+        with opened(data, packed) as raw, tarfile.open(fileobj=raw, mode="r|", errors="surrogateescape") as tar:
             for i, m in enumerate(tar):
                 kind = "File" if m.isreg() else "Directory" if m.isdir() else "Other"
-                yield i, m.name, kind, int(m.mtime), blocks(tar.extractfile(m)) if kind == "File" else iter(())
+                yield i, tar_name(m, codepage), kind, int(m.mtime), blocks(tar.extractfile(m)) if kind == "File" else iter(())
 
 
 def tested(found: DataFrame) -> DataFrame:
@@ -204,7 +208,7 @@ def tested(found: DataFrame) -> DataFrame:
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for batch in batches:
             rows = []
-            for data, container, packed, name in zip(*(c.to_pylist() for c in batch), strict=True):
+            for data, container, packed, name in ([c[k].as_py() for c in batch] for k in range(len(batch[0]))):  # one file at a time
                 n = size = 0
                 error = detail = None
                 try:

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import schema
 from ..functions.paths import unsafe_reason
 from .archives import members
 
@@ -172,11 +173,12 @@ def write_archives(rows: DataFrame, folder: str, kind: str = "Zip", level: int =
     return dealt.mapInArrow(write, "archive string, entries long, bytes long")
 
 
-def extract(found: DataFrame, plan: DataFrame, folder: str) -> DataFrame:
+def extract(found: DataFrame, plan: DataFrame, folder: str, codepage: int = 0, max_entries: int = schema.MAX_ENTRIES, max_bytes: int = schema.MAX_EXTRACT_BYTES, max_file: int = schema.MAX_FILE_BYTES) -> DataFrame:
     """Extracts by a plan (limits.extraction_plan) below folder/archive name; archive_path, entries, bytes, skipped, error_detail; an action runs it.
 
     found: files(). Only create folder, write and overwrite are carried out. A target outside the folder, also by way of a
-    link, is an error.
+    link, is an error. Names are decoded as the listing does with this code page. Limits count what is really decoded, whatever
+    the archive declares: an archive stops at the first block beyond one (values at a limit hold); what is half-written goes.
     """
     bad = plan.groupBy("archive_path").agg(F.bool_or(F.col("action") == "error").alias("bad"), F.map_from_entries(F.collect_list(F.struct("index", "action"))).alias("actions"))
     rows = found.join(bad, "archive_path").select("archive_path", "name", "container", "filter", "payload", "content", "bad", "actions")
@@ -185,19 +187,22 @@ def extract(found: DataFrame, plan: DataFrame, folder: str) -> DataFrame:
         kind = pa.struct([("entries", pa.int64()), ("bytes", pa.int64()), ("skipped", pa.int64()), ("error_detail", pa.string())])
         for batch in batches:
             out = []
-            for name, container, packed, payload, data, bad, actions in zip(*(c.to_pylist() for c in batch), strict=True):
-                out.append({"entries": 0, "bytes": 0, "skipped": 0, "error_detail": "unsafe entry path or kind"} if bad else _extracted(os.path.join(folder, name), data, container, packed, payload, name, dict(actions)))
+            for name, container, packed, payload, data, bad, actions in ([c[k].as_py() for c in batch] for k in range(len(batch[0]))):  # one archive at a time
+                out.append({"entries": 0, "bytes": 0, "skipped": 0, "error_detail": "unsafe entry path or kind"} if bad else _extracted(os.path.join(folder, name), data, container, packed, payload, name, dict(actions), codepage, (max_entries, max_bytes, max_file)))
             yield pa.array(out, kind)
 
     result = F.arrow_udf(run, "struct<entries:long,bytes:long,skipped:long,error_detail:string>")("name", "container", "filter", "payload", "content", "bad", "actions")
     return rows.select("archive_path", result.alias("r")).select("archive_path", "r.*")
 
 
-def _extracted(root: str, data: bytes, container, packed, payload, name: str, actions: dict[int, str]) -> dict:
+def _extracted(root: str, data: bytes, container, packed, payload, name: str, actions: dict[int, str], codepage: int, limits: tuple[int, int, int]) -> dict:
+    max_entries, max_bytes, max_file = limits
     out = {"entries": 0, "bytes": 0, "skipped": 0, "error_detail": None}
     os.makedirs(root, exist_ok=True)
     try:
-        for index, path, kind, modified, content in members(data, container, packed, name):
+        for index, path, kind, modified, content in members(data, container, packed, name, codepage):
+            if out["entries"] + out["skipped"] >= max_entries:
+                raise ValueError(f"more than {max_entries} entries")
             action = actions.get(index, "skip")
             target = os.path.join(root, (path or payload or "data").replace("\\", "/"))
             if os.path.commonpath([os.path.realpath(root), os.path.realpath(target)]) != os.path.realpath(root):
@@ -207,10 +212,18 @@ def _extracted(root: str, data: bytes, container, packed, payload, name: str, ac
             elif action in ("write", "overwrite"):
                 os.makedirs(os.path.dirname(target), exist_ok=True)
                 temporary = f"{target}.{uuid.uuid4().hex}.tmp"
-                with open(temporary, "wb") as f:
-                    for block in content:
-                        out["bytes"] += f.write(block)
-                os.replace(temporary, target)
+                own = 0
+                try:
+                    with open(temporary, "wb") as f:
+                        for block in content:
+                            if own + len(block) > max_file or out["bytes"] + own + len(block) > max_bytes:
+                                raise ValueError(f"{path}: more bytes than the limit")
+                            own += f.write(block)
+                    os.replace(temporary, target)
+                finally:
+                    if os.path.exists(temporary):
+                        os.remove(temporary)
+                out["bytes"] += own
                 if modified is not None:
                     os.utime(target, (modified, modified))
                 out["entries"] += 1

@@ -114,3 +114,46 @@ def test_throttle_and_merge_streams(spark, tmp_path):
         make(stream).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
     assert sorted(r["ms"] for r in spark.table("throttle").collect()) == want
     assert spark.table("merge").first()["bytes"] == max(0, 990, 2190) + max(400, 1200, 2200)
+
+
+def test_extraction_stops_at_limits_of_what_is_decoded(spark, tmp_path):
+    """A ZIP that packs much into little: the bytes that come out count, not those that are declared."""
+    with zipfile.ZipFile(tmp_path / "bomb.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for k in range(4):
+            z.writestr(f"{k}.bin", bytes(3 << 20))
+    found = archives.files(spark, str(tmp_path / "bomb.zip"))
+    plan = archives.entries(found).select("archive_path", "index", F.lit("write").alias("action"))
+
+    def run(to, **limits):
+        r = sink.extract(found, plan, str(tmp_path / to), **limits).first()
+        return r["entries"], r["bytes"], r["error_detail"] is None, sorted(os.listdir(tmp_path / to / "bomb.zip"))
+
+    assert run("all", max_bytes=12 << 20, max_entries=4, max_file=3 << 20) == (4, 12 << 20, True, ["0.bin", "1.bin", "2.bin", "3.bin"])
+    assert run("bytes", max_bytes=(7 << 20)) == (2, 6 << 20, False, ["0.bin", "1.bin"])
+    assert run("file", max_file=(3 << 20) - 1) == (0, 0, False, [])
+    assert run("entries", max_entries=3) == (3, 9 << 20, False, ["0.bin", "1.bin", "2.bin"])
+
+
+def test_one_name_in_listing_and_extraction_and_code_pages(spark, tmp_path):
+    raw = "한글파일.txt".encode("cp949")
+    with tarfile.open(tmp_path / "old.tar", "w", encoding="utf-8", errors="surrogateescape", format=tarfile.GNU_FORMAT) as t:
+        info = tarfile.TarInfo(raw.decode("utf-8", "surrogateescape"))
+        info.size = 2
+        t.addfile(info, io.BytesIO(b"ok"))
+    found = archives.files(spark, str(tmp_path / "old.tar"))
+    for page, name in ((949, "한글파일.txt"), (0, "한글파일.txt"), (437, raw.decode("cp437"))):
+        listed = archives.entries(found, page).first()["path"]
+        assert listed == name
+        plan = archives.entries(found, page).select("archive_path", "index", F.lit("write").alias("action"))
+        sink.extract(found, plan, str(tmp_path / str(page)), codepage=page).collect()
+        assert [f for _, _, fs in os.walk(tmp_path / str(page)) for f in fs] == [name]
+
+
+def test_names_by_place_are_strict_if_asked(spark):
+    from ledgerstone.operators import limits
+
+    e = spark.createDataFrame([("a", 0, "x", ["x"], "x"), ("a", 1, "y", ["y"], "y")], "archive_path string, index long, path string, components array<string>, display_path string")
+    names = spark.createDataFrame([("a", 0, "n")], "archive_path string, index long, name string")
+    assert {r["path"] for r in limits.zipped_names(e, names).collect()} == {"x", "y"}
+    with pytest.raises(Exception, match="2 entries and 1 names"):
+        limits.zipped_names(e, names, strict=True).collect()

@@ -27,17 +27,18 @@ def test_safe_paths(spark):
 
 
 def test_names(spark):
-    assert values(spark, ["program.exe", "script.PS1", "build.BAT", "run.CmD", "notes.txt", "program.exe.bak", "script.psm1"], P.is_executable) == [True] * 4 + [False] * 3
-    names = ["backup.zip", "a.7Z", "a.tar.gz", "a.iso", "backup.zip.001", "b.7z.002", "notes.txt", "backup.zip.bak", "backup.tar.001", ".zip"]
+    assert values(spark, ["tool.EXE", "a b.cmd", "x.bat", "y.Ps1", "exe", "tool.exe.txt", "tool.exes"], P.is_executable) == [True] * 4 + [False] * 3
+    names = ["q.ZIP", "two words.7z", "n.tar.xz", "disk.ISO", "q.zip.017", "q.7Z.999", "q.zip~", "q.tar.002", "zip", ".7z"]
     assert values(spark, names, P.is_archive) == [True] * 6 + [False] * 3 + [True]
     assert values(spark, names, P.is_archive_drop)[-1] is False
-    assert values(spark, ["a.zip.001", "a.zip.01", "a.zip.000", "x.9999999999", "a.b.1234"], P.volume_index) == [1, None, None, None, 1234]
-    assert values(spark, ["x.tar.gz", "x.7z.001", "x.zip", ".tar.xz", "plain", ".zip"], P.directory_name) == ["x", "x", "x", "extracted", "plain", ".zip"]
-    assert values(spark, ["bundle.tar.gz", "a.tgz", "volume.nii.gz", ".gz", "a.txt", ".tgz"], P.payload_name) == ["bundle.tar", "a.tar", "volume.nii", None, None, None]
-    assert values(spark, ["a" * 31, "b" * 30], P.menu_name) == ["a" * 29 + "…", "b" * 30]
-    assert values(spark, ["c" * 40 + ".zip"], lambda c: P.menu_name(c, P.compression_suffix(c))) == ["c" * 25 + "….zip"]
-    assert values(spark, ['a\\"b', "c\\", ""], P.quoted_argument) == ['"a\\\\\\"b"', '"c\\\\"', '""']
-    assert values(spark, [1, 12, 1234], lambda c: P.volume_name(F.lit("v"), c), "int") == ["v.001", "v.012", "v.1234"]
+    assert values(spark, ["k.rar.042", "k.rar.42", "k.rar.000", "k.7777777777", "m.n.20000"], P.volume_index) == [42, None, None, None, 20000]
+    assert values(spark, ["data.tar.zst", "data.zip.003", "data.tgz", ".tar.gz", "data", ".7z"], P.directory_name) == ["data", "data", "data", "extracted", "data", ".7z"]
+    assert values(spark, ["log.tar.gz", "log.tgz", "scan.csv.gz", ".gz", "log", ".tgz"], P.payload_name) == ["log.tar", "log.tar", "scan.csv", None, None, None]
+    assert values(spark, ["m" * 45, "n" * 30, "n" * 31], P.menu_name) == ["m" * 29 + "…", "n" * 30, "n" * 29 + "…"]
+    assert values(spark, ["w" * 33 + ".7z"], lambda c: P.menu_name(c, P.compression_suffix(c))) == ["w" * 26 + "….7z"]
+    assert values(spark, ['say "hi"', "dir\\", " "], P.quoted_argument) == ['"say \\"hi\\""', '"dir\\\\"', '" "']
+    assert values(spark, [7, 70, 7000], lambda c: P.volume_name(F.lit("part"), c), "int") == ["part.007", "part.070", "part.7000"]
+    assert values(spark, ["Docs\\Sub\\x", "docs/subway", "DOCS/SUB", "docs"], lambda c: P.is_within(c, F.lit("docs/./sub"))) == [True, False, True, False]
 
 
 def test_sizes_and_times(spark):
@@ -51,8 +52,8 @@ def test_sizes_and_times(spark):
 
 
 def test_messages(spark):
-    assert values(spark, ["Incorrect passphrase", "Passphrase required for this entry", "Encrypted file is unsupported", "Decryption failed: malformed data", "truncated archive", None], fmt.is_password_error) == [True, True, False, False, False, False]
-    assert values(spark, ["error 13", "0x80070005: access denied", "fine"], fmt.needs_elevation) == [True, True, False]
+    assert values(spark, ["the PASSPHRASE is wrong: incorrect passphrase", "member 3: passphrase required", "encrypted, but of an unknown version", "bad block", None], fmt.is_password_error) == [True, True, False, False, False]
+    assert values(spark, ["cannot write: error 13", "E 0x80070005", "disk full"], fmt.needs_elevation) == [True, True, False]
 
 
 @pytest.mark.parametrize(("reported", "base", "total", "want"), [(950, 900, 100, (950, 50)), (50, 900, 100, (950, 50)), (1400, 900, 100, (1000, 100))])
