@@ -74,6 +74,17 @@ def volume_size(index: Column) -> Column:
     return F.element_at(F.array(*(F.lit(x).cast("long") for x in VOLUME_SIZES)), F.when(index >= len(VOLUME_SIZES), 0).otherwise(F.greatest(index, F.lit(0))) + 1)
 
 
+def thread_setting(index: Column) -> Column:
+    """The name of a thread setting by its index; one below 0 counts as 0, one beyond the end is the first."""
+    return F.coalesce(F.try_element_at(F.array(*map(F.lit, THREADS)), F.greatest(index, F.lit(0)) + 1), F.lit(THREADS[0]))
+
+
+def boundaries_hold(*at: Column) -> Column:
+    """Whether column boundaries, as shares of the width, rise strictly between 0 and 1. Null and NaN don't."""
+    pairs = zip((F.lit(0.0), *at), (*at, F.lit(1.0)), strict=True)
+    return F.coalesce(reduce(lambda x, y: x & y, (a < b for a, b in pairs)), F.lit(False))
+
+
 def stream_buffer(size: Column) -> Column:
     return F.least(F.greatest(size, F.lit(4096)), F.lit(MB))
 
@@ -123,7 +134,8 @@ def operation_bytes(reported: Column, base: Column, total: Column) -> Column:
 def rescaled(done: Column, handler_total: Column, source_total: Column) -> Column:
     """A handler's progress on the scale of the sources, exact."""
     d = lambda c: c.cast("decimal(20,0)")
-    return F.when(handler_total > 0, F.floor(d(F.least(done, handler_total)) * d(source_total) / d(handler_total)).cast("long"))
+    product = d(F.least(done, handler_total)) * d(source_total)
+    return F.when(handler_total > 0, ((product - product % d(handler_total)) / d(handler_total)).cast("long"))  # a plain quotient is rounded
 
 
 def percent(share: Column) -> Column:

@@ -59,6 +59,33 @@ def create_targets(sources: DataFrame, kind: str = "Zip") -> DataFrame:
     return both.select("selection", F.concat(F.when(F.col("common") == "", "").otherwise(F.concat("common", F.lit("/"))), stem, F.lit(f".{P.EXTENSIONS[kind]}")).alias("target"))
 
 
+def compression_destinations(sources: DataFrame, existing: DataFrame, kind: str = "Zip") -> DataFrame:
+    """selection, target, destination: create_targets(), and the first name of the target's that is still free in its folder.
+
+    existing: folder, name.
+    """
+    from .volumes import free_names
+
+    split = create_targets(sources, kind).withColumn("folder", P.parent(F.col("target"))).withColumn("name", P.file_name(F.col("target")))
+    free = free_names(split.select("folder", "name").distinct(), existing)
+    return split.join(free, ["folder", "name"]).select("selection", "target", F.when(F.col("folder") == "", F.col("free_name")).otherwise(F.concat("folder", F.lit("/"), "free_name")).alias("destination"))
+
+
+def progress_title(operation: Column, path: Column) -> Column:
+    name = P.file_name(path)
+    return F.concat(operation, F.lit(" - "), F.when(name == "", path).otherwise(name))
+
+
+def opening_snapshots(files: DataFrame) -> DataFrame:
+    """path, phase, file, bytes, total_bytes: the first report of each archive that is opened. files: path, size."""
+    return files.select("path", F.lit("Opening").alias("phase"), P.file_name(F.col("path")).alias("file"), F.lit(0).cast("long").alias("bytes"), F.col("size").alias("total_bytes"))
+
+
+def offered_formats(known: DataFrame) -> DataFrame:
+    """Those of capabilities() that the dialog for new archives offers: ZIP and 7z where they can be written."""
+    return known.where(F.upper("format").isin("ZIP", "7Z") & F.col("can_write"))
+
+
 def menu_actions(items: DataFrame) -> DataFrame:
     """selection, actions: what a selection offers. items: selection, name, is_dir."""
     by = items.groupBy("selection").agg(F.count("*").alias("n"), F.every(P.is_archive(F.col("name")) & ~F.col("is_dir")).alias("archives"), F.every("is_dir").alias("folders"))

@@ -55,7 +55,7 @@ LINES = """lines_e AS (SELECT 'lines-' || (l_orderkey % 64) AS archive_path, l_r
 PARTS = """parts_e AS (SELECT 'parts-' || (p_partkey % 4) AS archive_path, p_partkey AS idx, p_brand || '/' || CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE p_name END AS path, p_size::BIGINT AS size FROM part)"""
 FILES = """files_e AS (SELECT (conv_id % 10)::VARCHAR AS folder, 'chat-' || conv_id || '.zip.' || lpad(n::VARCHAR, 3, '0') AS name, length(text)::BIGINT AS size, conv_id, turn, n
   FROM (SELECT *, turn + 1 + CASE WHEN turn >= 5 AND conv_id % 3 = 0 THEN 1 ELSE 0 END AS n FROM conversations))"""
-EVENTS = """events_e AS (SELECT user_id AS operation, event_type AS worker, event_id AS seq, epoch_ms(ts) AS ms, floor(value * 100)::BIGINT AS bytes, 'file-' || (event_id % 50) AS file FROM events)"""
+EVENTS = """events_e AS (SELECT user_id AS operation, event_type AS worker, event_id AS seq, epoch_us(ts) // 1000 AS ms, floor(value * 100)::BIGINT AS bytes, 'file-' || (event_id % 50) AS file FROM events)"""
 SELECTION = """chosen AS (SELECT DISTINCT archive_path, list_aggregate(comps[1:2], 'string_agg', '/') AS path FROM orders_e WHERE comps[1] = '5-LOW' OR comps[1:2] = ['1-URGENT', 'F'])"""
 
 
@@ -523,9 +523,14 @@ def container_of(spark, d):
     return rows.select("p_partkey", P.container_of(F.lit("file.bin"), F.col("head")).alias("container"), P.filter_of(F.col("head")).alias("filter"))
 
 
-@query("throttle")
+_REPORTED = f"""WITH RECURSIVE {EVENTS}, t AS (
+  SELECT operation, seq, ms, bytes FROM (SELECT *, row_number() OVER (PARTITION BY operation ORDER BY ms, seq) AS k FROM events_e) WHERE k = 1
+  UNION ALL SELECT operation, seq, ms, bytes FROM (SELECT e.*, row_number() OVER (PARTITION BY e.operation ORDER BY e.ms, e.seq) AS k FROM t JOIN events_e e ON e.operation = t.operation AND e.ms >= t.ms + 3600000) WHERE k = 1
+) SELECT operation, seq, ms, bytes FROM t"""
+
+
+@query("throttle", _REPORTED)
 def throttle(spark, d):
-    """Greedy state that SQL windows can't express; tests hold it against the rule itself."""
     from ..streaming.progress import throttled
 
     return throttled(A.progress_events(spark, d).withColumn("force", F.lit(False)), 3_600_000)
@@ -550,12 +555,25 @@ def extraction_destination(spark, d):
     return A.orders(spark, d).select("archive_path", "index", actions.destination(F.col("path"), F.col("index") % 3).alias("folder"))
 
 
-@query("create_target", f"WITH {ORDERS}, g AS (SELECT CASE WHEN idx % 6 = 1 THEN -idx ELSE idx // 2 END AS selection, min(path) AS a, max(path) AS b, count(*) AS n, bool_or(kind = 'Directory') AS dir, min(comps[1]) AS p1, max(comps[1]) AS p2, min(comps[1:2]) AS q1, max(comps[1:2]) AS q2 FROM orders_e GROUP BY 1), c AS (SELECT *, CASE WHEN q1 = q2 THEN q1[1] || '/' || q1[2] WHEN p1 = p2 THEN p1 ELSE '' END AS common, string_split(a, '/')[-1] AS name FROM g) SELECT selection, CASE WHEN common = '' THEN '' ELSE common || '/' END || CASE WHEN n > 1 THEN CASE WHEN common = '' THEN 'archive' ELSE string_split(common, '/')[-1] END WHEN dir THEN name ELSE regexp_replace(name, '\\.[^.]*$', '') END || '.zip' AS target FROM c")
+_TARGETS = f"WITH {ORDERS}, g AS (SELECT CASE WHEN idx % 6 = 1 THEN -idx ELSE idx // 2 END AS selection, min(path) AS a, max(path) AS b, count(*) AS n, bool_or(kind = 'Directory') AS dir, min(comps[1]) AS p1, max(comps[1]) AS p2, min(comps[1:2]) AS q1, max(comps[1:2]) AS q2 FROM orders_e GROUP BY 1), c AS (SELECT *, CASE WHEN q1 = q2 THEN q1[1] || '/' || q1[2] WHEN p1 = p2 THEN p1 ELSE '' END AS common, string_split(a, '/')[-1] AS name FROM g) SELECT selection, CASE WHEN common = '' THEN '' ELSE common || '/' END || CASE WHEN n > 1 THEN CASE WHEN common = '' THEN 'archive' ELSE string_split(common, '/')[-1] END WHEN dir THEN name ELSE regexp_replace(name, '\\.[^.]*$', '') END || '.zip' AS target FROM c"
+
+
+@query("create_target", _TARGETS)
 def create_target(spark, d):
     rows = A.orders(spark, d).select(F.when(F.col("index") % 6 == 1, -F.col("index")).otherwise(F.floor(F.col("index") / 2)).alias("selection"), "path", (F.col("kind") == "Directory").alias("is_dir"))
     return actions.create_targets(rows)
 
 
+@query("compression_destination", f"SELECT selection, target, CASE WHEN length(target) % 4 = 0 THEN replace(target, '.zip', '_3.zip') WHEN length(target) % 2 = 0 THEN replace(target, '.zip', '_2.zip') ELSE target END AS destination FROM ({_TARGETS})")
+def compression_destination(spark, d):
+    """Names of even length are there already; of those, the ones whose length four divides with their second name."""
+    rows = A.orders(spark, d).select(F.when(F.col("index") % 6 == 1, -F.col("index")).otherwise(F.floor(F.col("index") / 2)).alias("selection"), "path", (F.col("kind") == "Directory").alias("is_dir"))
+    there = actions.create_targets(rows).select("target").distinct().where("char_length(target) % 2 = 0")
+    there = there.select("target", F.explode(F.when(F.char_length("target") % 4 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("k"))
+    name = P.file_name(F.col("target"))
+    return actions.compression_destinations(rows, there.select(P.parent(F.col("target")).alias("folder"), F.when(F.col("k") == 1, name).otherwise(P.suffixed(name, F.col("k"))).alias("name")))
+
+
 @query("menu_actions", f"WITH {ORDERS}, g AS (SELECT idx // 2 AS selection, count(*) AS n, bool_and(kind <> 'Directory' AND regexp_matches(path, '\\.(zip|gz|7z\\.001)$')) AS ar, bool_and(kind = 'Directory') AS fo FROM orders_e GROUP BY 1) SELECT selection, CASE WHEN ar AND n = 1 THEN 'extract' WHEN ar THEN 'extract,zip,7z' WHEN fo AND n > 1 THEN 'zip,7z,zip each,7z each' ELSE 'zip,7z' END AS actions FROM g")
 def menu_actions(spark, d):
     rows = A.orders(spark, d).select(F.floor(F.col("index") / 2).alias("selection"), F.element_at("components", -1).alias("name"), (F.col("kind") == "Directory").alias("is_dir"))
@@ -594,3 +612,52 @@ _CAPABILITIES = "('7Z', FALSE, FALSE, NULL), ('7Z VOLUME', FALSE, FALSE, NULL),
 @query("capabilities", f"SELECT * FROM (VALUES {_CAPABILITIES}) v(format, can_list, can_write, max_level)")
 def capabilities(spark, d):
     return actions.capabilities(spark)
+
+
+@query("offered_formats", "SELECT 'ZIP' AS format, TRUE AS can_list, TRUE AS can_write, 9 AS max_level")
+def offered_formats(spark, d):
+    return actions.offered_formats(actions.capabilities(spark))
+
+
+@query("progress_title", f"WITH {EVENTS} SELECT seq, worker || ' - ' || CASE WHEN seq % 7 = 0 THEN '/' ELSE file END AS title FROM events_e")
+def progress_title(spark, d):
+    path = F.when(F.col("seq") % 7 == 0, "/").otherwise(F.concat(F.lit("some/folder/"), "file"))
+    return A.progress_events(spark, d).select("seq", actions.progress_title(F.col("worker"), path).alias("title"))
+
+
+@query("opening_snapshots", f"WITH {ORDERS} SELECT path, 'Opening' AS phase, comps[-1] AS file, 0::BIGINT AS bytes, size AS total_bytes FROM orders_e WHERE kind = 'File'")
+def opening_snapshots(spark, d):
+    return actions.opening_snapshots(A.orders(spark, d).where("kind = 'File'"))
+
+
+_PRESETS = "[NULL, 10485760, 52428800, 104857600, 314572800, 681574400, 1073741824, 4294967296, 24696061952, 99213744538]"
+
+
+@query("choices_by_index", f"SELECT p_partkey, (['Auto', '4', '6', '8', '10', '16', 'All'])[CASE WHEN i BETWEEN 0 AND 6 THEN i ELSE 0 END + 1] AS threads, ({_PRESETS})[CASE WHEN i BETWEEN 0 AND 9 THEN i ELSE 0 END + 1]::BIGINT AS volume_size, ([0, 65001, 949, 932, 936, 950, 1361, 50220, 54936, 1200, 1201])[CASE WHEN i BETWEEN 0 AND 10 THEN i ELSE 0 END + 1] AS codepage FROM (SELECT p_partkey, p_partkey % 14 - 1 AS i FROM part)")
+def choices_by_index(spark, d):
+    i = (F.col("p_partkey") % 14 - 1).cast("int")
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", fmt.thread_setting(i).alias("threads"), fmt.volume_size(i).alias("volume_size"), actions.codepage_option(i).alias("codepage"))
+
+
+@query("lha_codepage", "SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 AND p_partkey % 2 = 0 THEN 932 WHEN p_partkey % 2 = 0 THEN 0 ELSE 949 END AS codepage FROM part")
+def lha_codepage(spark, d):
+    name = F.concat("p_name", F.element_at(F.array(F.lit(".lha"), F.lit(".LZH"), F.lit(".zip")), (F.col("p_partkey") % 3 + 1).cast("int")))
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", actions.lha_codepage(name, F.when(F.col("p_partkey") % 2 == 0, 0).otherwise(949)).alias("codepage"))
+
+
+@query("column_boundaries", "SELECT l_orderkey, l_linenumber, l_discount > 0 AND l_tax > 0 AND l_discount + l_tax < 1 AND l_linenumber <> 3 AS valid FROM lineitem")
+def column_boundaries(spark, d):
+    a, b = F.col("l_discount").cast("double"), F.col("l_tax").cast("double")
+    third = F.when(F.col("l_linenumber") == 3, F.lit(float("nan"))).otherwise((a + b + 1) / 2)
+    return spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", fmt.boundaries_hold(a, a + b, third).alias("valid"))
+
+
+@query("file_progress", f"""WITH {EVENTS} SELECT seq, CASE WHEN seq % 5 = 4 THEN NULL WHEN seq % 5 = 0 THEN 1.0::DOUBLE ELSE round(least(bytes::DOUBLE / (seq % 5 * 4096), 1.0::DOUBLE)::FLOAT::DOUBLE, 4) END AS share,
+  CASE seq % 9 WHEN 8 THEN 0.0::DOUBLE WHEN 0 THEN NULL ELSE round((seq % 100)::DOUBLE / ((seq % 9)::DOUBLE / 8) - seq % 100, 6) END AS remaining,
+  ((least(bytes, 4999)::HUGEINT * (seq * 1000003)) // 4999)::BIGINT AS rescaled, least(greatest(bytes * 100, 4096), 1048576)::BIGINT AS buffer FROM events_e""")
+def file_progress(spark, d):
+    e, seq = A.progress_events(spark, d), F.col("seq")
+    total = F.when(seq % 5 != 4, seq % 5 * 4096)
+    share = fmt.file_fraction(F.col("bytes"), total).cast("double")
+    left = fmt.remaining((seq % 100).cast("double"), ((seq % 9).cast("double") / 8).cast("float"), F.lit("Extracting"))
+    return e.select("seq", F.round(share, 4).alias("share"), F.round(left, 6).alias("remaining"), fmt.rescaled(F.col("bytes"), F.lit(4999), seq * 1000003).alias("rescaled"), fmt.stream_buffer(F.col("bytes") * 100).cast("long").alias("buffer"))
